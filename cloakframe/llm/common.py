@@ -171,11 +171,12 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
     index = np.repeat(at[:-1] - out_at[:-1], count) + np.arange(out_at[-1])
     long = np.repeat(full, count)
     out[long] = rolled[index[long]]
-    for i in np.flatnonzero((per > 0) & ~full):
-        value = np.uint64(per[i])
-        for w in words[at[i] : at[i + 1]]:
-            value = value * factor + w
-        out[out_at[i]] = value
+    short = np.flatnonzero((per > 0) & ~full)
+    value = per[short].astype(np.uint64)
+    for j in range(width - 1):
+        more = per[short] > j
+        value[more] = value[more] * factor + words[at[short[more]] + j]
+    out[out_at[short]] = value
     return mix(out), out_at
 
 

@@ -36,7 +36,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size) -> with target: shares by weight, none above MOST times its size.
+    """Of rows (source, _source, source_size): (_source, source_size, target), shares by weight, none above MOST times its size.
 
     Resharing the excess until none is above ends with a common level: source i gets
     min(cap_i, weight_i * level). In the order of cap / weight, the capped sources are a prefix,
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     rest_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = rest_cap / rest_weight
     rows = rows.withColumn("level", level)
-    return rows.withColumn("level", F.max("level").over(everything)).select("source", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
+    return rows.withColumn("level", F.max("level").over(everything)).select("_source", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
 def exponential_key(doc_id: Column, weight: Column) -> Column:
@@ -66,29 +66,29 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target and taken: the words that the mix takes of each row.
 
     quality: rows (doc_id, quality); the best label of an id counts."""
-    text = common.whole_text()
-    docs = docs.drop(*RESULT).withColumn("size", words(F.col("text")))
+    # Everything that reads the text comes before the joins, so that they move it only if it is asked for.
+    docs = docs.drop(*RESULT).withColumn("size", words(F.col("text"))).withColumn("_tie", F.xxhash64(common.whole_text()))
     weight = F.lit(1.0)
     if quality is not None:
         best = quality.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-        docs = docs.join(best, "doc_id", "left")
+        docs = docs.join(best.hint("merge"), "doc_id", "left")
         for label, w in QUALITY.items():
             weight = F.when(F.col("_quality") == label, F.lit(w)).otherwise(weight)
-    docs = docs.withColumn("_key", exponential_key(F.col("doc_id"), weight)).withColumn("_tie", F.xxhash64(text))
+    docs = docs.withColumn("_key", exponential_key(F.col("doc_id"), weight)).drop("_quality")
     # exp(-key) lies in (0, 1): equal ranges of it deal a source's rows out.
-    docs = docs.drop("_quality").withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
-    sums = docs.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    own = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    plan = plan.join(own, plan["source"].eqNullSafe(own["source"])).select(plan["source"].alias("_source"), F.col("_range").alias("_r"), "_ahead", "source_size", "target")
-    within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    docs = docs.join(plan, docs["source"].eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")), "left")
+    docs = docs.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
+    docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    sums = docs.groupBy("source", "_source", "_range").agg(F.sum("size").alias("_sum"))
+    own = targets(sums.groupBy("source", "_source").agg(F.sum("_sum").alias("source_size")))
+    ahead = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    plan = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    plan = plan.join(own, "_source").select("_source", "_range", "_ahead", "source_size", "target")
+    within = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan.hint("merge"), ["_source", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size") - F.col("_ahead") - F.col("_before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return docs.withColumn("taken", taken.cast("long")).drop("_key", "_tie", "_range", "_source", "_r", "_ahead", "_before")
+    return docs.withColumn("taken", taken.cast("long")).drop("_key", "_tie", "_range", "_source", "_ahead", "_before")
 
 
 def materialise(mixed: DataFrame) -> DataFrame:

@@ -7,12 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import mixing, secret_scan, simhash
-from cloakframe.llm.common import table
+from cloakframe.llm import bpe, exact_substrings, language, media, minhash, mixing, quality, secret_scan, simhash, token_counts
+from cloakframe.llm.common import held_out, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edits(documents(spark, sf_dir))
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove(documents(spark, sf_dir)).drop("kept")
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(documents(spark, sf_dir)))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.classes(table(spark, sf_dir, "documents"))
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(documents(spark, sf_dir))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op7_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +45,39 @@ def op7_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, table(spark, sf_dir, "labels")).select("doc_id", *mixing.RESULT)
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.scan(docs).select("doc_id", *secret_scan.RESULT)
+    return secret_scan.scan(documents(spark, sf_dir)).select("doc_id", *secret_scan.RESULT)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
-    "op7_mixing_to_weights": op7_mixing_to_weights,
-    "op10_secret_scan": op10_secret_scan,
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_suffix_array_dedup,
+        op3_media_columns,
+        op4_simhash_near_dedup,
+        op5_token_counts,
+        op6_quality_classifier,
+        op7_mixing_to_weights,
+        op8_bpe_round_trip,
+        op9_language_id,
+        op10_secret_scan,
+        pipeline,
+    )
 }
 
 ORACLES: dict[str, str] = {"op7_mixing_to_weights": mixing.ORACLE}

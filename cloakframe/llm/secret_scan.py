@@ -94,7 +94,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     links = linked(parts(docs.select(key, "text"), key).distinct(), key, scope)
     links = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e"))).alias("_links"))
     kinds = [found(text, ASSIGN, 0, 6), found(text, ACCESS, 1), found(text, HEX, 2)]
-    out = docs.withColumn("base", F.array_sort(F.concat(*kinds))).join(links, key, "left").drop(key)
+    out = docs.withColumn("base", F.array_sort(F.concat(*kinds))).join(links.hint("merge"), key, "left").drop(key)
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     out = out.withColumn("found", F.array_sort(F.concat("base", F.coalesce("_links", none)))).drop("_links")
     names = F.array(*map(F.lit, (*KINDS, LINKED)))
