@@ -5,7 +5,9 @@ digit \\p{Nd}, white space what Unicode and ASCII separators cover."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.schema import FINDINGS
@@ -27,6 +29,18 @@ PHONE_DIGITS = 9
 TRAILING = r"[.,;:)]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once, however often the body names it: plain columns are
+    copied into every place that uses them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is evaluated once for each row: filters and projections above a generator
+    aren't pushed below it with copies of the expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def none() -> Column:
     return F.array().cast(FINDINGS)
 
@@ -75,13 +89,16 @@ def pattern_findings(text: Column) -> Column:
 
 def header_findings(text: Column) -> Column:
     """Tier 0 of plain text: the first line that isn't blank, if it looks like a name."""
+    return let(F.split(text, "\n", -1), _header_of)
+
+
+def _header_of(lines: Column) -> Column:
     blank = rf"^[{S}]*$"
-    lines = F.split(text, "\n", -1)
     at = F.array_position(F.transform(lines, lambda x: ~x.rlike(blank)), F.lit(True)).cast("int")
     line = F.element_at(lines, at)
     name = F.regexp_replace(F.regexp_replace(line, rf"^[{S}]+", ""), rf"[{S}]+$", "")
-    before = F.length(F.array_join(F.slice(lines, 1, at - 1), "\n")) + F.when(at > 1, 1).otherwise(0)
-    start = before + F.length(line) - F.length(F.regexp_replace(line, rf"^[{S}]+", ""))
+    lead = F.length(F.array_join(F.slice(lines, 1, at - 1), "\n")) + F.when(at > 1, 1).otherwise(0)
+    start = lead + F.length(line) - F.length(F.regexp_replace(line, rf"^[{S}]+", ""))
     # Superscripts count as digits as well.
     good = ~name.rlike(r"[,@\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]") & name.rlike(HEADER)
     return F.when((at > 0) & good, F.array(finding(start, start + F.length(name), "PERSON", name, "header"))).otherwise(none())
@@ -122,7 +139,10 @@ DERIVED_LENGTH = 8
 
 def derivatives(name: Column) -> Column:
     """Handles that people build from a name: eight joins of its first and last alphabetic part."""
-    words = F.filter(F.split(name, rf"[{S}.]+", -1), lambda w: w.rlike(r"^\p{L}+$"))
+    return let(F.filter(F.split(name, rf"[{S}.]+", -1), lambda w: w.rlike(r"^\p{L}+$")), _forms)
+
+
+def _forms(words: Column) -> Column:
     first, last = F.lower(F.element_at(words, 1)), F.lower(F.element_at(words, -1))
     f, l = F.substring(first, 1, 1), F.substring(last, 1, 1)  # noqa: E741
     forms = F.array(
@@ -141,10 +161,13 @@ def quoted(value: Column) -> Column:
 def derivative_findings(text: Column, names: Column) -> Column:
     """Tier 3: handles derived from the names, wherever they stand."""
     forms = F.array_distinct(F.flatten(F.transform(names, derivatives)))
-    ordered = longest_first(forms)
-    pattern = F.concat(F.lit(f"(?iu)(?<![{W}.])(?:"), F.array_join(F.transform(ordered, quoted), "|"), F.lit(f")(?![{W}])"))
-    # A pattern that never matches where there are no forms keeps the expression total.
-    found = places(text, F.when(F.size(forms) > 0, pattern).otherwise(F.lit("(?!)")))
+
+    def search(ordered: Column) -> Column:
+        pattern = F.concat(F.lit(f"(?iu)(?<![{W}.])(?:"), F.array_join(F.transform(ordered, quoted), "|"), F.lit(f")(?![{W}])"))
+        # A pattern that never matches where there are no forms keeps the expression total.
+        return let(F.when(F.size(ordered) > 0, pattern).otherwise(F.lit("(?!)")), lambda p: places(text, p))
+
+    found = F.when(F.size(names) > 0, let(longest_first(forms), search)).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
     return F.transform(found, lambda x: finding(x["start"], x["start"] + F.length(x["value"]), "HANDLE", x["value"], "derivative"))
 
 

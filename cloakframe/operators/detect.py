@@ -21,8 +21,8 @@ def candidates(text: Column, spans: Column | None = None, ner: Column | None = N
     """All tiers' findings, in the order that breaks ties."""
     structure = T.header_findings(text) if spans is None else T.field_findings(text, spans)
     found = F.concat(structure, T.pattern_findings(text), *([] if ner is None else [accepted(ner)]))
-    names = F.array_distinct(F.transform(F.filter(found, lambda f: f["entity_type"] == "PERSON"), lambda f: f["value"]))
-    return F.concat(found, T.derivative_findings(text, names))
+    names = lambda f: F.array_distinct(F.transform(F.filter(f, lambda x: x["entity_type"] == "PERSON"), lambda x: x["value"]))
+    return T.let(found, lambda f: F.concat(f, T.let(names(f), lambda n: T.derivative_findings(text, n))))
 
 
 def detect(text: Column, spans: Column | None = None, ner: Column | None = None) -> Column:

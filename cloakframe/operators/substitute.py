@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakframe.functions import tokens
-from cloakframe.functions.text import W, longest_first, occurrences, quoted
+from cloakframe.functions.text import W, let, longest_first, occurrences, quoted
 
 #: Private characters that mark substituted values while a text is taken apart.
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -41,36 +41,39 @@ def _replaced(marked: Column, mapping: Column) -> Column:
 def substituted(text: Column, values: Column, mapping: Column, spans: Column | None = None) -> Column:
     """struct<text, n>: every occurrence of a value as its placeholder; of structured documents
     inside value spans only, each span on its own. text is null where the mapping has a gap."""
-    pattern = alternation(values)
+    none = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    return F.when(F.size(values) > 0, let(alternation(values), lambda p: let(_marked(text, p, spans), lambda m: F.struct(_replaced(m, mapping).alias("text"), F.regexp_count(m, F.lit(OPEN)).alias("n"))))).otherwise(none)
+
+
+def _marked(text: Column, pattern: Column, spans: Column | None) -> Column:
     if spans is None:
-        marked = marked_text(text, pattern)
-    else:
-        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))))
+        return marked_text(text, pattern)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))))
 
-        def step(acc: Column, s: Column) -> Column:
-            gap = F.substring(text, acc["at"] + 1, s["s"] - acc["at"])
-            inside = marked_text(F.substring(text, s["s"] + 1, s["e"] - s["s"]), pattern)
-            return F.when(s["s"] < acc["at"], acc).otherwise(F.struct(s["e"].alias("at"), F.concat(acc["out"], F.array(gap, inside)).alias("out")))
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["s"] - acc["at"])
+        inside = marked_text(F.substring(text, s["s"] + 1, s["e"] - s["s"]), pattern)
+        return F.when(s["s"] < acc["at"], acc).otherwise(F.struct(s["e"].alias("at"), F.concat(acc["out"], F.array(gap, inside)).alias("out")))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        marked = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    n = F.regexp_count(marked, F.lit(OPEN))
-    return F.struct(F.when(F.size(values) > 0, _replaced(marked, mapping)).otherwise(text).alias("text"), F.when(F.size(values) > 0, n).otherwise(0).alias("n"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def leaks(text: Column, values: Column) -> Column:
     """Values that still stand in a text, placeholders aside; keys of structured documents count."""
-    blank = tokens.blanked(text)
-    return F.filter(values, lambda v: F.contains(blank, v))
+    return F.when(F.size(values) > 0, let(tokens.blanked(text), lambda blank: F.filter(values, lambda v: F.contains(blank, v)))).otherwise(F.array().cast("array<string>"))
 
 
 def rehydrated(text: Column, reverse: Column) -> Column:
     """struct<text, unmatched, dropped>: values restored; unknown and altered placeholders are
     reported, and so are minted ones of which nothing came back."""
-    out = tokens.restored(text, reverse)
-    unknown = tokens.unknown_tokens(text, reverse)
-    altered = tokens.altered_tokens(out, reverse, unknown)
-    present = tokens.tokens(text)
+    return let(
+        F.struct(tokens.restored(text, reverse).alias("out"), tokens.unknown_tokens(text, reverse).alias("unknown"), tokens.tokens(text).alias("present")),
+        lambda x: let(tokens.altered_tokens(x["out"], reverse, x["unknown"]), lambda altered: _reported(x["out"], x["unknown"], altered, x["present"], reverse)),
+    )
+
+
+def _reported(out: Column, unknown: Column, altered: Column, present: Column, reverse: Column) -> Column:
     seen = F.transform(altered, lambda a: F.concat(F.lit("<<"), F.upper(F.regexp_extract(a, r"([A-Za-z_]+_\p{Nd}{2,})", 1)), F.lit(">>")))
     dropped = F.array_except(F.map_keys(reverse), F.concat(present, seen))
     return F.struct(out.alias("text"), F.concat(unknown, altered).alias("unmatched"), F.array_sort(dropped).alias("dropped"))

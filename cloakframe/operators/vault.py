@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import let
 from cloakframe.functions.tokens import token
 
 ENTRY = "struct<value:string,entity_type:string,token:string>"
@@ -16,10 +17,18 @@ ENTRY = "struct<value:string,entity_type:string,token:string>"
 def entries(findings: Column) -> Column:
     """Entries of disjoint findings in document order: a value's first finding fixes its type, and
     each type counts its distinct values."""
+    return let(findings, _entries)
+
+
+def _entries(findings: Column) -> Column:
     values = F.array_distinct(F.transform(findings, lambda f: f["value"]))
     first = F.transform(values, lambda v: F.struct(v.alias("value"), F.get(F.filter(findings, lambda f: f["value"] == v), F.lit(0))["entity_type"].alias("entity_type")))
-    number = lambda x, i: F.size(F.filter(F.slice(first, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"]))
-    return F.transform(first, lambda x, i: F.struct(x["value"].alias("value"), x["entity_type"].alias("entity_type"), token(x["entity_type"], number(x, i)).alias("token")))
+
+    def numbered_(rows: Column) -> Column:
+        number = lambda x, i: F.size(F.filter(F.slice(rows, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"]))
+        return F.transform(rows, lambda x, i: F.struct(x["value"].alias("value"), x["entity_type"].alias("entity_type"), token(x["entity_type"], number(x, i)).alias("token")))
+
+    return let(first, numbered_)
 
 
 def forward(entries_: Column) -> Column:

@@ -281,12 +281,13 @@ def q19_findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text AS rehydrated, true AS exact, 0::BIGINT AS n_unmatched FROM documents")
 def q20_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _made(spark, sf_dir).withColumn("o", substitute.rehydrated(model.echo(F.col("anonymized")), vault.reverse(F.col("vault"))))
+    made = _answered(spark, sf_dir, model.echo)
     return made.select("doc_id", F.col("o.text").alias("rehydrated"), substitute.restores(F.col("o.text"), F.col("text")).alias("exact"), long(F.size("o.unmatched")).alias("n_unmatched"))
 
 
 def _answered(spark: SparkSession, sf_dir: str, transport: Callable[[Column], Column] = model.mangle) -> DataFrame:
-    return _made(spark, sf_dir).withColumn("answer", transport(F.col("anonymized"))).withColumn("o", substitute.rehydrated(F.col("answer"), vault.reverse(F.col("vault"))))
+    answered = T.barrier(_made(spark, sf_dir), "answer", transport(F.col("anonymized")))
+    return T.barrier(answered, "o", T.let(vault.reverse(F.col("vault")), lambda r: substitute.rehydrated(F.col("answer"), r)))
 
 
 _MANGLED = f"""{O.pipeline()}, sent AS (SELECT doc_id, out, {O.mangle("out")} AS answer FROM anon), t AS (SELECT *, regexp_extract_all(out, '{O.TOKEN}') AS tokens FROM sent)"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.config import Options
 from cloakframe.functions import tokens
-from cloakframe.functions.text import S
+from cloakframe.functions.text import S, barrier, let
 from cloakframe.operators import detect, substitute, vault
 from cloakframe.sources import model
 
@@ -26,12 +26,12 @@ def anonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", spans:
     """docs with session_id, findings, vault, anonymized, n_findings, n_tokens, n_unique, n_replaced, extra, leaks
     and status: ok, no_findings, or why the row is blocked. One projection: no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("session_id", session_id(F.col(key))).withColumn("findings", detect.detect(body, F.col(spans) if spans else None, F.col(ner) if ner else None))
-    entered = found.withColumn("vault", vault.entries(F.col("findings")))
+    found = barrier(docs.withColumn("session_id", session_id(F.col(key))), "findings", detect.detect(body, F.col(spans) if spans else None, F.col(ner) if ner else None))
+    entered = barrier(found, "vault", vault.entries(F.col("findings")))
     values = F.transform("vault", lambda e: e["value"])
-    made = entered.withColumn("_s", substitute.substituted(body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None))
+    made = barrier(entered, "_s", substitute.substituted(body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None))
     out = made.withColumn("anonymized", F.col("_s.text")).withColumn("n_replaced", F.col("_s.n")).drop("_s")
-    out = out.withColumn("leaks", F.when(F.col("anonymized").isNull(), F.array().cast("array<string>")).otherwise(substitute.leaks(F.col("anonymized"), values)))
+    out = barrier(out, "leaks", F.when(F.col("anonymized").isNull(), F.array().cast("array<string>")).otherwise(substitute.leaks(F.col("anonymized"), values)))
     failed = (F.col("ner_status") == "failed") if "ner_status" in docs.columns else F.lit(False)
     status = (
         F.when(body.rlike(rf"^[{S}]*$"), "blank")
@@ -68,7 +68,7 @@ def rehydrated(answers: DataFrame, private: DataFrame, session: str = "session_i
     """answers (session, text, ...) with rehydrated, unmatched, dropped_tokens and ok. One shuffle on the session."""
     maps = private.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_r"))
     none = F.create_map().cast("map<string,string>")
-    joined = answers.join(maps, session, "left").withColumn("_o", substitute.rehydrated(F.col("text"), F.coalesce("_r", none)))
+    joined = barrier(answers.join(maps, session, "left"), "_o", let(F.coalesce("_r", none), lambda r: substitute.rehydrated(F.col("text"), r)))
     return joined.select("*", F.col("_o.text").alias("rehydrated"), F.col("_o.unmatched").alias("unmatched"), F.col("_o.dropped").alias("dropped_tokens"), (F.size("_o.unmatched") == 0).alias("ok")).drop("_r", "_o")
 
 
@@ -81,7 +81,11 @@ def run(docs: DataFrame, options: Options, factory: Callable[[], model.Transport
 
 def result_rows(made: DataFrame, key: str = "doc_id") -> DataFrame:
     """One nested row for each document: stages original, anonymized and tripwire."""
-    shown = F.transform("findings", lambda f: F.struct(f["entity_type"].alias("entity_type"), f["tier"].alias("tier"), F.round(f["score"], 2).alias("score"), F.coalesce(F.element_at(vault.forward(F.col("vault")), f["value"]), F.lit("?")).alias("token")))
+
+    def with_tokens(tokens_: Column) -> Column:
+        return F.transform("findings", lambda f: F.struct(f["entity_type"].alias("entity_type"), f["tier"].alias("tier"), F.round(f["score"], 2).alias("score"), F.coalesce(F.element_at(tokens_, f["value"]), F.lit("?")).alias("token")))
+
+    shown = let(vault.forward(F.col("vault")), with_tokens)
     return made.select(
         key,
         F.col("status").isin("ok", "no_findings").alias("ok"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.config import Options
 from cloakframe.functions import model_api, tokens
+from cloakframe.functions.text import let
 
 #: Takes a request body, returns (HTTP status, body). Built on each worker by a factory.
 Transport = Callable[[str], tuple[int, str]]
@@ -84,15 +85,17 @@ def echo(text: Column) -> Column:
 
 def mangle(text: Column) -> Column:
     """The first placeholder in lower case and the second without delimiters, one occurrence each."""
-    found = tokens.tokens(text)
 
     def first(source: Column, what: Column, by: Column) -> Column:
         at = F.locate(what, source) if isinstance(what, str) else F.position(what, source)
         return F.when(at > 0, F.concat(F.substring(source, F.lit(1), at - 1), by, F.substring(source, at + F.length(what), F.length(source)))).otherwise(source)
 
-    one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
-    once = F.when(one.isNotNull(), first(text, one, F.lower(one))).otherwise(text)
-    return F.when(two.isNotNull(), first(once, two, F.regexp_replace(two, "^<<|>>$", ""))).otherwise(once)
+    def both(found: Column) -> Column:
+        one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        lowered = F.when(one.isNotNull(), first(text, one, F.lower(one))).otherwise(text)
+        return let(lowered, lambda once: F.when(two.isNotNull(), first(once, two, F.regexp_replace(two, "^<<|>>$", ""))).otherwise(once))
+
+    return let(tokens.tokens(text), both)
 
 
 def drop(text: Column) -> Column:
