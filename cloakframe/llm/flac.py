@@ -21,7 +21,7 @@ GROUP = 4096
 PRECISION, SHIFT = 12, 9
 LINEAR_ORDER = 2
 #: Frames between two points of the seek table.
-SEEK_EVERY = 64
+SEEK_EVERY = 4
 
 
 class FlacError(ValueError):
@@ -147,7 +147,7 @@ def encode_frames(x: np.ndarray, first: list[int]) -> list[bytes]:
     """Frames of the rows of x (int32 samples of one length), numbered as given."""
     m, size = x.shape
     linear = linear_coefficients(x) if size > 2 else np.zeros((m, 2), np.int32)
-    options = [("fixed", o, rice(fixed_residual(x, o))) for o in range(min(3, size))]
+    options = [("fixed", o, rice(fixed_residual(x, o))) for o in range(min(2, size))]
     if size > LINEAR_ORDER:
         options.append(("linear", LINEAR_ORDER, rice(linear_residual(x, linear))))
     cost = np.stack([8 * o + r[2] + 10 + (9 + 2 * PRECISION) * (kind == "linear") for kind, o, r in options] + [np.full(m, 8 * size)])

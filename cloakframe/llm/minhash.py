@@ -158,25 +158,26 @@ def edits(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, sign binary) of every row."""
+    """(doc_id, text_key, sign binary) of every row; equal keys for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in common.blocks(batch):
                 sign = signatures(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(sign)), pa.array([x.tobytes() for x in sign], pa.binary())], ["doc_id", "sign"])
+                own = [batch.column(c).slice(rows.start, len(sign)) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in sign], pa.binary())], ["doc_id", "text_key", "sign"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sign binary")
+    return docs.select("doc_id", "text", F.md5(common.whole_text().cast("binary")).alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key string, sign binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard): texts that share a band with the least id of the band, Jaccard verified.
 
-    Rows with equal signatures are grouped first and appear through their least id, so a large group
+    Rows with equal texts are grouped first and appear through their least id, so a large group
     of copies is one row; each band links its members to one of them, never to each other."""
     wide = PERMUTATIONS // BANDS
-    least = common.written(signed(docs).groupBy("sign").agg(F.min("doc_id").alias("doc_id")), "signs")
+    least = common.written(signed(docs).groupBy("text_key", "sign").agg(F.min("doc_id").alias("doc_id")), "signs")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sign", 1 + i * wide, wide)) for i in range(BANDS)))
     banded = least.select("doc_id", F.explode(bands).alias("band"))
     hub = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -28,12 +28,16 @@ from cloakframe.llm import common
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 SAMPLE = 3000
-EPOCHS, RATE = 4, 4.0
+#: At least so many passes and steps of gradient descent.
+EPOCHS, STEPS, RATE = 4, 12_000, 4.0
+#: Features that a mark counts for; a word has about as many grams.
+REPEATS = 8
 THRESHOLD = 0.7
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of a block and each text's range: words, 3-grams and 4-grams of bytes."""
+    """Feature numbers of a block and each text's range: words, 3-grams and 4-grams of bytes, and
+    marks for a word that repeats the word before and for three words that the text had before."""
     n = len(data)
     wide = np.zeros(n + 4, np.uint32)
     wide[:n] = data
@@ -42,11 +46,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     three = (grams * np.uint32(0x9E3779B1) ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) >> shift
     four = ((grams | wide[3 : n + 3] << np.uint32(24)) * np.uint32(0xC2B2AE35) ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) >> shift
     starts, ends, _ = common.word_spans(data, offsets)
-    words = (common.span_hash(common.prefix_hash(data), starts, ends) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint32)
+    whole = common.span_hash(common.prefix_hash(data), starts, ends)
+    words = (whole >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint32)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    twice = np.flatnonzero((whole[1:] == whole[:-1]) & (text[1:] == text[:-1])) + 1
+    three_words = common.mix(whole[:-2] * np.uint64(3) + whole[1:-1] * np.uint64(5) + whole[2:] * np.uint64(7) + text[2:].astype(np.uint64))
+    three_words = np.where(text[2:] == text[:-2], three_words, np.arange(len(three_words), dtype=np.uint64))
+    by_value = np.argsort(three_words, kind="stable")
+    again = by_value[1:][three_words[by_value][1:] == three_words[by_value][:-1]] + 2
     # A gram counts where it ends inside its text.
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-    where = np.concatenate([np.flatnonzero(left >= 3), np.flatnonzero(left >= 4), starts])
-    out = np.concatenate([three[left >= 3], four[left >= 4], words])
+    marks = [np.repeat(starts[x], REPEATS) for x in (twice, again)]
+    where = np.concatenate([np.flatnonzero(left >= 3), np.flatnonzero(left >= 4), starts, *marks])
+    out = np.concatenate([three[left >= 3], four[left >= 4], words, *(np.full(len(m), i, np.uint32) for i, m in enumerate(marks))])
     owner = np.searchsorted(offsets, where, side="right") - 1
     order = np.argsort(owner.astype(np.int32), kind="stable")
     return out[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))])
@@ -66,8 +78,9 @@ def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
         docs.append((found, (count / max(count.sum(), 1)).astype(np.float32)))
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(docs)))
+    steps, done = epochs * len(docs), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
@@ -102,6 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([numbers.astype(np.float32).tobytes()]), pa.array([bias])], ["numbers", "bias"])
 
     model = training_rows(docs, labels).repartition(1).mapInArrow(run, "numbers binary, bias double").first()
+    if model is None:  # no labelled row reached the task
+        return train([], [])
     return np.frombuffer(bytes(model["numbers"]), np.float32), model["bias"]
 
 
