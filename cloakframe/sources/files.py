@@ -95,7 +95,6 @@ def serialised(parsed: object) -> tuple[str, list[tuple[int, int, str]], int]:
     return "".join(out) + "\n", spans, leaves
 
 
-@F.pandas_udf(f"struct<text:string,spans:{schema.SPANS},leaves:int,error:string>")
 def _json_rows(raw: pd.Series) -> pd.DataFrame:
     def one(value: str) -> tuple:
         try:
@@ -111,7 +110,8 @@ def _json_rows(raw: pd.Series) -> pd.DataFrame:
 
 def json_documents(files: DataFrame) -> DataFrame:
     """JSON in source order with the spans of its values. Python, as order is lost in variants."""
-    parsed = files.withColumn("_j", _json_rows(F.make_valid_utf8(F.col("content").cast("string"))))
+    read = F.pandas_udf(_json_rows, f"struct<text:string,spans:{schema.SPANS},leaves:int,error:string>")
+    parsed = files.withColumn("_j", read(F.make_valid_utf8(F.col("content").cast("string"))))
     return _row(parsed, "json", F.col("_j.text"), F.lit(None).cast("array<string>"), F.col("_j.error"), F.col("_j.spans"))
 
 
