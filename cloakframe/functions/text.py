@@ -160,14 +160,22 @@ def quoted(value: Column) -> Column:
 
 def derivative_findings(text: Column, names: Column) -> Column:
     """Tier 3: handles derived from the names, wherever they stand."""
-    forms = F.array_distinct(F.flatten(F.transform(names, derivatives)))
+    return let(derived_forms(names), lambda forms: let(derivative_pattern(forms), lambda p: pattern_hits(text, p)))
 
-    def search(ordered: Column) -> Column:
-        pattern = F.concat(F.lit(f"(?iu)(?<![{W}.])(?:"), F.array_join(F.transform(ordered, quoted), "|"), F.lit(f")(?![{W}])"))
-        # A pattern that never matches where there are no forms keeps the expression total.
-        return let(F.when(F.size(ordered) > 0, pattern).otherwise(F.lit("(?!)")), lambda p: places(text, p))
 
-    found = F.when(F.size(names) > 0, let(longest_first(forms), search)).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+def derived_forms(names: Column) -> Column:
+    return longest_first(F.array_distinct(F.flatten(F.transform(names, derivatives))))
+
+
+def derivative_pattern(forms: Column) -> Column:
+    """One pattern for all forms; where there are none, one that never matches."""
+    some = F.concat(F.lit(f"(?iu)(?<![{W}.])(?:"), F.array_join(F.transform(forms, quoted), "|"), F.lit(f")(?![{W}])"))
+    return F.when(F.size(forms) > 0, some).otherwise(F.lit("(?!)"))
+
+
+def pattern_hits(text: Column, pattern: Column) -> Column:
+    """Tier 3 findings of a pattern from derivative_pattern()."""
+    found = places(text, pattern)
     return F.transform(found, lambda x: finding(x["start"], x["start"] + F.length(x["value"]), "HANDLE", x["value"], "derivative"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import tokens
-from cloakframe.functions.text import W, let, longest_first, occurrences, quoted
+from cloakframe.functions.text import W, barrier, let, longest_first, occurrences, quoted
 
 #: Private characters that mark substituted values while a text is taken apart.
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -41,8 +41,19 @@ def _replaced(marked: Column, mapping: Column) -> Column:
 def substituted(text: Column, values: Column, mapping: Column, spans: Column | None = None) -> Column:
     """struct<text, n>: every occurrence of a value as its placeholder; of structured documents
     inside value spans only, each span on its own. text is null where the mapping has a gap."""
-    none = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    return F.when(F.size(values) > 0, let(alternation(values), lambda p: let(_marked(text, p, spans), lambda m: F.struct(_replaced(m, mapping).alias("text"), F.regexp_count(m, F.lit(OPEN)).alias("n"))))).otherwise(none)
+    return let(_marked(text, alternation(values), spans), lambda m: _counted(text, m, values, mapping))
+
+
+def with_substitution(df: DataFrame, text: Column, values: Column, mapping: Column, spans: Column | None = None) -> DataFrame:
+    """df with `_s`, as substituted() has it, evaluated step by step."""
+    out = barrier(df, "_p", alternation(values))
+    out = barrier(out, "_m", F.when(F.size(values) > 0, _marked(text, F.col("_p"), spans)).otherwise(text))
+    return barrier(out, "_s", _counted(text, F.col("_m"), values, mapping)).drop("_p", "_m")
+
+
+def _counted(text: Column, marked: Column, values: Column, mapping: Column) -> Column:
+    made = F.struct(_replaced(marked, mapping).alias("text"), F.regexp_count(marked, F.lit(OPEN)).alias("n"))
+    return F.when(F.size(values) > 0, made).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
 
 
 def _marked(text: Column, pattern: Column, spans: Column | None) -> Column:

@@ -26,10 +26,10 @@ def anonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", spans:
     """docs with session_id, findings, vault, anonymized, n_findings, n_tokens, n_unique, n_replaced, extra, leaks
     and status: ok, no_findings, or why the row is blocked. One projection: no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = barrier(docs.withColumn("session_id", session_id(F.col(key))), "findings", detect.detect(body, F.col(spans) if spans else None, F.col(ner) if ner else None))
+    found = detect.with_findings(docs.withColumn("session_id", session_id(F.col(key))), body, F.col(spans) if spans else None, F.col(ner) if ner else None)
     entered = barrier(found, "vault", vault.entries(F.col("findings")))
     values = F.transform("vault", lambda e: e["value"])
-    made = barrier(entered, "_s", substitute.substituted(body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None))
+    made = substitute.with_substitution(entered, body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None)
     out = made.withColumn("anonymized", F.col("_s.text")).withColumn("n_replaced", F.col("_s.n")).drop("_s")
     out = barrier(out, "leaks", F.when(F.col("anonymized").isNull(), F.array().cast("array<string>")).otherwise(substitute.leaks(F.col("anonymized"), values)))
     failed = (F.col("ner_status") == "failed") if "ner_status" in docs.columns else F.lit(False)

@@ -81,7 +81,7 @@ def test_overlap_equals_a_plain_loop(spark):
 
 TEXTS = [
     "Jane Roe\njane.roe@x.org, 555-123-4567\nCATEGORY of jane.roe@x.org; janeroe1 at JaneRoe99",
-    "no findings here",
+    "no findings, here",
     None,
     "  \n ",
     "Amy Lee\n" + " ".join(f"u{i}@mail.com" for i in range(120)),
@@ -203,10 +203,10 @@ def test_ner(spark):
 
         return run
 
-    got = ner.with_ner(rows(spark, ["Ann xyz", "fail", ""]), analyzer)
+    got = ner.with_ner(rows(spark, ["Ann, xyz", "fail", ""]), analyzer)
     assert [r["ner_status"] for r in got.orderBy("doc_id").collect()] == ["ready", "failed", "ready"]
     made = {r["doc_id"]: r for r in pipeline.anonymized(got, ner="ner").collect()}
-    assert made[0]["anonymized"] == "<<PERSON_01>> xyz"
+    assert made[0]["anonymized"] == "<<PERSON_01>>, xyz"
     assert made[1]["status"] == "ner_failed"
     none = ner.with_ner(rows(spark, ["Ann"]), None).first()
     assert none["ner_status"] == "unavailable"
