@@ -20,10 +20,13 @@ def anonymize_stream(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return pipeline.split(pipeline.anonymized(docs, key), key)[0]
 
 
-def number_stream(turns: DataFrame, session: str = "session_id", timeout_ms: int = 3_600_000) -> DataFrame:
+def number_stream(turns: DataFrame, session: str = "session_id", timeout_ms: int | None = 3_600_000) -> DataFrame:
     """A stream of new vault entries (session, value, entity_type, token) of sessions that span turns
-    (session, seq, text). State is the session's values; it goes after `timeout_ms` without a turn."""
-    found = turns.select(session, "seq", F.explode(detect.detect(F.col("text"))).alias("f")).select(session, "seq", F.col("f.start").alias("start"), F.col("f.value").alias("value"), F.col("f.entity_type").alias("entity_type"))
+    (session, seq, text). State is the session's values; it goes after `timeout_ms` without a turn.
+
+    With a timeout, Spark plans empty batches for ever to look for expired sessions, so a trigger that
+    should end (availableNow) takes None: state then stays in the checkpoint for the next run."""
+    found = detect.with_findings(turns, F.col("text")).select(session, "seq", F.explode("findings").alias("f")).select(session, "seq", F.col("f.start").alias("start"), F.col("f.value").alias("value"), F.col("f.entity_type").alias("entity_type"))
 
     def mint(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,12 +43,13 @@ def number_stream(turns: DataFrame, session: str = "session_id", timeout_ms: int
                 counts[entity] = int(counts.get(entity, 0)) + 1
                 new.append((key[0], value, entity, counts[entity]))
         state.update((values, [f"{k}={v}" for k, v in counts.items()]))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         if new:
             yield pd.DataFrame(new, columns=[session, "value", "entity_type", "ord"])
 
     kind = turns.schema[session].dataType.simpleString()
-    minted = found.groupBy(session).applyInPandasWithState(mint, f"{session} {kind}, value string, entity_type string, ord int", "seen array<string>, counts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    minted = found.groupBy(session).applyInPandasWithState(mint, f"{session} {kind}, value string, entity_type string, ord int", "seen array<string>, counts array<string>", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     return minted.withColumn("token", token(F.col("entity_type"), F.col("ord")))
 
 

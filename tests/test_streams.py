@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from cloakframe.streaming import streams
@@ -13,3 +15,25 @@ def test_transforms_accept_streams(spark, tmp_path):
     minted = streams.number_stream(read)
     assert (cleared.isStreaming, cleared.columns) == (True, ["doc_id", "session_id", "text"])
     assert (minted.isStreaming, minted.columns) == (True, ["session_id", "value", "entity_type", "ord", "token"])
+
+
+def rows(df, name, tmp_path):
+    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(100)
+    finally:
+        query.stop()
+    return {tuple(r) for r in df.sparkSession.table(name).collect()}
+
+
+def test_streams_run_to_their_end(spark, tmp_path):
+    schema = "session_id string, seq int, text string"
+    for part, turns in enumerate([[("s", 1, "mail a@b.cc and c@d.ee"), ("t", 1, "d@e.ff")], [("s", 2, "c@d.ee, then g@h.ii"), ("u", 1, None)]]):
+        spark.createDataFrame(turns, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 * (1 - part))  # files of one second have no order
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    minted = rows(streams.number_stream(read, timeout_ms=None), "minted", tmp_path)
+    expected = [("s", "a@b.cc", 1), ("s", "c@d.ee", 2), ("s", "g@h.ii", 3), ("t", "d@e.ff", 1)]
+    assert minted == {(s, v, "EMAIL", n, f"<<EMAIL_0{n}>>") for s, v, n in expected}
+    cleared = rows(streams.anonymize_stream(read.withColumn("doc_id", F.concat_ws(":", "session_id", "seq"))), "cleared", tmp_path)
+    assert {(r[0], r[2]) for r in cleared} >= {("t:1", "<<EMAIL_01>>"), ("s:1", "mail <<EMAIL_01>> and <<EMAIL_02>>")}
