@@ -30,6 +30,8 @@ WEAK = {
 }
 #: Code points between two parts that may still belong to one credential.
 SCOPE = 240
+#: Copies of one text are dealt over so many keys; only the few rows of links are repeated.
+SALT = 16
 RESULT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
@@ -90,11 +92,14 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with base and linked findings: RESULT, `base` and `found` (arrays of s, k, e)."""
     text = common.whole_text()
     key = "_key"
-    docs = docs.drop(*RESULT, "base", "found", key).withColumn(key, F.md5(text.cast("binary")))
+    spread = [c for c in ("doc_id",) if c in docs.columns] or [F.lit(0)]
+    docs = docs.drop(*RESULT, "base", "found", key, "_salt").withColumn(key, F.md5(text.cast("binary")))
     links = linked(parts(docs.select(key, "text"), key).distinct(), key, scope)
     links = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e"))).alias("_links"))
+    links = links.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     kinds = [found(text, ASSIGN, 0, 6), found(text, ACCESS, 1), found(text, HEX, 2)]
-    out = docs.withColumn("base", F.array_sort(F.concat(*kinds))).join(links.hint("merge"), key, "left").drop(key)
+    docs = docs.withColumn("base", F.array_sort(F.concat(*kinds))).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int"))
+    out = docs.join(links.hint("merge"), [key, "_salt"], "left").drop(key, "_salt")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     out = out.withColumn("found", F.array_sort(F.concat("base", F.coalesce("_links", none)))).drop("_links")
     names = F.array(*map(F.lit, (*KINDS, LINKED)))
