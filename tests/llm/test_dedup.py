@@ -203,9 +203,45 @@ def test_fingerprint_repeated_ids(make):
     assert len(rows) == 4
 
 
-def test_near_duplicates(make):
-    base = prose(400, 11)
-    texts = [base, base + " tail", prose(400, 12), base, prose(400, 13)]
-    found = minhash.near_duplicates(make(*texts)).collect()
-    assert {(r["a"], r["b"]) for r in found} == {(1, 0)}
-    assert found[0]["jaccard"] > 0.9
+def shingles(text: str | None) -> set[tuple]:
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def brute_classes(texts: list[str | None]) -> list[int]:
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            either = sets[i] | sets[j]
+            if (len(sets[i] & sets[j]) / len(either) if either else 1) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_near_duplicates(make, hot):
+    r = random.Random(17)
+    texts = [*EDGES[:-1], prose(400, 12)]
+    for family in range(4):  # chains: neighbours are alike, ends aren't
+        words = prose(300, 20 + family).split()
+        for _ in range(12):
+            texts.append(" ".join(words))
+            at = r.randrange(0, 270)
+            words[at : at + 22] = [w + "x" for w in words[at : at + 22]]
+    texts += texts[14:18]
+    found = {row["doc_id"]: row["class_id"] for row in minhash.near_duplicates(make(*texts), hot=hot).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_classes(texts)
+    links = minhash.near_links(make(*texts[:20]), hot=hot)
+    assert links.columns == ["a", "b", "jaccard"]
+    assert links.where("jaccard < 0.8").count() == 0
+
+
+def test_alike():
+    signs = np.random.default_rng(3).integers(0, 256, (40, 128)).astype(np.uint8)
+    signs[20:] = signs[:20]
+    signs[20:, :30] = 7
+    a, b = minhash.alike(signs, np.arange(40) % 20 + np.repeat([0, 100], 20), 0.6)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, i + 20) for i in range(20)]
+    assert not len(minhash.alike(signs, np.zeros(40), 0.6)[0])
