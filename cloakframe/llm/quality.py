@@ -102,7 +102,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = docs.where(~common.held_out()).select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", (F.col("quality") > 0).cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # An id may have any number of rows; one text of each is learned from.
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), (F.max("quality") > 0).cast("int").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
