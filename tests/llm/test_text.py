@@ -252,6 +252,27 @@ def test_redaction(make):
     assert "wJalr" not in rows[len(EDGES) + 5]["text"]
 
 
+LONG_KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+ASSIGNED = {
+    f"AWS_ACCESS_KEY_ID=AKIA{'Q7' * 8}\nAWS_SECRET_ACCESS_KEY={LONG_KEY}\n": LONG_KEY,
+    f"export S3_USER_LOGIN='abc1'\nexport S3_REGION_2_STORE_KEY={LONG_KEY}": LONG_KEY,
+    f"Endpoint=sb://ns.example.net/;SharedAccessKeyName=Root;SharedAccessKey={LONG_KEY}123=;": LONG_KEY + "123=",
+    f"AccountName=abc;AccountKey={LONG_KEY}==;EndpointSuffix=example.net": LONG_KEY + "==",
+    f"https://api.example.com/v1?user=abc&sig={LONG_KEY}&x=1": LONG_KEY,
+}
+
+
+def linked_values(make, texts):
+    rows = {r["doc_id"]: r["found"] for r in secret_scan.scan(make(*texts)).collect()}
+    return [[t[x["s"] : x["e"]] for x in rows[i] if x["k"] == 3] for i, t in enumerate(texts)]
+
+
+def test_linked_values_after_an_equals_sign(make):
+    texts = [*ASSIGNED, f"STORE_KEY={LONG_KEY}", f"user=abc S3_REGION_2_STORE_KEYNAME={'x' * 30}"]
+    assert linked_values(make, texts) == [[v] for v in ASSIGNED.values()] + [[], []]
+    assert not any(LONG_KEY in r["text"] for r in secret_scan.redact(make(*ASSIGNED)).collect())
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
