@@ -23,11 +23,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts. An identifier names an account, an endpoint a service, an opaque value may be a key.
-#: An opaque value may follow '=', as in KEY=VALUE; a name before '=' and a value is none.
+#: An opaque value may follow '=', as in KEY=VALUE; a name before '=' and a value is none. It has
+#: any length: it starts at one place of a run only and gives nothing back, so the cost is linear.
 WEAK = {
     "id": r"(?i:client_?id|user(?:name)?|login|account(?:_?name)?|access_?key(?:_?id)?)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9_.@-]{3,64}",
     "endpoint": r"(?:[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]{3,80}|\b[a-z0-9-]{1,40}(?:\.[a-z0-9-]{1,40}){0,3}\.amazonaws\.com)",
-    "opaque": r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])",
+    "opaque": r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])",
 }
 #: Code points between two parts that may still belong to one credential.
 SCOPE = 240

@@ -273,6 +273,21 @@ def test_linked_values_after_an_equals_sign(make):
     assert not any(LONG_KEY in r["text"] for r in secret_scan.redact(make(*ASSIGNED)).collect())
 
 
+def test_linked_values_of_any_length(make):
+    account, access, part, run = "aB3/" * 21 + "xY==", "T0ken-" * 15, "eyJhbGciOiJ1" * 9, "Zz9" * 30_000
+    late = "a" * 70 + "B" + "c" * 70 + "4"
+    texts = {
+        f"AccountName: abc AccountKey={account};": [account],
+        f"client_id: abc1234 access {access}": [access],
+        f"https://api.example.com bearer {part}.{part}1.{part}": [part, part + "1", part],
+        f"login: abc {run}": [run],
+        f"login: abc {late}": [late],
+        f"login: abc {'a' * 200}1": [],
+        f"alone {account}": [],
+    }
+    assert linked_values(make, list(texts)) == list(texts.values())
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
