@@ -159,7 +159,7 @@ def q09_name_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a header name, a handle made of it appended twice: free, and inside a word."""
+    """A probe for each document with a header name: its first handle alone, free and inside a word, not the text."""
     found = documents(spark, sf_dir).withColumn("name", F.get(T.header_findings(F.col("text")), F.lit(0))["value"])
     form = F.get(T.derivatives(F.col("name")), F.lit(0))
     return found.where(F.col("name").isNotNull()).withColumn("h", form).where(F.col("h").isNotNull()).select("doc_id", "name", F.concat(F.lit("mail "), F.upper("h"), F.lit(", not x"), "h", F.lit(" nor "), "h", F.lit("x; see "), "h")).toDF("doc_id", "name", "text")
@@ -174,6 +174,28 @@ def q10_derivative_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(rows, "doc_id", T.derivative_findings(F.col("text"), F.array("name"))).select("doc_id", "s", "value")
 
 
+_PROBE = "'mail ' || upper({0}) || ', not x' || {0} || ' nor ' || {0} || 'x; see ' || {0}"
+
+
+def _texts_with_handles(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, text): whole texts with a header name, and a probe of every handle made of it appended."""
+    probe = lambda h: F.concat(F.lit("mail "), F.upper(h), F.lit(", not x"), h, F.lit(" nor "), h, F.lit("x; see "), h)
+    named = T.barrier(docs, "name", F.get(T.header_findings(F.col("text")), F.lit(0))["value"]).where(F.col("name").isNotNull())
+    named = T.barrier(named, "forms", F.array_sort(T.derivatives(F.col("name")))).where(F.size("forms") > 0)
+    return named.select("doc_id", "name", F.concat_ws("\n", F.col("text"), F.array_join(F.transform("forms", probe), "\n")).alias("text"))
+
+
+@query(
+    rf"""WITH {_NAMES}, h AS (SELECT doc_id, list_sort({_FORMS}) AS forms FROM names), t AS (SELECT doc_id, forms, text || chr(10) || array_to_string(list_transform(forms, lambda h: {_PROBE.format("h")}), chr(10)) AS text FROM h JOIN documents USING (doc_id) WHERE len(forms) > 0),
+    p AS (SELECT doc_id, text, form, string_split(lower(text), form) AS parts FROM (SELECT *, unnest(forms) AS form FROM t)),
+    o AS (SELECT doc_id, text, form, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(form)))::BIGINT AS s FROM p)
+    SELECT doc_id, s, text[s + 1:s + length(form)] AS value FROM o WHERE NOT regexp_matches(CASE WHEN s > 0 THEN text[s:s] ELSE '' END, '[\p{{L}}\p{{N}}_.]') AND NOT regexp_matches(text[s + length(form) + 1:s + length(form) + 1], '[\p{{L}}\p{{N}}_]')"""
+)
+def q10_derivatives_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts_with_handles(documents(spark, sf_dir))
+    return exploded(rows, "doc_id", T.derivative_findings(F.col("text"), F.array("name"))).select("doc_id", "s", "value")
+
+
 @query(
     f"""WITH f AS ({O.tier1("documents", "doc_id", "text")}) SELECT doc_id, entity_type, s, e, value FROM f JOIN (SELECT doc_id, length(text) AS n FROM documents) USING (doc_id)
     WHERE e <= n // 2 OR s >= n // 2 + 10"""

@@ -11,7 +11,7 @@ from cloakframe.config import Options
 from cloakframe.functions import model_api, tokens
 from cloakframe.functions import text as T
 from cloakframe.operators import detect, logs, metrics, ner, overlap, substitute, vault
-from cloakframe.plans import pipeline
+from cloakframe.plans import catalogue, pipeline
 from cloakframe.sources import files, model
 
 
@@ -242,3 +242,15 @@ def test_options():
 def test_detection_confined_to_spans(spark):
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(6).alias("end"), F.lit("a").alias("path")))
     assert one(spark, F.size(detect.detect(F.col("t"), spans)), t="a@b.cc d@e.ff") == 1
+
+
+def test_derivatives_in_whole_texts(spark, tmp_path):
+    """Handles that stand in the text itself, every form, and offsets behind a long text."""
+    body = "Maria Schuster\n" + "plain words 😀 " * 3000 + "ask M.Schuster or schuster-x, mariaschuster. Not xmariaschuster\n"
+    rows(spark, [body, "no name: 1", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r["s"], r["value"]) for r in catalogue.QUERIES["q10_derivatives_in_texts"](spark, str(tmp_path)).collect()}
+    assert {(body.index(v), v) for v in ("M.Schuster", "mariaschuster")} <= found
+    forms = ["mariaschuster", "mschuster", "marias", "schustermaria", "maria.schuster", "maria_schuster", "maria-schuster", "m.schuster"]
+    behind = [v for s, v in found if s > len(body)]
+    assert sorted(behind) == sorted(v for f in forms if len(f) >= 8 for v in (f, f.upper()))
+    assert len(found) == len(behind) + 2
