@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import tokens
+from cloakframe.functions.text import barrier, let, quoted
 from cloakframe.operators.substitute import resolvable
 
 
@@ -69,6 +70,40 @@ def resolvability(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.withColumn("resolves", resolvable(F.col("text"), F.col("value"), F.col("occurrence"))).drop("text")
 
 
+#: Between white space, with at most one mark behind: what stands inside an address or a number is no word.
+_FREE = (r"(?<![^\x20\x09-\x0D])", r"(?=[.,;:!?]?(?![^\x20\x09-\x0D]))")
+
+
+def free_words(text: Column) -> Column:
+    """Words of three letters or more that stand free in a text, with repeats."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{_FREE[0]}\p{{L}}{{3,}}+{_FREE[1]}"), F.lit(0))
+
+
+def replaced(values: Column, text: Column, anonymized: Column) -> Column:
+    """Those of an array of values that stand free in the anonymized text less often than in the text."""
+    pattern = lambda v: F.concat(F.lit(_FREE[0]), quoted(v), F.lit(_FREE[1]))
+    count = lambda t, v: F.regexp_count(F.coalesce(t, F.lit("")), pattern(v))
+    # Plain counts come first, as a pattern for each value is dear: a lost value is lost outside the placeholders too.
+    plain = lambda t, v: F.length(F.replace(t, v, F.lit(""))) - F.length(t)
+    less = lambda clear, v: (plain(text, v) < plain(clear, v)) & (count(text, v) > count(anonymized, v))
+    clear = F.regexp_replace(F.coalesce(anonymized, F.lit("")), tokens.TOKEN, " ")
+    lost = let(clear, lambda c: F.filter(values, lambda v: (F.length(v) > 0) & less(c, v)))
+    return F.when(text.eqNullSafe(anonymized), F.array().cast("array<string>")).otherwise(lost)
+
+
+def controls_kept(controls: DataFrame, made: DataFrame) -> DataFrame:
+    """(doc_id, n_controls, n_replaced, replaced) of values that must stay in clear, rows (doc_id, value),
+    in texts (doc_id, text, anonymized): over-detection by document."""
+    each = controls.groupBy("doc_id").agg(F.array_sort(F.collect_set("value")).alias("controls"))
+    return control_counts(made.select("doc_id", "text", "anonymized").join(each, "doc_id"))
+
+
+def control_counts(rows: DataFrame) -> DataFrame:
+    """The same of rows that hold their `controls` as an array."""
+    rows = barrier(rows, "replaced", replaced(F.col("controls"), F.col("text"), F.col("anonymized")))
+    return rows.select("doc_id", F.size("controls").cast("long").alias("n_controls"), F.size("replaced").cast("long").alias("n_replaced"), "replaced")
+
+
 def label_counts(labels: DataFrame) -> DataFrame:
     """Labels by phase and by type, context and subject each: one pass with grouping sets."""
     sets = labels.groupingSets([["phase", "type"], ["phase", "context"], ["phase", "subject"], ["phase"]], "phase", "type", "context", "subject")

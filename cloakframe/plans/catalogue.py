@@ -426,12 +426,30 @@ def q31_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 'x' || item_id AS item, contains(o_orderpriority, upper(substr(text, 1, 1))) AS hit FROM orders, benchmark WHERE o_orderkey % 1000 = item_id")
 def q31_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controls paired with documents by key: does a value that must stay in clear turn up?"""
+    """A join by key and a substring test; over-detection is measured by q31_replaced_controls."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.upper(F.substring("text", 1, 1)).alias("c"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.join(items, F.col("o_orderkey") % 1000 == F.col("item_id")).select("o_orderkey", F.concat(F.lit("x"), F.col("item_id").cast("string")).alias("item"), F.contains("o_orderpriority", "c").alias("hit"))
 
 
+_FREE_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '^\p{{L}}{{3,}}[.,;:!?]?$')), lambda x: regexp_replace(x, '[.,;:!?]$', ''))"
+
+
+@query(
+    f"""{O.pipeline()}, terms AS (SELECT DISTINCT unnest({_FREE_WORDS.format("text")}) AS w FROM benchmark),
+    before AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_FREE_WORDS.format("text")}) AS w FROM anon) JOIN terms USING (w) GROUP BY ALL),
+    after AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_FREE_WORDS.format("out")}) AS w FROM anon) JOIN terms USING (w) GROUP BY ALL),
+    c AS (SELECT doc_id, w, b.n > coalesce(a.n, 0) AS lost FROM before b LEFT JOIN after a USING (doc_id, w))
+    SELECT d.doc_id, count(w)::BIGINT AS n_controls, count(w) FILTER (lost)::BIGINT AS n_replaced, coalesce(string_agg(w, ',' ORDER BY w) FILTER (lost), '') AS replaced FROM anon d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""
+)
+def q31_replaced_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over-detection: free words of each text that are terms of the benchmark, and which of them were replaced."""
+    terms = read(spark, sf_dir, "benchmark").select(F.explode(metrics.free_words(F.col("text"))).alias("w")).agg(F.collect_set("w").alias("terms"))
+    made = _made(spark, sf_dir).select("doc_id", "text", "anonymized").join(F.broadcast(terms))
+    rows = T.barrier(made, "controls", F.array_sort(F.array_intersect(metrics.free_words(F.col("text")), "terms")))
+    return metrics.control_counts(rows).withColumn("replaced", F.array_join("replaced", ","))
+
+
 _MESSAGE = "concat('user ', user_id, ' did ', event_type, ' ', props)"
 
 

@@ -254,3 +254,25 @@ def test_derivatives_in_whole_texts(spark, tmp_path):
     behind = [v for s, v in found if s > len(body)]
     assert sorted(behind) == sorted(v for f in forms if len(f) >= 8 for v in (f, f.upper()))
     assert len(found) == len(behind) + 2
+
+
+def test_replaced_controls(spark, tmp_path):
+    """Controls are held against the anonymized texts of their documents, whatever the ids are."""
+    texts = ["Maria Schuster\nred Schuster met Maria Schuster. red, example", "no name, example 1\nred a@example.com red", "Red Rose\nred rose Rose", None]
+    docs = rows(spark, texts).withColumn("doc_id", F.col("doc_id") + 5000)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    terms = [(1, "red example. Rose,"), (2, "rose Red Schuster")]
+    spark.createDataFrame(terms, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["q31_replaced_controls"](spark, str(tmp_path)).collect()
+    want = {5000: (3, 1, "Schuster"), 5001: (2, 0, ""), 5002: (4, 2, "Red,Rose"), 5003: (0, 0, "")}
+    assert {r["doc_id"]: (r["n_controls"], r["n_replaced"], r["replaced"]) for r in got} == want
+
+
+def test_negative_controls_of_label_files(spark, tmp_path):
+    controls = {"a": ["Red Rose", "tea", ""], "b": ["a@example.com"]}
+    for doc, values in controls.items():
+        (tmp_path / f"{doc}_labels.json").write_text(json.dumps({"doc_id": doc, "negative_controls": [{"value": v, "note": ""} for v in values]}))
+    made = [("a", "Red Rose\nlikes tea", "<<PERSON_01>>\nlikes tea"), ("b", "write a@example.com!", "write a@example.com!")]
+    texts = spark.createDataFrame(made, "doc_id string, text string, anonymized string")
+    got = metrics.controls_kept(files.negative_controls(spark, str(tmp_path)), texts).collect()
+    assert {r["doc_id"]: (r["n_controls"], r["replaced"]) for r in got} == {"a": (3, ["Red Rose"]), "b": (1, [])}
