@@ -54,7 +54,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(documents(spark, sf_dir)).select("doc_id", *secret_scan.RESULT)
+    return secret_scan.scan(documents(spark, sf_dir), keep_text=False).select("doc_id", *secret_scan.RESULT)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_mixing_to_weights": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing_to_weights": mixing.ORACLE, "op10_secret_scan": secret_scan.ORACLE}

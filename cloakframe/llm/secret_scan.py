@@ -1,41 +1,55 @@
 """Secret scans with multipart credential linking.
 
-Base findings are three patterns; weak parts (identifiers, opaque values, endpoints) count for
-nothing alone and are reported only where complementary parts stand within one scope of each
-other. The parts meet in an interval join on grid cells of a scope's width.
+Base findings are three patterns. Weak parts (identifiers, endpoints, opaque values) count for nothing alone: an
+interval join reports an identifier or endpoint only within one scope of a secret (an assigned, hexadecimal
+or opaque value), and an opaque value only within one scope of an identifier, an access key or an endpoint. No
+part has a longest length. The parts meet on grid cells of a scope's width, by row and cell, so a text that
+many rows share and a text of any length are spread alike.
 
 Only DataFrame functions: matches and their code-point offsets come from pairing the pieces that
-split() leaves with the values that regexp_extract_all() returns.
+split() leaves with the values that regexp_extract_all() returns. The texts are searched once; what
+was found is written, and the join works on slim rows.
 
 Defined cases: a null text counts as empty; a text without matches has counts of 0, the digest of
-the empty string and spans ''; repeated rows are each reported; columns that are not asked for are
-kept by scan() and redact() unless they carry a name from RESULT, which is replaced.
+the empty string and spans ''; repeated rows are each reported; an empty table gives an empty table; a very long
+text is one row of the search and many rows of the join; columns that are not asked for are kept, but scan() replaces
+those named as in RESULT, `base` and `found`. redact() keeps every column and only changes text and n_chars.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.text import barrier
 from cloakframe.llm import common
+from cloakframe.plans import oracle
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
-#: Weak parts. An identifier names an account, an endpoint a service, an opaque value may be a key.
-#: An opaque value may follow '=', as in KEY=VALUE; a name before '=' and a value is none. It has
-#: any length: it starts at one place of a run only and gives nothing back, so the cost is linear.
-WEAK = {
-    "id": r"(?i:client_?id|user(?:name)?|login|account(?:_?name)?|access_?key(?:_?id)?)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9_.@-]{3,64}",
-    "endpoint": r"(?:[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]{3,80}|\b[a-z0-9-]{1,40}(?:\.[a-z0-9-]{1,40}){0,3}\.amazonaws\.com)",
-    "opaque": r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])",
-}
+LEAST_VALUE = 6
+#: An identifier names an account, an endpoint a service.
+IDENTIFIER = r"""(?i:client_?id|user(?:name)?|login|account(?:_?name)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+ENDPOINT = r"""://[A-Za-z0-9._~%:@-]{3,}|\.amazonaws\.com|(?i:end_?point|host(?:_?name)?|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._~%:@-]{3,}"""
+#: An opaque value may be a key: it has a digit and a capital, and may follow '=', as in KEY=VALUE; a name before '='
+#: and a value is none. It starts at one place of a run only and gives nothing back, so the cost is linear.
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+#: Kinds in the order of listing; the first three are the base.
+PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "id": IDENTIFIER, "endpoint": ENDPOINT, "opaque": OPAQUE}
+KINDS = tuple(PATTERNS)
+BASE = 3
+SECRETS, PARTNERS = (0, 2, 5), (1, 3, 4)
+#: Kinds that redact() takes out: identifiers and endpoints are reported, but are no secrets.
+REDACTED = (0, 1, 2, 5)
 #: Code points between two parts that may still belong to one credential.
 SCOPE = 240
-#: Copies of one text are dealt over so many keys; only the few rows of links are repeated.
-SALT = 16
 RESULT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
+SPANS = "array<struct<s:int,k:int,e:int>>"
+#: Columns of this module's own tables.
+ROW, ALL, OPEN, LINKS, NEW = "__secret_row", "__secret_all", "__secret_open", "__secret_links", "__secret_new"
+
 
 def found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column:
     """Matches of a pattern as array<struct<s, k, e>>, offsets in code points, end exclusive.
@@ -44,7 +58,7 @@ def found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column
     pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_value else values
     # Running offsets: the fold keeps the end of the last match beside the list.
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    none = F.array().cast(SPANS)
     step = F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("p"), values.alias("v"), tails.alias("t"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -58,70 +72,104 @@ def found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
-KINDS = ("assign", "access", "hex")
-LINKED = "linked"
+def searched(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """docs with ROW, ALL (base findings and parts) and OPEN (whether the join may add to the base), written."""
+    text = common.whole_text()
+    every = F.array_sort(F.concat(*(found(text, p, k, LEAST_VALUE if k == 0 else 0) for k, p in enumerate(PATTERNS.values()))))
+    rows = docs.select("*", F.monotonically_increasing_id().alias(ROW), every.alias(ALL))
+    has = lambda kinds: F.exists(ALL, lambda x: x["k"].isin(*kinds))
+    rows = rows.withColumn(OPEN, has(range(BASE, len(KINDS))) & has(SECRETS) & has(PARTNERS))
+    return common.written(rows if keep_text else rows.drop("text"), "secrets")
 
 
-def parts(docs: DataFrame, key: str) -> DataFrame:
-    """Rows (key, role, s, e) of every part that can belong to a multipart credential."""
-    text = common.whole_text()
-    weak = {role: found(text, p, i) for i, (role, p) in enumerate(WEAK.items())}
-    access = found(text, ACCESS, 0)
+def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Of parts (ROW, s, k, e): the weak ones with a complementary part within `scope`.
 
-    def named(role: str, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(F.lit(role).alias("role"), x["s"].alias("s"), x["e"].alias("e")))
+    Every part lies in the cells that it and half a scope on either side touch; two parts within
+    a scope share a cell, and the distance decides. Cells hold few parts, as those of a kind don't overlap."""
+    cell = F.explode(F.sequence(F.floor((F.col("s") - scope // 2 - 1) / scope), F.floor((F.col("e") + scope // 2 + 1) / scope)))
+    placed = parts.withColumn("cell", cell)
 
-    roles = F.concat(*(named(role, spans) for role, spans in [*weak.items(), ("id", access)]))
-    # An opaque value needs another part beside it: texts without one send nothing.
-    opaque = text.rlike(WEAK["opaque"]) & (text.rlike(WEAK["id"]) | text.rlike(ACCESS) | text.rlike(WEAK["endpoint"]))
-    return docs.where(opaque).select(key, F.explode(roles).alias("p")).select(key, "p.*")
+    def beside(kinds: tuple[int, ...], partners: tuple[int, ...]) -> DataFrame:
+        other = placed.where(F.col("k").isin(*partners)).select(F.col(ROW).alias("r2"), F.col("cell").alias("c2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+        near = (F.col("s2") - F.col("e") <= scope) & (F.col("s") - F.col("e2") <= scope) & ((F.col("e2") <= F.col("s")) | (F.col("s2") >= F.col("e")))
+        return placed.where(F.col("k").isin(*kinds)).join(other, (F.col(ROW) == F.col("r2")) & (F.col("cell") == F.col("c2")) & near, "left_semi")
 
+    weak = range(BASE, len(KINDS))
+    both = beside(tuple(k for k in SECRETS if k in weak), PARTNERS).unionByName(beside(tuple(k for k in PARTNERS if k in weak), SECRETS))
+    return both.select(ROW, "s", "k", "e").distinct()
 
-def linked(parts_: DataFrame, key: str, scope: int = SCOPE) -> DataFrame:
-    """Opaque values with an identifier or endpoint within `scope`: rows (key, s, e).
 
-    Every part lies in the cells that it and half a scope on either side touch; two parts within
-    a scope share a cell, and the distance decides. Cells hold few parts, as parts don't overlap."""
-    cell = F.explode(F.sequence(F.floor((F.col("s") - scope // 2 - 1) / scope), F.floor((F.col("e") + scope // 2 + 1) / scope)))
-    placed = parts_.withColumn("cell", cell)
-    value = placed.where("role = 'opaque'").select(key, "cell", "s", "e")
-    other = placed.where("role <> 'opaque'").select(F.col(key).alias("_k"), F.col("cell").alias("_c"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    near = (F.col("_s") - F.col("e") <= scope) & (F.col("s") - F.col("_e") <= scope) & ((F.col("_e") <= F.col("s")) | (F.col("_s") >= F.col("e")))
-    return value.join(other, (F.col(key) == F.col("_k")) & (F.col("cell") == F.col("_c")) & near, "left_semi").select(key, "s", "e").distinct()
+def with_links(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Rows of searched() with LINKS: only rows that may have one pass through the join."""
+    open_ = rows.where(OPEN)
+    parts = open_.select(ROW, F.explode(ALL).alias("p")).select(ROW, "p.*")
+    links = linked(parts, scope).groupBy(ROW).agg(F.collect_list(F.struct("s", "k", "e")).alias(LINKS))
+    joined = open_.join(links.hint("merge"), ROW, "left").withColumn(LINKS, F.coalesce(LINKS, F.array().cast(SPANS)))
+    return joined.unionByName(rows.where(~F.col(OPEN)).withColumn(LINKS, F.array().cast(SPANS)))
+
+
+def _base() -> Column:
+    return F.filter(ALL, lambda x: x["k"] < BASE)
+
 
+def _found() -> Column:
+    return F.array_sort(F.concat(_base(), LINKS))
 
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+
+def scan(docs: DataFrame, scope: int = SCOPE, keep_text: bool = True) -> DataFrame:
     """docs with base and linked findings: RESULT, `base` and `found` (arrays of s, k, e)."""
-    text = common.whole_text()
-    key = "_key"
-    spread = [c for c in ("doc_id",) if c in docs.columns] or [F.lit(0)]
-    docs = docs.drop(*RESULT, "base", "found", key, "_salt").withColumn(key, F.md5(text.cast("binary")))
-    links = linked(parts(docs.select(key, "text"), key).distinct(), key, scope)
-    links = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e"))).alias("_links"))
-    links = links.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    kinds = [found(text, ASSIGN, 0, 6), found(text, ACCESS, 1), found(text, HEX, 2)]
-    docs = docs.withColumn("base", F.array_sort(F.concat(*kinds))).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int"))
-    out = docs.join(links.hint("merge"), [key, "_salt"], "left").drop(key, "_salt")
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    out = out.withColumn("found", F.array_sort(F.concat("base", F.coalesce("_links", none)))).drop("_links")
-    names = F.array(*map(F.lit, (*KINDS, LINKED)))
+    rows = with_links(searched(docs.drop(*RESULT, "base", "found"), keep_text), scope)
+    own = [c for c in rows.columns if c not in (ROW, ALL, OPEN, LINKS)]
+    rows = rows.select(*own, _base().alias("base"), _found().alias("found"))
+    names = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return out.select("*", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"))
+    return rows.select("*", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by `mark`; overlapping spans become one mark."""
-    columns = docs.columns
-    cut = F.aggregate(
-        "found",
+    """docs with every found secret replaced by `mark`; overlapping spans become one mark. Identifiers and
+    endpoints stay, as they are harmless without their secret."""
+    rows = with_links(searched(docs))
+    cut = F.filter(_found(), lambda x: x["k"].isin(*REDACTED))
+    text = F.col("text")
+    walked = F.aggregate(
+        cut,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"))).otherwise(
+        lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"))).otherwise(
             F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
         ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = scan(docs).withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    # Evaluated once, behind a generator: both columns that it changes read the result.
+    rows = barrier(rows, NEW, F.when(F.size(cut) > 0, walked))
+    new = {"text": F.coalesce(NEW, "text"), "n_chars": F.coalesce(F.length(NEW).cast("long"), "n_chars") if "n_chars" in docs.columns else None}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _hits(kind: int, pattern: str) -> str:
+    keep = f"length(regexp_extract(value, {oracle.text(pattern)}, 2)) >= {LEAST_VALUE}" if kind == 0 else "true"
+    plain = re.sub(r"\((?!\?)", "(?:", pattern)
+    return f"SELECT doc_id, {kind} AS k, s, s + length(value) AS e FROM ({oracle.places('whole', 'doc_id', 'text', plain)}) WHERE {keep}"
+
+
+#: DuckDB SQL for scan(). It has no look-around: an opaque value is a run whose neighbours are tested apart.
+ORACLE = f"""
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+runs AS (
+  SELECT doc_id, list_sum(list_transform(parts[1:(i - 1)], lambda x: length(x)))::BIGINT AS s, parts[i] AS value, regexp_replace(parts[i], '=+$', '') AS run, regexp_matches(parts[i + 1], '^[A-Za-z0-9+/_-]') OR (parts[i + 1] = '' AND i + 1 < len(parts)) AS goes_on
+  FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM (SELECT doc_id, string_split(replace({oracle.marked("text", "[A-Za-z0-9+/_-]{20,}=*")}, {oracle.CLOSE}, {oracle.OPEN}), {oracle.OPEN}) AS parts FROM whole))),
+hits AS (
+  {" UNION ALL ".join(_hits(k, p) for k, p in enumerate(PATTERNS.values()) if p != OPAQUE)}
+  UNION ALL SELECT doc_id, 5, s, s + length(value) FROM runs WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Z]') AND NOT starts_with(run, 'AKIA') AND length(value) - length(run) <= 2 AND NOT goes_on),
+near AS (
+  SELECT a.doc_id, a.k AS k1, a.s AS s1, a.e AS e1, b.k AS k2, b.s AS s2, b.e AS e2 FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.k IN (0, 2, 5) AND b.k IN (1, 3, 4)
+    AND b.s - a.e <= {SCOPE} AND a.s - b.e <= {SCOPE} AND (b.e <= a.s OR b.s >= a.e)),
+every AS (
+  SELECT * FROM hits WHERE k < 3 UNION SELECT doc_id, k1, s1, e1 FROM near WHERE k1 >= 3 UNION SELECT doc_id, k2, s2, e2 FROM near WHERE k2 >= 3),
+listed AS (SELECT *, [{", ".join(f"'{k}'" for k in KINDS)}][(k + 1)::INT] || ':' || s || ':' || e AS one FROM every)
+SELECT w.doc_id, count(*) FILTER (k = 0)::BIGINT AS n_assign, count(*) FILTER (k = 1)::BIGINT AS n_access, count(*) FILTER (k = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(one, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(one, ',' ORDER BY s, k), '') AS spans
+FROM whole w LEFT JOIN listed l USING (doc_id) GROUP BY w.doc_id
+"""

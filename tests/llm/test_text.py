@@ -203,6 +203,7 @@ def test_language_masks():
 
 # --- secrets -----------------------------------------------------------------------------------
 
+LONG_KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 SECRETS = [
     "password = 'hunter22' and Token:abc123 but secret=x",
     "secret=token=abcdef api-key: no apiKEY \"\" : zzz passwd\":\"qwerty==",
@@ -235,10 +236,36 @@ def test_secrets(make):
         base = brute_base(text or "")
         listed = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
         assert rows[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), text
-        assert [rows[i][f"n_{k}"] for k in secret_scan.KINDS] == [sum(k == x[1] for x in base) for k in range(3)]
+        assert [rows[i][f"n_{k}"] for k in secret_scan.KINDS[:3]] == [sum(k == x[1] for x in base) for k in range(3)]
         assert set(listed.split(",")) - {""} <= set(rows[i]["spans"].split(","))
-    n = len(EDGES)
-    assert ["linked" in rows[n + i]["spans"] for i in range(10)] == [False] * 5 + [True, False, False, True, False]
+
+
+def brute_spans(text: str, scope: int = secret_scan.SCOPE) -> list[tuple[int, int, int]]:
+    """All spans by comparing every part with every other."""
+    hits = brute_base(text)
+    for k, pattern in enumerate((secret_scan.IDENTIFIER, secret_scan.ENDPOINT), 3):
+        hits += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.ASCII)]
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+(=*)", text):
+        run = m[0].rstrip("=")
+        free = len(m[1]) <= 2 and not re.match("[A-Za-z0-9+/_-]", text[m.end() : m.end() + 1])
+        if len(run) >= 20 and free and re.search("[0-9]", run) and re.search("[A-Z]", run) and not run.startswith("AKIA"):
+            hits.append((m.start(), 5, m.end()))
+    near = lambda a, b: max(a[0], b[0]) - min(a[2], b[2]) <= scope and (a[2] <= b[0] or b[2] <= a[0])
+    side = lambda k: k in (1, 3, 4)
+    return sorted(a for a in hits if a[1] < 3 or any(side(a[1]) != side(b[1]) and near(a, b) for b in hits))
+
+
+def test_links_equal_brute_force(make):
+    r = random.Random(12)
+    some = ["AKIA" + "Q7" * 8, "user=abc12", "login: x1.y", "https://api.example.com/v1", "host = db-1", LONG_KEY, LONG_KEY * 60 + "==", "token=abcdef9", "ab12" * 9, "word", "\n", "🙂", "." * 200, " " * 90, "s3.amazonaws.com", "KEY=" + LONG_KEY]
+    texts = [*EDGES, *SECRETS, *("".join(r.choice(some) + r.choice([" ", "", "\n", ", "]) for _ in range(r.randint(1, 25))) for _ in range(150))]
+    rows = {x["doc_id"]: x for x in secret_scan.scan(make(*texts, *texts[-20:])).collect()}
+    linked = 0
+    for i, text in enumerate([*texts, *texts[-20:]]):
+        want = brute_spans(text or "")
+        linked += sum(k >= 3 for _, k, _ in want)
+        assert rows[i]["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want), text
+    assert linked > 100
 
 
 def test_redaction(make):
@@ -249,10 +276,14 @@ def test_redaction(make):
             assert rows[i]["text"] == text
     assert rows[len(EDGES)]["text"] == "[SECRET]' and [SECRET] but secret=x"
     assert rows[len(EDGES)]["n_chars"] == len(rows[len(EDGES)]["text"])
+    docs = make(*texts).withColumnRenamed("lang", "found").withColumnRenamed("source", "spans")
+    kept = secret_scan.redact(docs).collect()
+    assert secret_scan.redact(docs).columns == docs.columns
+    assert {(x["found"], x["spans"]) for x in kept} == {("en", "s0")}
+    assert {x["text"] for x in kept} == {x["text"] for x in rows.values()}
     assert "wJalr" not in rows[len(EDGES) + 5]["text"]
 
 
-LONG_KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 ASSIGNED = {
     f"AWS_ACCESS_KEY_ID=AKIA{'Q7' * 8}\nAWS_SECRET_ACCESS_KEY={LONG_KEY}\n": LONG_KEY,
     f"export S3_USER_LOGIN='abc1'\nexport S3_REGION_2_STORE_KEY={LONG_KEY}": LONG_KEY,
@@ -264,7 +295,7 @@ ASSIGNED = {
 
 def linked_values(make, texts):
     rows = {r["doc_id"]: r["found"] for r in secret_scan.scan(make(*texts)).collect()}
-    return [[t[x["s"] : x["e"]] for x in rows[i] if x["k"] == 3] for i, t in enumerate(texts)]
+    return [[t[x["s"] : x["e"]] for x in rows[i] if x["k"] == 5] for i, t in enumerate(texts)]
 
 
 def test_linked_values_after_an_equals_sign(make):
