@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Only in local mode, where one machine has all files, a temporary
+    one is set if there is none; executors elsewhere couldn't see each other's."""
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cloakframe-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
@@ -41,7 +45,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -203,23 +216,46 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+#: A key with more rows than this, and than a quarter of a task's share, is dealt over several tasks.
+SHARE = 256
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:
+    """many joined with `one` (a row for each key, with n: the rows that many has of it) on key.
+
+    Keys of many rows are dealt over several tasks by a hash of `spread`, and their row in `one` is repeated as
+    often. With `total` rows in many, at most 4 times the number of partitions have that many: the list of them
+    is small by construction, and broadcast."""
+    limit = max(SHARE, total // (4 * partitions(many.sparkSession)))
+    hot = F.broadcast(one.where(F.col("n") > limit).select(F.col(key).alias("__k"), F.ceil(F.col("n") / limit).cast("int").alias("__of")))
+    here = lambda df: df.join(hot, df[key] == F.col("__k"), "left").drop("__k")
+    left = here(many).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__of")).cast("int"), F.lit(0))).drop("__of")
+    right = here(one.drop("n")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__of"), F.lit(1)) - 1))).drop("__of")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b); root is the smallest node it reaches.
 
     Alternates large and small stars: every node links its larger neighbours, then its smaller
-    ones, to the smallest node it sees. Each round is written to the shared folder. All work is
-    joins and partial aggregates; no node's neighbours are gathered in one row."""
+    ones, to the smallest node it sees. Each round is written to the shared folder, and the one before it
+    deleted. All work is joins and partial aggregates; the neighbours of a node with many are dealt over tasks."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state()
     for _ in range(rounds):
+        if not seen[0]:
+            break
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.where("a <> b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined(both, low, "a", ["b"], 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where("a <> b").distinct(), "stars")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low, "a", ["b"], seen[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        before, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        discard(before)
+        discard(large)
+        now = state()
         if now == seen:
             break
         seen = now

@@ -2,36 +2,39 @@
 
 A 64-bit fingerprint maps to the bit counts of its segments. Flipping a bit moves one count by one,
 so the Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints.
-The embedding's dimensions fall into GROUPS groups; within distance LIMIT, at least
-GROUPS - LIMIT groups have distance zero, so the points of any link share a grid cell made of the
-counts of some GROUPS - LIMIT groups. Within a cell the Manhattan bound comes first, the exact
+The embedding's dimensions fall into groups; within distance LIMIT, all groups but LIMIT have distance
+zero, so the points of any link share a grid cell made of the counts of all groups but some LIMIT. Within a cell the Manhattan bound comes first, the exact
 distance of the surviving pairs after it.
 
 Only distinct fingerprints meet. Cells are sorted, not gathered, and leave Python as a spanning
-forest. A cell with more than HOT fingerprints isn't compared pair by pair: its members send
-the values that differ from them by at most one bit and at most two bits, and all that meet at a
-value are linked to one of the first kind, which is exact, and linear in the cell's size.
+forest. The members of a cell with more than HOT fingerprints meet again on a finer grid (more groups, of which as
+many as before may differ), which is as exact and has smaller cells. What is still larger on the finest grid is
+dealt into blocks, of which any two meet. Cells, Manhattan bound and exact distance decide at every size.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer than three
-words make one shingle; repeated rows share a component; with no id at all the component is null;
-columns that are not asked for are dropped by classes() and kept by deduplicate().
+words make one shingle; repeated rows share a component; with no id at all the component is null; an empty
+table gives an empty one; a text of any length is one row; classes() drops columns that are not asked for, and
+deduplicate() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cloakframe.llm import common
 
 WIDTH, SEED, LIMIT = 3, 42, 3
-SEGMENT_BITS, GROUPS = 2, 6
+SEGMENT_BITS = 2
+#: Groups of the grid, and of the finer grids of dense cells: 20, 84 and 220 cells a fingerprint.
+GROUPS = (6, 9, 12)
 HOT = 4096
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,21 +56,21 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def fingerprints(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, also..., fp long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = common.utf8(batch.column(1))
             raw = memoryview(data)
             fps = [fingerprint(bytes(raw[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps, pa.int64())], ["doc_id", *also, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *also))
+    return docs.select("doc_id", "text", *also).mapInArrow(run, f"{own}, fp long")
 
 
-def cells(fps: DataFrame) -> DataFrame:
+def cells(fps: DataFrame, groups: int = GROUPS[0]) -> DataFrame:
     """(cell, fp): the grid cells of each fingerprint's embedding, one for each choice of groups.
 
     The counts of a segment of two bits are 0, 1, 2: a cell's counts pack into a long."""
@@ -76,13 +79,14 @@ def cells(fps: DataFrame) -> DataFrame:
     packed = F.lit(0).cast("long")
     for i, c in enumerate(counts):
         packed = packed.bitwiseOR(F.shiftleft(c.cast("long"), 2 * i))
-    edges = [round(n * g / GROUPS) for g in range(GROUPS + 1)]
+    edges = [round(n * g / groups) for g in range(groups + 1)]
     masks = []
-    for chosen in combinations(range(GROUPS), GROUPS - LIMIT):
+    for chosen in combinations(range(groups), groups - LIMIT):
         mask = sum(3 << (2 * i) for g in chosen for i in range(edges[g], edges[g + 1]))
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("v").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
-    return fps.withColumn("v", packed).select("fp", F.explode(keys).alias("cell"))
+    # The array is a literal of the plan; each of its masks makes one cell.
+    masked = F.transform(F.array(*map(F.lit, masks)), lambda m, i: F.xxhash64(i, F.col("v").bitwiseAND(m)))
+    return fps.withColumn("v", packed).select("fp", F.explode(masked).alias("cell"))
 
 
 _COUNTS = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
@@ -154,49 +158,61 @@ def cell_links(rows: DataFrame) -> DataFrame:
     return rows.select("cell", "fp").mapInArrow(run, "a long, b long")
 
 
-def ball_links(fps: DataFrame) -> DataFrame:
-    """(a, b) links that connect all fingerprints within LIMIT bits, without comparing pairs."""
-    signed = [x - (1 << 64) if x >> 63 else x for x in (1 << i for i in range(64))]
-    ones_ = [0, *signed]
-    twos = [a ^ b for a, b in combinations(signed, 2)]
-    near = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, ones_)), lambda m: F.col("fp").bitwiseXOR(m))).alias("z"), F.lit(True).alias("one"))
-    far = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, twos)), lambda m: F.col("fp").bitwiseXOR(m))).alias("z"), F.lit(False).alias("one"))
-    hub = near.groupBy("z").agg(F.min("fp").alias("b"))
-    return near.unionByName(far).join(hub, "z").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+def blocks(dense: DataFrame, hot: int) -> DataFrame:
+    """Rows (cell, fp) of cells with n members, dealt into parts of about `hot` of which any two meet in a cell of their own."""
+    parts = F.ceil(F.col("n") / hot).cast("int")
+    dealt = dense.withColumn("side", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.select(F.xxhash64("cell", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "fp")
 
 
 def roots(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) of the distinct fingerprints `fps` (fp) that have a link."""
-    spark = fps.sparkSession
-    placed = cells(fps)
-    size = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.written(placed.join(size, "cell"), "cells")
-    n = common.partitions(spark)
-    links = cell_links(shared.where(F.col("n") <= hot).repartition(n, "cell").sortWithinPartitions("cell", "fp"))
-    dense = shared.where(F.col("n") > hot).select("fp").distinct()
-    if dense.limit(1).count():
-        links = links.unionByName(ball_links(dense))
+    n = common.partitions(fps.sparkSession)
+    links = None
+    for groups in GROUPS:
+        placed = cells(fps, groups)
+        size = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n"))
+        total = fps.count() * comb(groups, LIMIT)
+        shared = common.written(common.joined(placed, size, "cell", ["fp"], total).withColumnRenamed("members", "n"), "cells")
+        dense = shared.where(F.col("n") > hot)
+        last = not dense.limit(1).count()
+        rows = shared.where(F.col("n") <= hot).select("cell", "fp")
+        if groups == GROUPS[-1] and not last:
+            rows = rows.unionByName(blocks(dense, hot))
+        found = cell_links(rows.repartition(n, "cell").sortWithinPartitions("cell", "fp"))
+        links = found if links is None else links.unionByName(found)
+        if last:
+            break
+        fps = common.written(dense.select("fp").distinct(), "dense")
     return common.components(links)
 
 
+def grouped(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows (doc_id, fp, ...), a written table, with root (one fingerprint for all that links reach) and component_id."""
+    total = rows.count()
+    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    root = roots(distinct.select("fp"), hot)
+    of = distinct.join(root, distinct["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "least", "root", F.col("n").alias("rows"))
+    of = common.written(of, "roots")
+    component = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = common.written(common.joined(of.drop("least"), component, "root", ["fp"], total).withColumnRenamed("rows", "n"), "members")
+    return common.joined(rows, of, "fp", [c for c in rows.columns if c != "fp"], total)
+
+
 def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
-    rows = common.written(fingerprints(docs), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = common.written(least, "distinct")
-    root = roots(distinct.select("fp"), hot)
-    joined = distinct.join(root, distinct["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "root").join(component, "root").select("fp", "component_id")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    found = grouped(common.written(fingerprints(docs), "fingerprints"), hot)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs without all but one row of each component: the row with the smallest id stays.
-
-    Rows that repeat that id count as copies too; the first in the order of their text stays."""
-    first = classes(docs, hot).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    """docs without all but one row of each component: the row with the smallest id stays, null ids last.
+
+    Of rows that repeat that id, the one whose text has the least hash stays. Rows are numbered in a written
+    copy of docs, so the texts move once, dealt by that number."""
+    kept = common.written(docs.select(F.monotonically_increasing_id().alias("__row"), *(F.col(f"`{c}`") for c in docs.columns)), "numbered")
+    own = kept.select("doc_id", "text", F.col("__row").alias("row"), F.xxhash64(common.whole_text()).alias("tie"))
+    rows = common.written(fingerprints(own, ("row", "tie")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    first = grouped(rows, hot).groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
+    return kept.join(first, "__row", "left_semi").drop("__row")
