@@ -17,7 +17,9 @@ S = r"\s\x1c-\x1f\x85\p{Z}"
 D = r"\p{Nd}"
 
 # The shapes that tier 1 recognises.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# A local part is tried once in a run of its characters, from the run's beginning or the end of the match before: other
+# starts of the run end at the same character, and a megabyte without a blank stays linear.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 URL = rf"""(?iu)(?<![{W}])(?:https?://|www\.)[^{S}<>"')\]]+|(?iu)(?<![{W}])(?:linkedin\.com|github\.com)/[^{S}<>"')\]]+"""
 PHONE = (
     rf"(?<![{W}.])(?:\+{D}{{1,3}}[{S}.\-]?)?(?:\({D}{{1,4}}\)[{S}.\-]?|{D}{{1,4}}[{S}.\-])?"
@@ -26,7 +28,9 @@ PHONE = (
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 HEADER = rf"^{_LETTER}[{W}'’\-.]*(?: {_LETTER}[{W}'’\-.]*){{1,3}}$"
 PHONE_DIGITS = 9
-TRAILING = r"[.,;:)]+$"
+TRAILING = r"(?<![.,;:)])[.,;:)]++$"
+#: White space at the end of a line's text.
+RIGHT = rf"(?<![{S}])[{S}]++$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,11 +74,14 @@ def places(text: Column, pattern: str | Column, group: int = 0) -> Column:
     return F.when(F.regexp_like(text, pattern), walked).otherwise(empty)
 
 
-def pattern_findings(text: Column) -> Column:
-    """Tier 1: e-mail addresses, URLs and phone numbers, in this order."""
+PATTERNS = {"EMAIL": EMAIL, "URL": URL, "PHONE": PHONE}
 
-    def kind(entity: str, pattern: str) -> Column:
-        found = places(text, pattern)
+
+def pattern_findings(text: Column, *kinds: str) -> Column:
+    """Tier 1: e-mail addresses, URLs and phone numbers, in this order; or only some kinds."""
+
+    def of(entity: str) -> Column:
+        found = places(text, PATTERNS[entity])
         if entity == "PHONE":
             found = F.filter(found, lambda x: F.length(F.regexp_replace(x["value"], rf"[^{D}]", "")) >= PHONE_DIGITS)
 
@@ -84,7 +91,7 @@ def pattern_findings(text: Column) -> Column:
 
         return F.transform(found, one)
 
-    return F.concat(kind("EMAIL", EMAIL), kind("URL", URL), kind("PHONE", PHONE))
+    return F.concat(*(of(k) for k in PATTERNS if not kinds or k in kinds))
 
 
 def header_findings(text: Column) -> Column:
@@ -96,7 +103,7 @@ def _header_of(lines: Column) -> Column:
     blank = rf"^[{S}]*$"
     at = F.array_position(F.transform(lines, lambda x: ~x.rlike(blank)), F.lit(True)).cast("int")
     line = F.element_at(lines, at)
-    name = F.regexp_replace(F.regexp_replace(line, rf"^[{S}]+", ""), rf"[{S}]+$", "")
+    name = F.regexp_replace(F.regexp_replace(line, rf"^[{S}]+", ""), RIGHT, "")
     lead = F.length(F.array_join(F.slice(lines, 1, at - 1), "\n")) + F.when(at > 1, 1).otherwise(0)
     start = lead + F.length(line) - F.length(F.regexp_replace(line, rf"^[{S}]+", ""))
     # Superscripts count as digits as well.
@@ -189,9 +196,10 @@ def normalise_columns(text: Column) -> Column:
     """Layout text to lines: wide gaps break the line, narrow ones are one space, no blank runs."""
     text = F.regexp_replace(text, " {6,}", "\n")
     text = F.regexp_replace(text, " {2,5}", " ")
-    text = F.regexp_replace(text, rf"[{S}&&[^\n]]+(?=\n|$(?![\s\S]))", "")
+    blank = rf"[{S}&&[^\n]]"
+    text = F.regexp_replace(text, rf"(?<!{blank}){blank}++(?=\n|$(?![\s\S]))", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(text, r"^\n+", ""), r"\n+$(?![\s\S])", "")
+    return F.regexp_replace(F.regexp_replace(text, r"^\n+", ""), r"(?<!\n)\n++$(?![\s\S])", "")
 
 
 def line_number(text: Column, at: Column) -> Column:
@@ -204,6 +212,17 @@ def occurrences(text: Column, value: Column) -> Column:
     return F.when(F.length(value) > 0, F.size(F.split(text, quoted(value), -1)) - 1).otherwise(0)
 
 
+def nth_place(text: Column, value: Column, n: Column) -> Column:
+    """0-based offset of the n-th occurrence of a value, without overlaps; null where there are fewer."""
+
+    def at(parts: Column) -> Column:
+        before = F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
+        return F.when((n > 0) & (F.size(parts) > n), before + (n - 1) * F.length(value))
+
+    return F.when(F.length(value) > 0, let(F.split(text, quoted(value), -1), at))
+
+
+# Markers of fonts whose characters are icons.
 ICON_FONTS = ("fontawesome", "wingding", "dingbat", "glyphicon", "materialicons", "octicon", "entypo", "ionicons")
 
 

@@ -11,7 +11,12 @@ from cloakframe.functions.text import W, places
 TOKEN = r"<<[A-Z_]+_[0-9]{2,}>>"
 ENTITY = r"^<<([A-Z_]+)_[0-9]{2,}>>$"
 #: A looser form that a model may leave behind; it reports failures and never resolves them.
-MANGLED = rf"(?<![{W}<])(?:<<|<|\[\[|\[|\{{\{{|⟪)?[\s\p{{Z}}]*([A-Za-z_]+_\p{{Nd}}{{2,}})[\s\p{{Z}}]*(?:>>|>|\]\]|\]|\}}\}}|⟫)?(?![{W}>])"
+_GAP = r"[\s\p{Z}]"
+# A remnant without an opening starts at a run of blanks or one blank into it, never deeper, so a long run is read twice at most.
+MANGLED = (
+    rf"(?<![{W}<])(?:(?:<<|<|\[\[|\[|\{{\{{|⟪){_GAP}*+|(?<!{_GAP}{_GAP}){_GAP}*+)"
+    rf"([A-Za-z_]+_\p{{Nd}}{{2,}}){_GAP}*(?:>>|>|\]\]|\]|\}}\}}|⟫)?(?![{W}>])"
+)
 
 
 def token(entity: Column, number: Column) -> Column:
@@ -62,6 +67,7 @@ def altered_tokens(text: Column, reverse: Column, reported: Column) -> Column:
     return F.array_distinct(F.transform(hit, lambda x: x["whole"]))
 
 
+# The names of the modes.
 def mangling(value: Column, response: Column) -> Column:
     """How a lost placeholder was altered."""
     inner = F.regexp_replace(F.regexp_replace(value, "^<<", ""), ">>$", "")

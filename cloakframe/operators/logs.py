@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cloakframe.functions.text import longest_first, quoted
 
 LEAST, CAPACITY, MARK = 4, 2000, "[REDACTED]"
+#: Labels that one task holds beside the messages: at most so many rows are broadcast.
+SMALL = 10_000
 
 
 def secret(value: Column) -> Column:
@@ -28,12 +30,33 @@ def redacted(message: Column, secrets: Column) -> Column:
     return F.when(F.length(pattern) > 0, F.regexp_replace(message, pattern, F.lit(MARK))).otherwise(message)
 
 
-def leaked(logs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (label_id, value) that stand in some message. A containment join: it compares every label
-    with every message, so it is meant for label files, which are small; Spark broadcasts them only
-    below its own limit."""
+def secrets_table(vault: DataFrame, files: DataFrame) -> DataFrame:
+    """(secret): what logs must not show: values of the vault, and names of files (filename)."""
+    values = vault.select(secret(F.col("value")).alias("secret")).where("secret is not null")
+    names = files.select(F.explode(filename_secrets(F.col("filename"))).alias("secret"))
+    return values.unionByName(names).distinct()
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{LEAST}}}))"), F.lit(1)))
+
+
+def leaked(logs: DataFrame, labels: DataFrame, small: int = SMALL) -> DataFrame:
+    """Labels (..., value) that stand in some message.
+
+    Up to `small` labels are counted and broadcast, and each message is searched for them. More of them meet the
+    messages on the substring of LEAST characters that is rarest among the messages, and the value decides."""
     known = labels.where(F.length("value") >= LEAST)
-    return known.join(logs.select("message"), F.contains(F.col("message"), F.col("value")), "left_semi")
+    messages = logs.select("message").distinct()
+    if known.limit(small + 1).count() <= small:
+        return known.join(F.broadcast(messages.join(F.broadcast(known.select(F.col("value").alias("v")).distinct()), F.contains("message", F.col("v"))).select(F.col("v").alias("value")).distinct()), "value", "left_semi").select(*labels.columns)
+    grams = messages.select("message", F.explode(_grams(F.col("message"))).alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # A value of which some part stands in no message stands in none.
+    parts = known.select("value").distinct().select("value", F.explode(_grams(F.col("value"))).alias("gram")).join(frequency, "gram", "left")
+    rare = parts.groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("value", "g.gram")
+    found = rare.join(grams, "gram").where(F.contains("message", "value")).select("value").distinct()
+    return known.join(found, "value", "left_semi").select(*labels.columns)
 
 
 def newest(logs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import tokens
-from cloakframe.functions.text import barrier, let, quoted
+from cloakframe.functions.text import barrier, let, nth_place, quoted
 from cloakframe.operators.substitute import resolvable
 
 
@@ -65,9 +65,10 @@ def recall(labels: DataFrame, anonymized: DataFrame) -> DataFrame:
 
 
 def resolvability(labels: DataFrame, documents: DataFrame) -> DataFrame:
-    """labels with `resolves`: whether the labelled occurrence stands in the document."""
+    """labels with `resolves`, whether the labelled occurrence stands in the document, and `place`, where."""
     joined = labels.join(documents.select("doc_id", "text"), "doc_id")
-    return joined.withColumn("resolves", resolvable(F.col("text"), F.col("value"), F.col("occurrence"))).drop("text")
+    place = nth_place(F.col("text"), F.col("value"), F.coalesce("occurrence", F.lit(1)))
+    return joined.withColumn("resolves", resolvable(F.col("text"), F.col("value"), F.col("occurrence"))).withColumn("place", place).drop("text")
 
 
 #: Between white space, with at most one mark behind: what stands inside an address or a number is no word.

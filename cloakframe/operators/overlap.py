@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.schema import FINDINGS
@@ -13,18 +13,58 @@ def by_start(findings: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["f"])
 
 
+def clusters(findings: Column) -> Column:
+    """Findings as arrays of those that hang together: each begins where no earlier one reaches."""
+
+    def step(acc: Column, f: Column) -> Column:
+        apart = f["start"] >= acc["end"]
+        done = F.when(apart & (F.size(acc["open"]) > 0), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        open_ = F.when(apart, F.array(f)).otherwise(F.concat(acc["open"], F.array(f)))
+        return F.struct(F.greatest(acc["end"], f["end"]).alias("end"), open_.alias("open"), done.alias("done"))
+
+    keyed = F.transform(findings, lambda f, i: F.struct(f["start"].alias("s"), i.alias("i"), f.alias("f")))
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["f"])
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(FINDINGS).alias("open"), F.array().cast(f"array<{FINDINGS}>").alias("done"))
+    return F.aggregate(ordered, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+
+
 def resolved(findings: Column) -> Column:
     """Greedy, the longest first: ties by start, then by the order in which they came. A finding stays
-    if it is disjoint from all that stayed before it. Ordered by start."""
-    keyed = F.transform(findings, lambda f, i: F.struct((f["start"] - f["end"]).alias("n"), f["start"].alias("s"), i.alias("i"), f.alias("f")))
+    if it is disjoint from all that stayed before it. Ordered by start.
+
+    Only findings that hang together are compared; nearly all of a text's stand alone."""
 
     def step(kept: Column, x: Column) -> Column:
         meets = F.exists(kept, lambda k: (x["f"]["start"] < k["end"]) & (k["start"] < x["f"]["end"]))
         return F.when(meets, kept).otherwise(F.concat(kept, F.array(x["f"])))
 
-    return by_start(F.aggregate(F.array_sort(keyed), F.array().cast(FINDINGS), step))
+    def greedy(cluster: Column) -> Column:
+        # A cluster is in the order of starts and, where equal, of arrival: ties need no more than the place in it.
+        keyed = F.transform(cluster, lambda f, i: F.struct((f["start"] - f["end"]).alias("n"), i.alias("i"), f.alias("f")))
+        return by_start(F.aggregate(F.array_sort(keyed), F.array().cast(FINDINGS), step))
+
+    return F.flatten(F.transform(clusters(findings), lambda c: F.when(F.size(c) == 1, c).otherwise(greedy(c))))
 
 
 def clipped(findings: Column, spans: Column) -> Column:
     """Findings that lie within some value span."""
     return F.filter(findings, lambda f: F.exists(spans, lambda s: (f["start"] >= s["start"]) & (f["end"] <= s["end"])))
+
+
+def resolved_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """resolved() of a table (key, start, end, order, ...) whose keys may have any number of rows: `order` says
+    which came first. Windows cut each key into clusters that hang together, and only those are gathered."""
+    by_place = Window.partitionBy(key).orderBy("start", order)
+    reach = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.withColumn("_new", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0))
+    cut = cut.withColumn("_cluster", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    others = [F.col(c) for c in rows.columns if c not in (key, "start", "end", order)]
+    each = F.struct((F.col("start") - F.col("end")).alias("n"), F.col("start").alias("start"), F.col(order).alias(order), F.col("end").alias("end"), *others)
+    groups = cut.groupBy(key, "_cluster").agg(F.array_sort(F.collect_list(each)).alias("_all"))
+
+    def step(kept: Column, x: Column) -> Column:
+        meets = F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.when(F.size("_all") == 1, F.col("_all")).otherwise(F.aggregate("_all", F.slice("_all", 1, 0), step))
+    return groups.select(key, F.explode(kept).alias("_k")).select(key, "_k.*").select(*rows.columns)

@@ -21,14 +21,19 @@ def entries(findings: Column) -> Column:
 
 
 def _entries(findings: Column) -> Column:
-    values = F.array_distinct(F.transform(findings, lambda f: f["value"]))
-    first = F.transform(values, lambda v: F.struct(v.alias("value"), F.get(F.filter(findings, lambda f: f["value"] == v), F.lit(0))["entity_type"].alias("entity_type")))
+    # Sorted by value and place, the first row of each value has its type: no value looks through all findings.
+    placed = F.array_sort(F.transform(findings, lambda f, i: F.struct(f["value"].alias("value"), i.alias("at"), f["entity_type"].alias("entity_type"))))
+    return let(placed, lambda rows: let(F.filter(rows, lambda x, i: (i == 0) | ~F.get(rows, i - 1)["value"].eqNullSafe(x["value"])), _numbered))
 
-    def numbered_(rows: Column) -> Column:
-        number = lambda x, i: F.size(F.filter(F.slice(rows, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"]))
-        return F.transform(rows, lambda x, i: F.struct(x["value"].alias("value"), x["entity_type"].alias("entity_type"), token(x["entity_type"], number(x, i)).alias("token")))
 
-    return let(first, numbered_)
+def _numbered(firsts: Column) -> Column:
+    def of(kind: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter(firsts, lambda x: x["entity_type"] == kind), lambda x: F.struct(x["at"].alias("at"), x["value"].alias("value"))))
+        return F.transform(own, lambda x, i: F.struct(x["at"].alias("at"), x["value"].alias("value"), kind.alias("entity_type"), token(kind, i + 1).alias("token")))
+
+    kinds = F.array_distinct(F.transform(firsts, lambda x: x["entity_type"]))
+    ordered = F.array_sort(F.flatten(F.transform(kinds, of)))
+    return F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["entity_type"].alias("entity_type"), x["token"].alias("token")))
 
 
 def forward(entries_: Column) -> Column:
@@ -60,6 +65,17 @@ def create(vault: DataFrame, sessions: DataFrame) -> DataFrame:
 destroy = create
 
 
+def destroyed(vault: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, removed): whether destroy() finds something of each requested session."""
+    known = vault.select("session_id").distinct().withColumn("removed", F.lit(True))
+    return sessions.select("session_id").distinct().join(known, "session_id", "left").select("session_id", F.coalesce("removed", F.lit(False)).alias("removed"))
+
+
+def live(vault: DataFrame) -> DataFrame:
+    """One row: the number of sessions."""
+    return vault.agg(F.countDistinct("session_id").alias("n_sessions"))
+
+
 def missing(vault: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requested sessions that the vault doesn't have."""
     return sessions.select("session_id").distinct().join(vault.select("session_id").distinct(), "session_id", "left_anti")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloakframe.config import PROVIDERS, Options
 from cloakframe.functions import model_api, tokens
 from cloakframe.functions import text as T
-from cloakframe.operators import detect, logs, metrics, overlap, substitute, vault
+from cloakframe.operators import detect, logs, metrics, ner, overlap, substitute, vault
 from cloakframe.plans import oracle as O  # noqa: N812
 from cloakframe.plans import pipeline
-from cloakframe.sources import model
+from cloakframe.sources import files, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,10 +36,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out where the scan has fewer partitions than the cluster has cores, as pattern search
-    is bound by the processor; larger inputs stay as they are read."""
+    """A table of fewer files than the cluster has cores is dealt out once, as pattern search is bound by the
+    processor and one file may be one task; tables of many files, as large ones are, stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +125,9 @@ def _values(kind: str) -> str:
     return f"SELECT id, s, value FROM ({O.tier1(BOTH, 'id', 'text')}) WHERE entity_type = '{kind}'"
 
 
-def _tier1(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
-    rows = exploded(both(spark, sf_dir), "id", T.pattern_findings(F.col("text")))
-    return rows.where(F.col("entity_type") == kind).select("id", "s", "value") if kind else rows.drop("tier")
+def _tier1(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    rows = exploded(both(spark, sf_dir), "id", T.pattern_findings(F.col("text"), *kinds))
+    return rows.select("id", "s", "value") if kinds else rows.drop("tier")
 
 
 @query(_values("EMAIL"))
@@ -158,22 +161,6 @@ def q09_name_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("doc_id", F.explode(T.derivatives(F.col("value"))).alias("form"))
 
 
-def _with_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe for each document with a header name: its first handle alone, free and inside a word, not the text."""
-    found = documents(spark, sf_dir).withColumn("name", F.get(T.header_findings(F.col("text")), F.lit(0))["value"])
-    form = F.get(T.derivatives(F.col("name")), F.lit(0))
-    return found.where(F.col("name").isNotNull()).withColumn("h", form).where(F.col("h").isNotNull()).select("doc_id", "name", F.concat(F.lit("mail "), F.upper("h"), F.lit(", not x"), "h", F.lit(" nor "), "h", F.lit("x; see "), "h")).toDF("doc_id", "name", "text")
-
-
-@query(
-    f"""WITH {_NAMES}, h AS (SELECT doc_id, {_FORMS}[1] AS h0, CASE WHEN length(f || l) >= 8 THEN f || l WHEN length(f[1] || l) >= 8 THEN f[1] || l WHEN length(f || l[1]) >= 8 THEN f || l[1] WHEN length(f || '.' || l) >= 8 THEN f || '.' || l END AS h FROM names)
-    SELECT doc_id, unnest([5, (5 + length(h) + 6 + 1 + length(h) + 5 + length(h) + 7)]::BIGINT[]) AS s, unnest([upper(h), h]) AS value FROM h WHERE h IS NOT NULL"""
-)
-def q10_derivative_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_handles(spark, sf_dir)
-    return exploded(rows, "doc_id", T.derivative_findings(F.col("text"), F.array("name"))).select("doc_id", "s", "value")
-
-
 _PROBE = "'mail ' || upper({0}) || ', not x' || {0} || ' nor ' || {0} || 'x; see ' || {0}"
 
 
@@ -216,10 +203,26 @@ def q11_clip_to_value_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q12_greedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = (F.col("event_id") * 13) % 211
-    one = T.finding(s, s + 1 + F.col("event_id") % 17, "X", F.col("event_id").cast("string"), "synthetic")
-    each = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", one.alias("f")))).alias("a"))
-    kept = exploded(each, "user_id", overlap.resolved(F.transform("a", lambda x: x["f"])))
-    return kept.select("user_id", long("value").alias("event_id"), "s", "e")
+    rows = read(spark, sf_dir, "events").select("user_id", s.alias("start"), (s + 1 + F.col("event_id") % 17).alias("end"), "event_id")
+    kept = overlap.resolved_rows(rows, "user_id", "event_id")
+    return kept.select("user_id", "event_id", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+@query(
+    f"""WITH raw AS ({O.tier1(BOTH, "id", "text")}), f AS (SELECT id, s, e, entity_type, CASE entity_type WHEN 'EMAIL' THEN 1 WHEN 'URL' THEN 2 ELSE 3 END AS p, value FROM raw UNION ALL SELECT id, greatest(s - 3, 0), s + 2, 'EDGE', 4, value FROM raw),
+    g AS (SELECT id, list_reduce(list_concat([[]], list_transform(list(struct_pack(s := s, e := e, entity_type := entity_type) ORDER BY e - s DESC, s, p), lambda x: [x])),
+      lambda a, b: CASE WHEN len(list_filter(a, lambda k: k.s < b[1].e AND b[1].s < k.e)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM f GROUP BY id)
+    SELECT id, k.s AS s, k.e AS e, k.entity_type AS entity_type FROM (SELECT id, unnest(kept) AS k FROM g)"""
+)
+def q12_overlap_in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a text against others that touch their first characters."""
+
+    def with_edges(found: Column) -> Column:
+        edge = lambda f: T.finding(F.greatest(f["start"] - 3, F.lit(0)), f["start"] + 2, "EDGE", f["value"], "synthetic")
+        return overlap.resolved(F.concat(found, F.transform(found, edge)))
+
+    rows = both(spark, sf_dir).select("id", F.explode(T.let(T.pattern_findings(F.col("text")), with_edges)).alias("f"))
+    return rows.select("id", long("f.start").alias("s"), long("f.end").alias("e"), "f.entity_type")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,6 +344,12 @@ def q22_unmatched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answered(spark, sf_dir).select("doc_id", long(F.size("o.unmatched")).alias("n_unmatched"), (F.size("o.unmatched") == 0).alias("ok"))
 
 
+@query(f"{_MANGLED} SELECT doc_id, tokens[1] AS token FROM t WHERE len(tokens) > 0")
+def q22_dropped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders that never came back."""
+    return _answered(spark, sf_dir, model.drop).select("doc_id", F.explode("o.dropped").alias("token"))
+
+
 @query(f"{O.pipeline()} SELECT doc_id, token, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(out, '{O.TOKEN}')) AS token FROM anon) GROUP BY ALL")
 def q23_token_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.token_multiset(_made(spark, sf_dir), "doc_id", "anonymized")
@@ -375,15 +384,18 @@ def q26_preservation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate.withColumn("percent", F.round("percent", 9))
 
 
-@query("SELECT 1::BIGINT AS mangled, 0::BIGINT AS echoed")
+@query(f"{_MANGLED} SELECT CASE WHEN max(len(tokens)) > 0 THEN 1 ELSE 0 END::BIGINT AS mangled, 0::BIGINT AS echoed, CASE WHEN max(length(out)) >= 1000 THEN 2 WHEN max(len(tokens)) > 0 THEN 1 ELSE 0 END::BIGINT AS failed FROM t")
 def q27_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def judged(transport: Callable[[Column], Column], name: str) -> DataFrame:
+    """Verdicts of an exchange that alters, one that echoes, and one that refuses texts of 1000 characters or more."""
+
+    def judged(transport: Callable[[Column], Column], name: str, error: Column | None = None) -> DataFrame:
         answers = _answered(spark, sf_dir, transport)
         lost = F.size(F.array_except(tokens.tokens(F.col("anonymized")), tokens.tokens(F.col("answer"))))
-        rows = answers.select(F.lit(None).cast("string").alias("error"), lost.alias("lost"), F.size("o.unmatched").alias("unmatched"))
+        rows = answers.select((F.lit(None) if error is None else error).cast("string").alias("error"), lost.alias("lost"), F.size("o.unmatched").alias("unmatched"))
         return metrics.verdict(rows).select(long("verdict").alias(name))
 
-    return judged(model.mangle, "mangled").join(judged(model.echo, "echoed"))
+    refused = F.when(F.length("anonymized") >= 1000, "too long")
+    return judged(model.mangle, "mangled").join(judged(model.echo, "echoed")).join(judged(model.mangle, "failed", refused))
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS n_lines, true AS equal FROM documents")
@@ -414,9 +426,9 @@ def q29_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.recall(_labels(spark, sf_dir), _made(spark, sf_dir).select("doc_id", F.col("anonymized").alias("text")))
 
 
-@query(f"WITH {O.findings()}, {_LABELS} SELECT doc_id, value, type, len(string_split(text, value)) - 1 >= occurrence AS resolves FROM labels_ JOIN documents USING (doc_id)")
+@query(f"WITH {O.findings()}, {_LABELS} SELECT doc_id, value, type, len(string_split(text, value)) - 1 >= occurrence AS resolves, CASE WHEN len(string_split(text, value)) > occurrence THEN list_sum(list_transform(string_split(text, value)[1:occurrence], lambda x: length(x)))::BIGINT + (occurrence - 1) * length(value) END AS place FROM labels_ JOIN documents USING (doc_id)")
 def q30_label_resolvability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.resolvability(_labels(spark, sf_dir), documents(spark, sf_dir)).select("doc_id", "value", "type", "resolves")
+    return metrics.resolvability(_labels(spark, sf_dir), documents(spark, sf_dir)).select("doc_id", "value", "type", "resolves", long("place").alias("place"))
 
 
 @query(f"WITH {O.findings()}, {_LABELS} SELECT phase, type, context, subject, count(*)::BIGINT AS n FROM labels_ GROUP BY GROUPING SETS ((phase, type), (phase, context), (phase, subject), (phase))")
@@ -424,14 +436,6 @@ def q31_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.label_counts(_labels(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, 'x' || item_id AS item, contains(o_orderpriority, upper(substr(text, 1, 1))) AS hit FROM orders, benchmark WHERE o_orderkey % 1000 = item_id")
-def q31_negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join by key and a substring test; over-detection is measured by q31_replaced_controls."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.upper(F.substring("text", 1, 1)).alias("c"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return orders.join(items, F.col("o_orderkey") % 1000 == F.col("item_id")).select("o_orderkey", F.concat(F.lit("x"), F.col("item_id").cast("string")).alias("item"), F.contains("o_orderpriority", "c").alias("hit"))
-
-
 _FREE_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '^\p{{L}}{{3,}}[.,;:!?]?$')), lambda x: regexp_replace(x, '[.,;:!?]$', ''))"
 
 
@@ -542,6 +546,281 @@ def q38_highlighted_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir).select("doc_id", tokens.highlighted(F.col("anonymized")).alias("html"))
 
 
+# --- files, structured documents, sessions, the exchange -------------------------------------------
+
+_SUFFIXES = (".txt", ".JSON", ".pdf", ".csv", "")
+_FILE = f"'doc ' || {{0}} || [{', '.join(repr(x) for x in _SUFFIXES)}][({{0}} % 5 + 1)::INT]"
+
+
+def _paths(key: Column, name: Column | None = None) -> Column:
+    """Paths of files of all kinds, as a listing would have them."""
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (key % 5 + 1).cast("int"))
+    return F.concat(F.lit("mem:/in/doc "), (key if name is None else name).cast("string"), suffix)
+
+
+@query(f"SELECT 'doc ' || doc_id AS doc_id, {_FILE.format('doc_id')} AS filename, ['txt', 'json', 'pdf'][(doc_id % 5 + 1)::INT] AS format, strlen(text)::BIGINT AS bytes FROM documents WHERE doc_id % 5 < 3")
+def q39_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(_paths(F.col("doc_id")).alias("path"), long(F.octet_length("text")).alias("length"))
+    return files.listing(rows)
+
+
+@query("SELECT 'doc ' || doc_id // 5 AS doc_id, min('doc ' || doc_id // 5 || ['.txt', '.JSON', '.pdf', '.csv', ''][(doc_id % 5 + 1)::INT]) AS filename FROM documents GROUP BY doc_id // 5")
+def q39_first_files_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(_paths(F.col("doc_id"), F.floor(F.col("doc_id") / 5)).alias("path"))
+    return files.by_stem(rows).select("doc_id", "filename")
+
+
+_BAD = "�"
+
+
+@query(
+    rf"""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '{_BAD}' || chr(10) || 'end{_BAD}' ELSE ' ' || chr(10) END AS body, CASE doc_id % 4 WHEN 3 THEN 'csv' ELSE 'txt' END AS suffix FROM documents),
+    g AS (SELECT *, CASE WHEN suffix = 'csv' THEN 'unsupported file type .csv; supported: .json, .pdf, .txt' WHEN regexp_matches(body, '^{O.SPACE}*$') THEN 'empty file' END AS error FROM f)
+    SELECT 'd' || doc_id AS doc_id, CASE suffix WHEN 'txt' THEN 'text' ELSE 'unsupported' END AS source_format, CASE WHEN error IS NULL THEN body END AS text,
+      CASE WHEN suffix = 'txt' AND doc_id % 3 = 1 THEN '2 undecodable sequence(s) replaced, the first on line ' || (length(body) - length(replace(body, chr(10), ''))) ELSE '' END AS warnings, error FROM g"""
+)
+def q40_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as files: as they are, with bytes that are no UTF-8, blank, or of a kind that isn't read."""
+    raw = F.col("text").cast("binary")
+    broken = F.concat(raw, F.lit(b"\xff\nend\xfe"))
+    content = F.when(F.col("doc_id") % 3 == 0, raw).when(F.col("doc_id") % 3 == 1, broken).otherwise(F.lit(b" \n"))
+    suffix = F.when(F.col("doc_id") % 4 == 3, ".csv").otherwise(".txt")
+    rows = documents(spark, sf_dir).select(F.concat(F.lit("mem:/d"), F.col("doc_id").cast("string"), suffix).alias("path"), content.alias("content"))
+    return files.documents(rows).select("doc_id", "source_format", "text", F.array_join("warnings", ";").alias("warnings"), "error")
+
+
+_JSON_FIELDS = """'"' || c_name || '"'""", "(c_custkey * 7919)::VARCHAR", """'"' || n_name || '"'""", """'"' || lower(c_name) || '"'""", """'"' || c_mktsegment || '"'"""
+
+
+def _json_text(name: str, phone: str, region: str, user: str, segment: str) -> str:
+    """SQL for the text of a customer's document, with SQL for its values."""
+    rows = (
+        "{", '  "work": [', "    {", ('      "name": ', segment, ","), '      "n": 1.5,', '      "ok": true,', '      "none": null,', '      "list": [],', '      "more": {}', "    }", "  ],",
+        '  "basics": {', ('    "name": ', name, ","), ('    "phone": ', phone, ","), '    "image": " ",', '    "location": {', ('      "region": ', region, ","), '      "countryCode": "N"', "    },",
+        '    "profiles": [', "      {", ('        "username": ', user, ""), "      }", "    ]", "  }", "}",
+    )
+    return " || chr(10) || ".join(f"'{r}'" if isinstance(r, str) else f"'{r[0]}' || {r[1]} || '{r[2]}'" for r in rows) + " || chr(10)"
+
+
+def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each customer, keys in an order of their own."""
+    people = spread(read(spark, sf_dir, "customer")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    body = F.format_string(
+        '{"work":[{"name":"%s","n":1.5,"ok":true,"none":null,"list":[],"more":{}}],"basics":{"name":"%s","phone":%d,"image":" ","location":{"region":"%s","countryCode":"N"},"profiles":[{"username":"%s"}]}}',
+        "c_mktsegment", "c_name", F.col("c_custkey") * 7919, "n_name", F.lower("c_name"),
+    )
+    return people.select(F.concat(F.lit("mem:/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"), body.cast("binary").alias("content"))
+
+
+@query(
+    f"""SELECT c_custkey::VARCHAR AS doc_id, {_json_text(*_JSON_FIELDS)} AS text, '10' AS leaves, '8' AS values,
+    'work[0].name=' || c_mktsegment || ';work[0].n=1.5;basics.name=' || c_name || ';basics.phone=' || c_custkey * 7919 || ';basics.image= ;basics.location.region=' || n_name || ';basics.location.countryCode=N;basics.profiles[0].username=' || lower(c_name) AS spans
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def q41_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = files.documents(_customer_files(spark, sf_dir))
+    spans = F.transform("value_spans", lambda s: F.concat_ws("=", s["path"], F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    return made.select("doc_id", "text", F.col("metadata")["leaves"].alias("leaves"), F.col("metadata")["values"].alias("values"), F.array_join(spans, ";").alias("spans"))
+
+
+_JSON_TOKENS = "'\"<<PERSON_01>>\"'", "'<<PHONE_01>>'", "'\"<<LOCATION_01>>\"'", "'\"<<HANDLE_01>>\"'", _JSON_FIELDS[4]
+
+
+@query(
+    f"""SELECT c_custkey::VARCHAR AS doc_id, {_json_text(*_JSON_TOKENS)} AS anonymized, 'ok' AS status, 4::BIGINT AS n_findings, 4::BIGINT AS n_replaced, {_json_text(*_JSON_FIELDS)} AS rehydrated
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def q42_structured_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from JSON files: fields by path, findings within values only, values replaced span by span."""
+    made = pipeline.anonymized(files.documents(_customer_files(spark, sf_dir)), spans="value_spans")
+    back = T.barrier(made, "o", T.let(vault.reverse(F.col("vault")), lambda r: substitute.rehydrated(F.col("anonymized"), r)))
+    return back.select("doc_id", "anonymized", "status", long("n_findings").alias("n_findings"), long("n_replaced").alias("n_replaced"), F.col("o.text").alias("rehydrated"))
+
+
+def capitalised() -> ner.Analyzer:
+    """An analyzer for the queries: capitalised words of four letters or more; it fails on texts with 77."""
+
+    def analyze(text: str) -> list[tuple[int, int, str, float]]:
+        if "77" in text:
+            raise ValueError("77")
+        return [(m.start(), m.end(), "PERSON" if m[0][0] < "K" else "LOCATION" if m[0][0] < "T" else "ORG", 0.9 if len(m[0]) % 2 else 0.4) for m in re.finditer("[A-Z][a-z]{3,}", text)]
+
+    return analyze
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{3,}}')) AS w FROM documents WHERE NOT contains(text, '77')),
+    n AS (SELECT doc_id, count(*) AS n_found, count(*) FILTER (w < 'T' AND length(w) % 2 = 1) AS n_accepted FROM w GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN contains(text, '77') THEN 'failed' ELSE 'ready' END AS ner_status, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n_accepted, 0)::BIGINT AS n_accepted, 'unavailable' AS without FROM documents LEFT JOIN n USING (doc_id)"""
+)
+def q43_model_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ner.with_ner(documents(spark, sf_dir), capitalised)
+    counted = found.select("doc_id", "text", "ner_status", long(F.size("ner")).alias("n_found"), long(F.size(detect.accepted(F.col("ner")))).alias("n_accepted"))
+    none = ner.with_ner(counted.withColumnRenamed("ner_status", "status"), None)
+    return none.select("doc_id", F.col("status").alias("ner_status"), "n_found", "n_accepted", F.col("ner_status").alias("without"))
+
+
+@query(
+    f"""WITH {O.findings()}, raw_ner AS ({O.places("documents", "doc_id", "text", "[A-Z][a-z]{3,}")}),
+    every AS (SELECT doc_id, s, e, CASE tier WHEN 'header' THEN 0 ELSE 1 END AS p, tier FROM (SELECT * FROM raw) UNION ALL SELECT doc_id, s, s + length(value), 2, 'ner' FROM raw_ner WHERE value < 'T' AND length(value) % 2 = 1),
+    kept AS (SELECT doc_id, list_reduce(list_concat([[]], list_transform(list(struct_pack(s := s, e := e, tier := tier) ORDER BY e - s DESC, s, p), lambda x: [x])),
+      lambda a, b: CASE WHEN len(list_filter(a, lambda k: k.s < b[1].e AND b[1].s < k.e)) > 0 THEN a ELSE list_concat(a, b) END) AS k FROM every SEMI JOIN (SELECT doc_id FROM documents WHERE NOT contains(text, '77')) USING (doc_id) GROUP BY doc_id)
+    SELECT tier, count(*)::BIGINT AS n FROM (SELECT unnest(k).tier AS tier FROM kept) GROUP BY tier"""
+)
+def q43_tiers_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all tiers by tier, in rows whose model tier did not fail."""
+    docs = ner.with_ner(documents(spark, sf_dir), capitalised).where("ner_status = 'ready'")
+    found = detect.with_findings(docs, F.col("text"), ner=F.col("ner"))
+    return metrics.tier_counts(exploded(found, "doc_id", F.col("findings")).where("tier <> 'derivative'"))
+
+
+@query(
+    f"""WITH {O.findings("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")}, v AS (SELECT DISTINCT doc_id // 100000 AS session_id FROM found),
+    asked AS (SELECT DISTINCT user_id AS session_id FROM events)
+    SELECT session_id, session_id IN (SELECT session_id FROM v) AS removed, session_id NOT IN (SELECT session_id FROM v) AS missing, (SELECT count(*) FROM v)::BIGINT AS n_before, (SELECT count(*) FROM v WHERE session_id NOT IN (SELECT session_id FROM asked))::BIGINT AS n_after FROM asked"""
+)
+def q44_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions are conversations; those whose number is a user's are destroyed."""
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
+    found = exploded(turns, "k", detect.detect(F.col("text"))).select(F.col("k.conv_id").alias("session_id"), F.col("k.turn").alias("turn"), "s", "value", "entity_type")
+    table = vault.numbered(found, "session_id", ["turn", "s"])
+    asked = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id")).distinct()
+    lost = vault.missing(table, asked).withColumn("missing", F.lit(True))
+    counts = vault.live(table).withColumnRenamed("n_sessions", "n_before").join(vault.live(vault.destroy(table, asked)).withColumnRenamed("n_sessions", "n_after"))
+    rows = vault.destroyed(table, asked).join(lost, "session_id", "left")
+    return rows.select("session_id", "removed", F.coalesce("missing", F.lit(False)).alias("missing")).join(F.broadcast(counts))
+
+
+_ICON = ""
+
+
+def two_pages(content: bytes) -> tuple[list, dict[str, str]]:
+    """A decoder for the queries: a flag, an icon, and the text as the first page; the second page fails or is blank."""
+    flag, body = content.decode()[0], content.decode()[1:]
+    if flag == "x":
+        raise ValueError("damaged")
+    return [(body, [("ABCDEF+FontAwesome", _ICON), ("Times", body[:5])]), (ValueError("broken") if flag == "e" else "  ", [])], {"Author": " Ann Lee ", "Title": " ", "Other": "x"}
+
+
+_CLEAN = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{0}}, ' {{{{6,}}}}', chr(10), 'g'), ' {{{{2,5}}}}', ' ', 'g'),
+    '{_BLANKS.replace("{", "{{").replace("}", "}}")}+(\\n|\\z)', '\\1', 'g'), '\\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '^\\n+', ''), '\\n+\\z', '')"""
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, doc_id % 4 AS k, {_CLEAN.format("CASE WHEN doc_id % 3 = 0 THEN '" + _ICON + "' || text || '" + _ICON + "' ELSE text END")} AS body FROM documents)
+    SELECT doc_id::VARCHAR AS doc_id, CASE WHEN k <> 3 THEN body || chr(10) || chr(10) || '[PDF METADATA]' || chr(10) || 'Author: Ann Lee' END AS text,
+      CASE WHEN k = 3 THEN '' ELSE CASE WHEN k = 1 THEN 'page 2: broken;' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'page 1: 1 icon run(s) kept, as they stand elsewhere too' ELSE 'page 1: 1 icon run(s) removed' END END AS warnings,
+      CASE WHEN k = 3 THEN 'damaged' END AS error FROM f"""
+)
+def q45_pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through a decoder: icons that stand once go, others are reported, a page or a file that fails is too."""
+    flag = F.when(F.col("doc_id") % 4 == 3, "x").when(F.col("doc_id") % 4 == 1, "e").otherwise("p")
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(_ICON), "text", F.lit(_ICON))).otherwise(F.concat(F.lit(_ICON), "text"))
+    rows = documents(spark, sf_dir).select(F.concat(F.lit("mem:/"), F.col("doc_id").cast("string"), F.lit(".PDF")).alias("path"), F.concat(flag, body).cast("binary").alias("content"))
+    return files.documents(rows, two_pages).select("doc_id", "text", F.array_join("warnings", ";").alias("warnings"), "error")
+
+
+@query(
+    r"""WITH w AS (SELECT item_id, regexp_extract(text, '([A-Za-z]+)', 1) AS w FROM benchmark)
+    SELECT item_id::VARCHAR AS doc_id, 'a' AS id, w AS value, 'label' AS kind FROM w WHERE w <> '' UNION ALL SELECT item_id::VARCHAR, '', upper(w), 'control' FROM w
+    UNION ALL SELECT item_id::VARCHAR, 'doc ' || item_id || '.txt', '', 'file' FROM w JOIN documents ON doc_id = item_id AND doc_id % 5 = 0"""
+)
+def q46_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files made of the benchmark: their values, what must not be detected, and the files that they name."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    span = F.array(F.struct(F.lit("a").alias("id"), F.lit("ORG").alias("type"), word.alias("value"), F.lit(1).alias("phase")), F.struct(F.lit("b").alias("id"), F.lit("ORG").alias("type"), F.lit(" ").alias("value"), F.lit(2).alias("phase")))
+    body = F.struct(F.col("item_id").cast("string").alias("doc_id"), F.concat(F.lit("doc "), F.col("item_id").cast("string"), F.lit(".txt")).alias("source_file"), span.alias("spans"), F.array(F.struct(F.upper(word).alias("value"))).alias("negative_controls"))
+    rows = files.parsed_labels(read(spark, sf_dir, "benchmark").select(F.to_json(body).alias("body")))
+    own = files.label_values(rows).select("doc_id", "id", "value", F.lit("label").alias("kind"))
+    controls = files.negative_controls(rows).select("doc_id", F.lit("").alias("id"), "value", F.lit("control").alias("kind"))
+    pairs = files.paired(documents(spark, sf_dir).select(_paths(F.col("doc_id")).alias("path")), rows).select("doc_id", F.col("filename").alias("id"), F.lit("").alias("value"), F.lit("file").alias("kind"))
+    return own.unionByName(controls).unionByName(pairs)
+
+
+@query(
+    f"""{O.pipeline()} SELECT 'native' AS kind, doc_id, out AS text, true AS sent, NULL::VARCHAR AS reason FROM anon UNION ALL SELECT 'badauth', doc_id, NULL, true, 'authentication' FROM anon
+    UNION ALL SELECT 'missing-model', doc_id, NULL, true, 'missing model' FROM anon UNION ALL SELECT 'unset', doc_id, NULL, false, 'the endpoint needs a key' FROM anon"""
+)
+def q47_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes back from a server that answers, refuses or lacks the model, and where none is configured."""
+    cleared = pipeline.split(_made(spark, sf_dir))[0]
+
+    def answers(kind: str, options: Options) -> DataFrame:
+        return model.exchange(cleared, "doc_id", "text", options, model.mock_transport(kind)).select(F.lit(kind).alias("kind"), "doc_id", "text", "sent", "reason")
+
+    out = answers("unset", Options(provider="openai"))
+    for kind in ("native", "badauth", "missing-model"):
+        out = out.unionByName(answers(kind, Options()))
+    return out
+
+
+@query(
+    f"""{O.pipeline()}, names AS (SELECT 'doc_' || doc_id || '-v' AS n FROM documents)
+    SELECT DISTINCT secret FROM (SELECT trim(value) AS secret FROM vault UNION ALL SELECT n FROM names UNION ALL SELECT replace(replace(n, '_', ' '), '-', ' ') FROM names) WHERE length(secret) >= 4"""
+)
+def q48_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What logs must not show: values of the vault, and names of files."""
+    private = pipeline.split(_made(spark, sf_dir))[2]
+    names = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("-v.txt")).alias("filename"))
+    return logs.secrets_table(private, names)
+
+
+_LABEL_KEYS = "SELECT item_id, 'user ' || item_id || ' did' AS v FROM benchmark UNION ALL SELECT event_id, 'x' || event_id || 'y' FROM events"
+
+
+@query(f"SELECT item_id, v AS value FROM ({_LABEL_KEYS}) WHERE EXISTS (SELECT 1 FROM events WHERE contains({_MESSAGE}, v))")
+def q33_many_label_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More labels than are broadcast meet the messages on their rarest part."""
+    own = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("user "), F.col("item_id").cast("string"), F.lit(" did")).alias("value"))
+    more = read(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.concat(F.lit("x"), F.col("event_id").cast("string"), F.lit("y")).alias("value"))
+    return logs.leaked(_records(spark, sf_dir), own.unionByName(more), small=100)
+
+
+@query(f"{O.pipeline()} SELECT doc_id, true AS ok, length(text)::BIGINT AS char_count, len(regexp_extract_all(out, '{O.TOKEN}'))::BIGINT AS n_tokens, n_findings, false AS fired FROM anon")
+def q49_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested results as JSON, and read back."""
+    rows = pipeline.result_rows(_made(spark, sf_dir))
+    line = rows.select("doc_id", F.to_json(F.struct("ok", "stages")).alias("j"))
+    path = lambda p, kind: F.get_json_object("j", p).cast(kind)
+    found = F.size(F.from_json(F.get_json_object("j", "$.stages.anonymized.findings"), "array<struct<token:string>>"))
+    return line.select("doc_id", path("$.ok", "boolean").alias("ok"), path("$.stages.original.char_count", "long").alias("char_count"), path("$.stages.anonymized.n_tokens", "long").alias("n_tokens"), long(found).alias("n_findings"), path("$.stages.tripwire.fired", "boolean").alias("fired"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 5 THEN 404 ELSE 400 END::BIGINT AS code,
+    CASE doc_id % 6 WHEN 1 THEN 'empty request' WHEN 2 THEN 'request too large' WHEN 3 THEN 'request is not JSON' WHEN 4 THEN 'doc_id is missing' WHEN 5 THEN 'no such document' END AS error FROM documents"""
+)
+def q50_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to run one document: as they should be, and with each fault."""
+    kind = F.col("doc_id") % 6
+    fine = F.concat(F.lit('{"doc_id": "'), F.col("doc_id").cast("string"), F.lit('"}'))
+    body = F.when(kind == 1, "").when(kind == 2, F.repeat(F.lit("x"), F.lit(1_000_001))).when(kind == 3, "{oops").when(kind == 4, '{"id": 1}').otherwise(fine)
+    rows = read(spark, sf_dir, "documents").select("doc_id", model_api.request_problem(body, kind != 5).alias("p"))
+    return rows.select("doc_id", long("p.code").alias("code"), "p.error")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, doc_id % 4 AS k, text FROM documents), {O.findings("(SELECT * FROM d WHERE k = 3)")}
+    SELECT doc_id, CASE k WHEN 0 THEN 'blank' WHEN 1 THEN 'token_in_source' WHEN 2 THEN 'reserved_character' ELSE CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN 'ok' ELSE 'no_findings' END END AS status, k = 3 AS cleared FROM d"""
+)
+def q51_row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that must not leave: blank ones, and texts that hold what the engine uses itself."""
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, " \n").when(k == 1, F.concat("text", F.lit(" <<URL_07>>"))).when(k == 2, F.concat("text", F.lit(""))).otherwise(F.col("text"))
+    made = pipeline.anonymized(documents(spark, sf_dir).withColumn("text", text))
+    return made.select("doc_id", "status", F.col("status").isin("ok", "no_findings").alias("cleared"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('groq', 120.0::DOUBLE, true, 'the endpoint needs a key'), ('llamacpp', 600.0, false, NULL), ('lmstudio', 600.0, false, NULL), ('mine', 120.0, false, 'no endpoint is configured'),
+    ('ollama', 600.0, false, NULL), ('openai', 120.0, true, 'the endpoint needs a key'), ('openrouter', 120.0, true, 'the endpoint needs a key'), ('together', 120.0, true, 'the endpoint needs a key'), ('vllm', 600.0, false, NULL)) AS t (provider, timeout, requires_key, unset)"""
+)
+def q52_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known endpoints and one of one's own: time limit, whether they need a key, and why nothing can be sent."""
+    rows = [(n, o.seconds(), o.endpoint().requires_key, o.unset()) for n in [*PROVIDERS, "mine"] for o in [Options.from_env({"AI_PROVIDER": f" {n} ", "MODEL_TIMEOUT": " "})]]
+    return spark.createDataFrame(rows, "provider string, timeout double, requires_key boolean, unset string")
+
+
 @query(f"{O.pipeline()} SELECT doc_id, out AS text, n_findings FROM anon")
 def flagship_cleared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What leaves the engine, with the number of findings behind it."""

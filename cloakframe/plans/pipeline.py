@@ -14,7 +14,7 @@ from cloakframe.config import Options
 from cloakframe.functions import tokens
 from cloakframe.functions.text import S, barrier, let
 from cloakframe.operators import detect, substitute, vault
-from cloakframe.sources import model
+from cloakframe.sources import model, scratch
 
 
 def session_id(key: Column) -> Column:
@@ -73,10 +73,20 @@ def rehydrated(answers: DataFrame, private: DataFrame, session: str = "session_i
 
 
 def run(docs: DataFrame, options: Options, factory: Callable[[], model.Transport], key: str = "doc_id", text: str = "text", spans: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, blocked): the whole round trip of each document that may leave."""
-    cleared, blocked, private = split(anonymized(docs, key, text, spans), key)
-    answers = model.exchange(cleared, key, "text", options, factory).withColumn("session_id", session_id(F.col(key)))
-    return rehydrated(answers, private), blocked
+    """(results, blocked): the whole round trip of each document that may leave.
+
+    Detection and the exchange run once: both are written to the shared folder, so that no action on the results
+    sends a text again. The first table holds the vault; delete it with scratch.discard() or keep the folder private."""
+    made = anonymized(docs, key, text, spans)
+    made = scratch.written(made.select(key, "session_id", "status", "leaks", "anonymized", "vault"), "made")
+    cleared, blocked, private = split(made, key)
+    answers = scratch.written(model.exchange(cleared, key, "text", options, factory), "answers")
+    return rehydrated(answers.withColumn("session_id", session_id(F.col(key))), private), blocked
+
+
+def write_report(made: DataFrame, path: str, key: str = "doc_id") -> None:
+    """The nested results as JSON, one line for each document."""
+    result_rows(made, key).write.mode("overwrite").json(path)
 
 
 def result_rows(made: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,14 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import schema
-from cloakframe.functions.text import S, line_number, metadata_block, normalise_columns, strip_icons
+from cloakframe.functions.text import S, barrier, line_number, metadata_block, normalise_columns, strip_icons
 
 SUFFIXES = {"pdf": "pdf", "txt": "text", "json": "json"}
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, filename, format, bytes) of the supported files, by name. Reads no content."""
-    named = _named(spark.read.format("binaryFile").load(folder).select("path", "length"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Files (path, modificationTime, length, content) below a path: a file, a folder or a glob."""
+    return spark.read.format("binaryFile").load(path)
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """(doc_id, filename, format, bytes) of the supported ones of files (path, length), by name. Reads no content."""
+    named = _named(files.select("path", "length"))
     return named.where(F.col("suffix").isin(*SUFFIXES)).select("doc_id", "filename", F.col("suffix").alias("format"), F.col("length").alias("bytes")).orderBy("filename")
 
 
@@ -28,9 +33,14 @@ def _named(files: DataFrame) -> DataFrame:
     return files.withColumn("filename", name).withColumn("doc_id", F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")).withColumn("suffix", F.lower(F.regexp_extract("filename", r"(?<=.)\.([^.]*)$", 1)))
 
 
-def find(spark: SparkSession, folder: str, doc_id: str) -> DataFrame:
+def by_stem(files: DataFrame) -> DataFrame:
+    """(doc_id, filename, path): the first file, by name, of each stem, whatever its suffix."""
+    return _named(files.select("path")).groupBy("doc_id").agg(F.min(F.struct("filename", "path")).alias("f")).select("doc_id", "f.*")
+
+
+def find(files: DataFrame, doc_id: str) -> DataFrame:
     """The first file, by name, with this stem."""
-    return _named(spark.read.format("binaryFile").load(folder).select("path", "length")).where(F.col("doc_id") == doc_id).orderBy("filename").limit(1)
+    return by_stem(_named(files.select("path")).where(F.col("doc_id") == doc_id))
 
 
 def _row(files: DataFrame, form: str, text: Column, warnings: Column, error: Column, spans: Column | None = None, metadata: Column | None = None) -> DataFrame:
@@ -112,7 +122,8 @@ def json_documents(files: DataFrame) -> DataFrame:
     """JSON in source order with the spans of its values. Python, as order is lost in variants."""
     read = F.pandas_udf(_json_rows, f"struct<text:string,spans:{schema.SPANS},leaves:int,error:string>")
     parsed = files.withColumn("_j", read(F.make_valid_utf8(F.col("content").cast("string"))))
-    return _row(parsed, "json", F.col("_j.text"), F.lit(None).cast("array<string>"), F.col("_j.error"), F.col("_j.spans"))
+    counts = F.create_map(F.lit("leaves"), F.col("_j.leaves").cast("string"), F.lit("values"), F.size("_j.spans").cast("string"))
+    return _row(parsed, "json", F.col("_j.text"), F.lit(None).cast("array<string>"), F.col("_j.error"), F.col("_j.spans"), F.when(F.col("_j.error").isNull(), counts))
 
 
 #: A decoder turns a file into pages of (text, [(font, run)]) and a dictionary of metadata, or raises.
@@ -141,18 +152,22 @@ def pdf_documents(files: DataFrame, decoder: Decoder | None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "doc_id", "pages", "metadata", "failure"])
 
     pages = files.select("path", "doc_id", "content").mapInPandas(run, _PAGES)
-    clean = F.transform("pages", lambda p: normalise_columns(strip_icons(p["text"], p["runs"])["text"]))
-    body = F.array_join(F.filter(clean, lambda t: t.isNotNull() & ~t.rlike(rf"^[{S}]*$")), "\n")
+    pages = barrier(pages, "_clean", F.transform("pages", lambda p: strip_icons(p["text"], p["runs"])))
+    body = F.array_join(F.filter(F.transform("_clean", lambda c: normalise_columns(c["text"])), lambda t: t.isNotNull() & ~t.rlike(rf"^[{S}]*$")), "\n")
     meta = metadata_block(F.col("metadata"))
     text = F.when(body.rlike(rf"^[{S}]*$"), F.coalesce(meta, F.lit(""))).otherwise(F.concat_ws("\n\n", body, meta))
-    failed = F.filter(F.transform("pages", lambda p, i: F.when(p["error"].isNotNull(), F.concat(F.lit("page "), (i + 1).cast("string"), F.lit(": "), p["error"]))), lambda x: x.isNotNull())
+    numbered = lambda i, *note: F.concat(F.lit("page "), (i + 1).cast("string"), F.lit(": "), *note)
+    some = lambda notes: F.filter(notes, lambda x: x.isNotNull())
+    failed = some(F.transform("pages", lambda p, i: F.when(p["error"].isNotNull(), numbered(i, p["error"]))))
+    icons = lambda field, what: some(F.transform("_clean", lambda c, i: F.when(c[field] > 0, numbered(i, c[field].cast("string"), F.lit(what)))))
     blank = F.when(F.col("failure").isNull() & body.rlike(rf"^[{S}]*$"), F.array(F.lit("no text in the file"))).otherwise(F.array().cast("array<string>"))
-    return _row(pages, "pdf", text, F.concat(failed, blank), F.col("failure"), metadata=F.col("metadata"))
+    warnings = F.concat(failed, icons("removed", " icon run(s) removed"), icons("ambiguous", " icon run(s) kept, as they stand elsewhere too"), blank)
+    return _row(pages, "pdf", text, warnings, F.col("failure"), metadata=F.col("metadata"))
 
 
-def load(spark: SparkSession, path: str, decoder: Decoder | None = None) -> DataFrame:
-    """Documents below a path (a file, a folder or a glob); unsupported files become rows with an error."""
-    files = _named(spark.read.format("binaryFile").load(path))
+def documents(files: DataFrame, decoder: Decoder | None = None) -> DataFrame:
+    """Documents of files (path, content); unsupported files become rows with an error."""
+    files = _named(files)
     other = files.where(~F.col("suffix").isin(*SUFFIXES))
     refused = F.concat(F.lit("unsupported file type ."), F.col("suffix"), F.lit("; supported: " + ", ".join(f".{s}" for s in sorted(SUFFIXES))))
     parts = [
@@ -167,18 +182,41 @@ def load(spark: SparkSession, path: str, decoder: Decoder | None = None) -> Data
     return out
 
 
-def labels(spark: SparkSession, folder: str) -> DataFrame:
+def load(spark: SparkSession, path: str, decoder: Decoder | None = None) -> DataFrame:
+    """Documents below a path (a file, a folder or a glob). Where nothing is there, one row says so."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        missing = _named(spark.createDataFrame([(path,)], "path string"))
+        return _row(missing, "missing", F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit("no such file or folder"))
+    return documents(read(spark, path), decoder)
+
+
+def label_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Label files, one row each."""
+    return spark.read.schema(schema.LABEL_FILE).option("pathGlobFilter", "*_labels.json").json(folder, multiLine=True)
+
+
+def parsed_labels(bodies: DataFrame) -> DataFrame:
+    """Label files of rows (body), which hold them as text."""
+    return bodies.select(F.from_json("body", schema.LABEL_FILE).alias("f")).select("f.*")
+
+
+def labels(label_rows: DataFrame) -> DataFrame:
     """Label files as rows: one for each span, with its document."""
-    files = spark.read.schema(schema.LABEL_FILE).option("pathGlobFilter", "*_labels.json").json(folder, multiLine=True)
-    return files.select("doc_id", "source_file", F.explode("spans").alias("s")).select("doc_id", "source_file", "s.*")
+    return label_rows.select("doc_id", "source_file", F.explode("spans").alias("s")).select("doc_id", "source_file", "s.*")
 
 
-def label_values(spark: SparkSession, folder: str) -> DataFrame:
+def label_values(label_rows: DataFrame) -> DataFrame:
     """(doc_id, id, value) of labels with a value."""
-    return labels(spark, folder).where(~F.col("value").rlike(rf"^[{S}]*$")).select("doc_id", "id", "value")
+    return labels(label_rows).where(~F.col("value").rlike(rf"^[{S}]*$")).select("doc_id", "id", "value")
 
 
-def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
+def negative_controls(label_rows: DataFrame) -> DataFrame:
     """(doc_id, value): what must not be detected."""
-    files = spark.read.schema(schema.LABEL_FILE).option("pathGlobFilter", "*_labels.json").json(folder, multiLine=True)
-    return files.select("doc_id", F.explode("negative_controls").alias("c")).select("doc_id", "c.value")
+    return label_rows.select("doc_id", F.explode("negative_controls").alias("c")).select("doc_id", "c.value")
+
+
+def paired(files: DataFrame, label_rows: DataFrame) -> DataFrame:
+    """(filename, path, doc_id): files with the label file that names them as its source."""
+    named = _named(files.select("path")).select("filename", "path")
+    return named.join(label_rows.select("doc_id", F.col("source_file").alias("filename")), "filename")

@@ -35,7 +35,7 @@ def http_transport(url: str, key: str, timeout: float) -> Callable[[], Transport
                 with urllib.request.urlopen(request, timeout=timeout, context=context) as answer:
                     return answer.status, answer.read().decode("utf-8", "replace")
             except urllib.error.HTTPError as e:
-                return e.code, e.read().decode("utf-8", "replace")[:500]
+                return e.code, e.read().decode("utf-8", "replace")[: model_api.ERROR_CHARS]
 
         return post
 
@@ -104,12 +104,15 @@ def drop(text: Column) -> Column:
     return F.when(one.isNotNull(), F.replace(text, one, F.lit(""))).otherwise(text)
 
 
-def mock_transport(kind: str) -> Callable[[], Transport]:
-    """A factory of transports that answer in place of a server: echo, native, missing-model, badauth."""
+def mock_transport(kind: str, seconds: float = 0.0) -> Callable[[], Transport]:
+    """A factory of transports that answer in place of a server: echo, native, slow (echo after `seconds`),
+    missing-model, badauth."""
 
     def make() -> Transport:
         def post(body: str) -> tuple[int, str]:
             user = next(m["content"] for m in json.loads(body)["messages"] if m["role"] == "user")
+            if kind == "slow":
+                time.sleep(seconds)
             if kind == "missing-model":
                 return 404, '{"error": {"message": "model not found"}}'
             if kind == "badauth":

@@ -176,8 +176,8 @@ def test_json_source(spark, tmp_path):
     assert got["blank"]["error"] == "empty file"
     assert "unsupported" in got["x"]["error"]
     assert "decoder" in got["f"]["error"]
-    assert [r["filename"] for r in files.listing(spark, str(tmp_path)).collect()] == ["bad utf.txt", "bad.json", "blank.txt", "f.pdf", "none.json", "r.json"]
-    assert files.find(spark, str(tmp_path), "r").first()["filename"] == "r.json"
+    assert [r["filename"] for r in files.listing(files.read(spark, str(tmp_path))).collect()] == ["bad utf.txt", "bad.json", "blank.txt", "f.pdf", "none.json", "r.json"]
+    assert files.find(files.read(spark, str(tmp_path)), "r").first()["filename"] == "r.json"
     made = pipeline.anonymized(files.load(spark, str(tmp_path / "r.json")), spans="value_spans").first()
     back = json.loads(made["anonymized"])
     assert back["basics"]["location"] == {"city": "<<LOCATION_01>>", "countryCode": "GB"}
@@ -191,7 +191,7 @@ def test_pdf_source(spark, tmp_path):
     pages = [("*icon*Name      Right  side  \n\n\n\nend", [("ABC+FontAwesome", "*icon*")]), (ValueError("bad page"), []), ("  ", [])]
     got = files.load(spark, str(tmp_path), lambda raw: (pages, {"Author": " Ann ", "Title": ""})).first()
     assert got["text"] == "Name\nRight side\n\nend\n\n[PDF METADATA]\nAuthor: Ann"
-    assert got["warnings"] == ["page 2: bad page"]
+    assert got["warnings"] == ["page 2: bad page", "page 1: 1 icon run(s) removed"]
 
 
 def test_ner(spark):
@@ -274,5 +274,5 @@ def test_negative_controls_of_label_files(spark, tmp_path):
         (tmp_path / f"{doc}_labels.json").write_text(json.dumps({"doc_id": doc, "negative_controls": [{"value": v, "note": ""} for v in values]}))
     made = [("a", "Red Rose\nlikes tea", "<<PERSON_01>>\nlikes tea"), ("b", "write a@example.com!", "write a@example.com!")]
     texts = spark.createDataFrame(made, "doc_id string, text string, anonymized string")
-    got = metrics.controls_kept(files.negative_controls(spark, str(tmp_path)), texts).collect()
+    got = metrics.controls_kept(files.negative_controls(files.label_files(spark, str(tmp_path))), texts).collect()
     assert {r["doc_id"]: (r["n_controls"], r["replaced"]) for r in got} == {"a": (3, ["Red Rose"]), "b": (1, [])}
