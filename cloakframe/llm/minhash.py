@@ -7,15 +7,17 @@ likeness. near_duplicates() joins bands of the signature in Spark and verifies t
 the shingle sets themselves; texts of likeness 0.8 share no band with a chance of 5 in 10 ** 8.
 
 Defined cases: null and empty texts have no shingle, the fingerprint of all ff, and likeness 1 to each
-other; with fewer than five words the whole sequence is one shingle; rows without an id come last in
+other; with fewer than five words the whole sequence is one shingle; ids are integers; rows without an id come last in
 the order of ids; rows with equal ids follow each other in the order of their text; a single row is
-its own next document; columns that are not asked for are dropped.
+its own next document; an empty table gives an empty one; a text of any length is one row, hashed in pieces; columns
+that are not asked for are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,10 @@ BANDS = 32
 THRESHOLD = 0.8
 #: An estimate by fingerprint strays from the likeness by 0.035 at 0.8; pairs are verified from here on.
 MARGIN = 0.2
-#: Undecided members of a band that one task compares.
+#: Undecided members of a band that one task compares pair by pair.
 HOT = 2048
+#: Counters of shingles that the driver holds, whatever the input.
+SLOTS = 1 << 18
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,34 +213,74 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) that reach the threshold."""
-    both = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("text_key").alias("b"), F.col("s").alias("sb")), "b")
+    """(a, b, jaccard) of the pairs (a, b), a written table, that reach the threshold. A text that stands in
+    many pairs is dealt over several tasks."""
+    total = pairs.count()
+
+    def beside(rows: DataFrame, side: str, spread: str) -> DataFrame:
+        own = sets.select(F.col("text_key").alias(side), F.col("s").alias(f"s{side}")).join(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
+        return common.joined(rows, own, side, [spread], total)
+
+    both = beside(beside(pairs, "a", "b"), "b", "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    total = F.size("sa") + F.size("sb") - shared
-    return both.select("a", "b", F.when(total > 0, shared / total).otherwise(1.0).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    total_ = F.size("sa") + F.size("sb") - shared
+    return both.select("a", "b", F.when(total_ > 0, shared / total_).otherwise(1.0).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+# A bucket's rows to pairs of their places. `some` has the columns of the bucket's rows.
+Match = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+
+
+def _pairs_where(n: int, near: Callable[[slice, slice], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b), a < b, of n rows that near() accepts, a stripe of rows at a time."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, (32 << 20) // max(n * width, 1))
+    for at in range(0, n, step):
+        a, b = np.nonzero(np.triu(near(slice(at, at + step), slice(at, None)), 1))
+        found.append((a + at, b + at))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def alike(signs: np.ndarray, group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of different groups whose fingerprints are at least so like each other."""
-    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step = max(1, (32 << 20) // max(signs.size, 1))
-    for at in range(0, len(signs), step):
-        same = (signs[at : at + step, None, :] == signs[None, at:, :]).mean(axis=2)
-        near = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (group[at : at + step, None] != group[None, at:])
-        a, b = np.nonzero(np.triu(near, 1))
-        pairs.append((a + at, b + at))
-    return np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
-
-
-def bucket_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b) by alike() within each bucket of rows (bucket, root, text_key, sign, side), which lie
-    together and hold at most two blocks; in a bucket of two blocks only pairs across them count."""
 
-    def pairs(some: pa.Table) -> pa.RecordBatch:
+    def near(x: slice, y: slice) -> np.ndarray:
+        same = (signs[x, None, :] == signs[None, y, :]).mean(axis=2)
+        return ((same - 1 / 256) / (1 - 1 / 256) >= least) & (group[x, None] != group[None, y])
+
+    return _pairs_where(len(signs), near, PERMUTATIONS)
+
+
+def alike_by_sign(least: float) -> Match:
+    def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         signs = np.frombuffer(b"".join(some["sign"].to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+        return alike(signs, some["root"].combine_chunks().dictionary_encode().indices.to_numpy(), least)
+
+    return match
+
+
+def alike_by_size(threshold: float) -> Match:
+    """Pairs of different groups whose numbers of shingles allow the threshold."""
+
+    def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        size = some["size"].to_numpy().astype(np.float64)
         group = some["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-        a, b = alike(signs, group, least)
+
+        def near(x: slice, y: slice) -> np.ndarray:
+            low, high = np.minimum(size[x, None], size[None, y]), np.maximum(size[x, None], size[None, y])
+            return (low >= threshold * high - 1e-6) & (group[x, None] != group[None, y])
+
+        return _pairs_where(len(size), near, 24)
+
+    return match
+
+
+def bucket_pairs(rows: DataFrame, match: Match) -> DataFrame:
+    """(a, b) by match() within each bucket of rows (bucket, root, text_key, side, ...), which lie
+    together and hold at most two blocks; in a bucket of two blocks only pairs across them count."""
+
+    def pairs(some: pa.Table) -> pa.RecordBatch:
+        a, b = match(some)
         side = some["side"].to_numpy()
         if (side != side[:1]).any():
             across = side[a] != side[b]
@@ -258,54 +302,93 @@ def bucket_pairs(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    near = rows.select("bucket", "root", "text_key", "sign", "side").mapInArrow(run, "a string, b string")
+    first = ["bucket", "root", "text_key", "side"]
+    rows = rows.select(*first, *(c for c in rows.columns if c not in first))
+    rows = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "text_key")
+    near = rows.mapInArrow(run, "a string, b string")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def in_blocks(rows: DataFrame, hot: int) -> DataFrame:
+    """rows (bucket, n, text_key, ...) with `side`: a bucket of n > hot rows becomes blocks of which any two meet
+    in a bucket of their own."""
+    parts = F.ceil(F.col("n") / hot).cast("int")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("text_key"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.xxhash64("bucket", F.least("side", "_other"), F.greatest("side", "_other"))
+    return dealt.withColumn("bucket", F.when(F.col("n") > hot, pair).otherwise(F.col("bucket"))).drop("n", "_other")
+
+
 def undecided(rows: DataFrame, by: str) -> DataFrame:
-    """Rows whose bucket holds more than one root, with its size n."""
+    """Rows (by, root, text_key, ...), a written table, whose bucket holds more than one root, with its size as `members`."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h")
-    return rows.join(sizes.select(by, "n"), by)
+    return common.joined(rows, sizes.select(by, "n", F.col("n").alias("members")), by, ["text_key"], rows.count())
+
+
+def rare_shingles(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, text_key, size): of each text's shingles in one order for all texts, rare ones first, as many as
+    two texts that reach the threshold can't differ in: such texts share one of these.
+
+    Any order is right; a rough count by SLOTS hash slots makes it a good one and bounds what is broadcast."""
+    slots = sets.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                s = value.values.to_numpy()
+                n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
+                first = s[np.lexsort((s, counts[s % SLOTS]))[:n]]
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array([key.as_py()] * n, pa.string()), pa.array(np.full(n, len(s)), pa.int64())], ["bucket", "text_key", "size"])
+
+    return sets.select("text_key", "s").mapInArrow(run, "bucket long, text_key string, size long")
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+def near_links(signed_: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b, jaccard): verified links between keys of different texts, enough to connect each class.
 
     First each band's members are checked against the least of them. Bands whose members then lie in
     one class are done. In the others, members of different classes are compared by fingerprint,
-    and those that reach the threshold less MARGIN are verified. A band with more than `hot` such
-    members is split by every second band that they share, and what is still larger into blocks
-    that meet two at a time."""
-    distinct = common.written(signed(docs).groupBy("text_key", "sign", "bands").agg(F.lit(1).alias("_")).drop("_"), "signs")
+    and those that reach the threshold less MARGIN are verified. Members of a band with more than `hot` such
+    rows meet on their rare shingles instead, which loses no pair, and all that are alike in size are verified."""
+    distinct = common.written(signed_.groupBy("text_key", "sign", "bands").agg(F.lit(1).alias("_")).drop("_"), "signs")
     banded = distinct.select("text_key", F.explode("bands").alias("band"))
-    hub = banded.groupBy("band").agg(F.min("text_key").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = common.written(banded.join(hub, "band"), "shared")
+    hub = banded.groupBy("band").agg(F.min("text_key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = common.written(common.joined(banded, hub, "band", ["text_key"], BANDS * distinct.count()), "shared")
     sets = common.written(shingle_sets(docs, shared.select("text_key").distinct()), "sets")
-    pairs = shared.where("text_key <> b").select(F.col("text_key").alias("a"), "b").distinct()
+    pairs = common.written(shared.where("text_key <> b").select(F.col("text_key").alias("a"), "b").distinct(), "pairs")
     first = common.written(verified(pairs, sets, threshold), "first")
     root = common.components(first.select("a", "b"))
     rows = shared.select("band", "text_key").join(root.withColumnRenamed("node", "text_key"), "text_key", "left")
-    rows = common.written(undecided(rows.withColumn("root", F.coalesce("root", "text_key")), "band"), "undecided")
-    small = rows.where(F.col("n") <= hot).withColumnRenamed("band", "bucket").drop("n")
-    # Bands with too many members: two of them that are alike share a second band, too.
-    twice = rows.where(F.col("n") > hot).join(distinct.select("text_key", "bands"), "text_key")
-    twice = twice.withColumn("second", F.explode("bands")).where("second <> band")
-    twice = undecided(twice.select(F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("bucket"), "root", "text_key").distinct(), "bucket")
-    blocks = F.ceil(F.col("n") / hot).cast("int")
-    twice = twice.withColumn("side", F.pmod(F.xxhash64("text_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    twice = twice.withColumn("bucket", F.when(F.col("n") > hot, F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("bucket")))
-    every = small.withColumn("side", F.lit(0)).select("bucket", "root", "text_key", "side").unionByName(twice.select("bucket", "root", "text_key", "side"))
-    every = every.join(distinct.select("text_key", "sign"), "text_key").repartition(common.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "text_key")
-    more = verified(common.written(bucket_pairs(every, threshold - MARGIN), "pairs"), sets, threshold)
+    rows = common.written(rows.withColumn("root", F.coalesce("root", "text_key")), "rooted")
+    rows = common.written(undecided(rows, "band"), "undecided")
+    small = rows.where(F.col("members") <= hot).select(F.col("band").alias("bucket"), "root", "text_key", F.lit(0).alias("side")).join(distinct.select("text_key", "sign"), "text_key")
+    near = bucket_pairs(small, alike_by_sign(threshold - MARGIN))
+    crowd = common.written(rows.where(F.col("members") > hot).select("text_key", "root").distinct(), "crowd")
+    if crowd.limit(1).count():
+        own = sets.join(crowd, "text_key", "left_semi")
+        rare = common.written(rare_shingles(own, threshold).join(crowd, "text_key"), "rare")
+        meet = in_blocks(undecided(rare, "bucket").withColumnRenamed("members", "n"), hot)
+        near = near.unionByName(bucket_pairs(meet, alike_by_size(threshold))).distinct()
+    more = verified(common.written(near, "near"), sets, threshold)
     return first.unionByName(more).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """(doc_id, class_id) of every row: the least id of the texts that links reach, itself included.
+    """(doc_id, n_links, class_id) of every row: the links found between its text and other texts, and the least
+    id of the texts that links reach, itself included.
 
     Equal texts meet first and count as one; a class without any id has class null."""
-    keys = docs.select("doc_id", F.md5(common.whole_text().cast("binary")).alias("text_key"))
-    root = common.components(near_links(docs, threshold, hot).select("a", "b")).withColumnRenamed("node", "text_key")
-    least = keys.groupBy("text_key").agg(F.min("doc_id").alias("least")).join(root, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    ids = least.groupBy("root").agg(F.min("least").alias("class_id"))
-    return keys.join(least.join(ids, "root").select("text_key", "class_id"), "text_key").select("doc_id", "class_id")
+    rows = common.written(signed(docs), "signed")
+    links = common.written(near_links(rows, docs, threshold, hot).select("a", "b"), "links")
+    root = common.components(links).withColumnRenamed("node", "text_key")
+    ends = links.select(F.col("a").alias("text_key")).unionByName(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(F.count("*").alias("n_links"))
+    least = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    least = least.join(root, "text_key", "left").join(ends, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    least = common.written(least.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), "least")
+    ids = least.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    of = common.joined(least.drop("least"), ids, "root", ["text_key"], least.count())
+    of = common.written(of.select("text_key", "n_links", "class_id", F.col("rows").alias("n")), "classes")
+    return common.joined(rows.select("doc_id", "text_key"), of, "text_key", ["doc_id"], rows.count()).select("doc_id", "n_links", "class_id")

@@ -19,6 +19,11 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edits(documents(spark, sf_dir))
 
 
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 1: bands of signatures joined, Jaccard verified."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_substrings.remove(documents(spark, sf_dir)).drop("kept")
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_secret_scan,
         pipeline,
+        minhash_classes,
     )
 }
 
