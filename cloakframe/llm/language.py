@@ -5,12 +5,15 @@ one bit a language, and the conjunction of an n-gram's slots is the mask of all
 it. A text counts the bits of its n-grams by language, takes off the false positives that the fill
 of each language's slice predicts, and the largest count decides.
 
-The filters are learned from at most SAMPLE documents of each language (expected; those with the
-smallest hash of their id) of the training fold.
+The filters are learned from a bounded sample of each language of the training fold: documents in the order of a hash
+of id and text, at most SAMPLE, up to the one that brings their texts to SAMPLE_BYTES. Languages are dealt over tasks,
+and a task sends no more than the MOST n-grams that the filter takes.
 
 Defined cases: `und` with score 0 for null texts and texts without a letter, and where nothing was
-learned; a tie goes to the first language in code-point order; more than 64 languages take several planes
-of masks; null languages are never learned; columns that are not asked for are dropped.
+learned; a text with a letter but shorter than an n-gram, or without a known n-gram, has score 0 and the first
+language in code-point order, to which ties go as well; repeated rows get equal results, each its own; a text of any
+length is one row; an empty table gives an empty one; more than 64 languages take several planes of masks; null languages
+are never learned; columns that are not asked for are dropped.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.llm import common
 
-SAMPLE = 600
+SAMPLE, SAMPLE_BYTES = 600, 4 << 20
 GRAM = 5
 SLOTS = 1 << 19
 #: Share of a language's n-gram mass that its filter holds, and the most n-grams it holds.
@@ -55,18 +58,20 @@ def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> (np.uint64(64) - bits)).astype(np.int64), (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, planes of slot masks, false-positive rate of each language)."""
-    names = sorted(counts)
+def frequent(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n-grams of a language that its filter holds, given their numbers: the most frequent first."""
+    order = np.lexsort((hashes, -n))
+    return hashes[order[: min(MOST, int(np.searchsorted(np.cumsum(n[order]), MASS * n.sum())) + 1)]]
+
+
+def build(held: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, planes of slot masks, false-positive rate of each language) of each language's n-grams."""
+    names = sorted(held)
     planes = np.zeros((max(1, -(-len(names) // 64)), SLOTS), np.uint64)
     rates = np.zeros(len(names))
     for i, name in enumerate(names):
-        hashes, n = counts[name]
-        order = np.lexsort((hashes, -n))
-        keep = order[: min(MOST, int(np.searchsorted(np.cumsum(n[order]), MASS * n.sum())) + 1)]
         bit = np.uint64(1 << (i % 64))
-        fill = []
-        for at in slots(hashes[keep]):
+        for at in slots(held[name]):
             planes[i // 64][at] |= bit
         fill = np.count_nonzero(planes[i // 64] & bit) / SLOTS
         rates[i] = fill * fill
@@ -75,38 +80,46 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[str],
     return names, planes, rates
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, text): the documents to learn from.
+
+    A share by hash leaves about four times the sample of each language, whatever its size, and a rank by the same
+    hash makes the bound exact."""
+    known = docs.where(~common.held_out() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", common.whole_text()).alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    some = known.join(F.broadcast(sizes), "lang").where(place < F.lit(4.0 * SAMPLE) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h", "text")
+    few = some.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE)
+    before = F.sum(F.octet_length(common.whole_text())).over(Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
+    return few.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < SAMPLE_BYTES).select("lang", "text")
+
+
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Learn the filters from a bounded sample of each language of the training fold."""
-    known = docs.where(~common.held_out() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return build({})
-    share = F.element_at(F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(SAMPLE / n)))), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    """Learn the filters from the sample. The driver gets MOST n-grams of each language at most."""
+
+    def chosen(lang: str, found: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([frequent(hashes, n).tobytes()])], ["lang", "hashes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list] = {}
+        current, found = None, []
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for rows, data, offsets in common.blocks(batch):
-                found, at = grams(data, offsets)
+                hashes, at = grams(data, offsets)
                 for i, lang in enumerate(langs[rows]):
-                    seen.setdefault(lang, []).append(found[at[i] : at[i + 1]])
-                    if len(seen[lang]) > 200:
-                        merge(seen, lang)
-        for lang in seen:
-            merge(seen, lang)
-            hashes, n = seen[lang][0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([hashes.tobytes()]), pa.array([n.tobytes()])], ["lang", "hashes", "n"])
-
-    def merge(seen: dict[str, list], lang: str) -> None:
-        hashes = np.concatenate([x[0] if isinstance(x, tuple) else x for x in seen[lang]])
-        weight = np.concatenate([x[1] if isinstance(x, tuple) else np.ones(len(x), np.int64) for x in seen[lang]])
-        values, inverse = np.unique(hashes, return_inverse=True)
-        seen[lang] = [(values, np.bincount(inverse, weight, len(values)).astype(np.int64))]
-
-    rows = sample.repartition(1).mapInArrow(count, "lang string, hashes binary, n binary").collect()
-    return build({r["lang"]: (np.frombuffer(bytes(r["hashes"]), np.uint64), np.frombuffer(bytes(r["n"]), np.int64)) for r in rows})
+                    if lang != current and found:
+                        yield chosen(current, found)
+                        found = []
+                    current = lang
+                    found.append(hashes[at[i] : at[i + 1]])
+        if found:
+            yield chosen(current, found)
+
+    dealt = sample(docs).repartition(common.partitions(docs.sparkSession), "lang").sortWithinPartitions("lang")
+    rows = dealt.mapInArrow(count, "lang string, hashes binary").collect()
+    return build({r["lang"]: np.frombuffer(bytes(r["hashes"]), np.uint64) for r in rows})
 
 
 def predict(docs: DataFrame) -> DataFrame:

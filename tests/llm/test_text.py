@@ -171,6 +171,36 @@ def test_quality_on_held_out_rows(make, spark):
     assert kept == {i for i, s in rows.items() if s >= 0.7}
 
 
+def test_quality_cases(make, spark, monkeypatch):
+    texts = [prose(40, i) if i % 2 else "spam! " * 30 for i in range(40)] + ["spam! " * 30_000, prose(20_000, 3), None, "", prose(40, 1)]
+    docs = make(*texts, ids=[*range(44), 1]).withColumnRenamed("lang", "score").withColumnRenamed("source", "__row")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    kept = quality.filter_good(docs, labels)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {(r["score"], r["__row"]) for r in rows} == {("en", "s0")}
+    assert {r["doc_id"] for r in rows} - {42, 43} == {i for i in range(40) if i % 2} | {41}
+    assert sum(r["doc_id"] == 1 for r in rows) == 2
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    assert 0 < quality.training_rows(docs, labels).count() <= 7
+    monkeypatch.setattr(quality, "SAMPLE", 3)
+    assert quality.training_rows(docs, labels).count() == 3
+
+
+def test_quality_features_are_of_characters():
+    for text in ("", "a", "né", "東京 タワー", "né né 東京", "🙂ab"):
+        raw = text.encode()
+        found = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        words = text.split()
+        assert [len(f) for f, _ in found] == [max(len(text) - 2, 0), max(len(text) - 3, 0), len(words), max(len(words) - 1, 0)]
+    texts = ["né né 東京", "", "x", "b c b c"]
+    raw = [t.encode() for t in texts]
+    block = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    for i, one in enumerate(raw):
+        alone = quality.features(np.frombuffer(one, np.uint8), np.array([0, len(one)]))
+        assert all((f[at[i] : at[i + 1]] == g).all() for (f, at), (g, _) in zip(block, alone, strict=True))
+
+
 def test_quality_without_labels(make, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(make("a", None), none).collect()} == {0.5}
@@ -191,9 +221,25 @@ def test_language_on_held_out_rows(make):
     assert {x["lang_pred"] for x in language.predict(make("abc", lang=[None])).collect()} == {"und"}
 
 
+def test_language_cases(make, monkeypatch):
+    learned = [*(prose(30, i) for i in range(8)), *("zu " * 20 + str(i) for i in range(8))]
+    odd = ["abc", "Ж", "the quick brown foxes jump " * 20_000, "zu zu zu zu", "zu zu zu zu", "🙂 1"]
+    lang = [*["aa"] * 8, *["bb"] * 8, *[None] * 6]
+    rows = {x["doc_id"]: x for x in language.predict(make(*learned, *odd, lang=lang)).collect()}
+    assert [rows[16 + i]["lang_pred"] for i in range(6)] == ["aa", "aa", "aa", "bb", "bb", "und"]
+    assert [rows[16 + i]["score"] for i in (0, 1, 5)] == [0.0] * 3
+    assert rows[19]["score"] == rows[20]["score"]
+    same = make(*["one text"] * 50, ids=[None] * 50, lang=["aa"] * 50)
+    monkeypatch.setattr(language, "SAMPLE", 7)
+    assert language.sample(make(*learned, *odd, lang=lang)).groupBy("lang").count().where("count > 7").count() == 0
+    assert language.sample(same).count() == 7
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 20)
+    assert language.sample(same).count() == 3
+
+
 def test_language_masks():
-    counts = {f"l{i}": (np.array([i + 1, 1000], np.uint64), np.array([5, 5])) for i in range(70)}
-    names, planes, rates = language.build(counts)
+    held = {f"l{i}": np.array([i + 1, 1000], np.uint64) for i in range(70)}
+    names, planes, rates = language.build(held)
     first, second = language.slots(np.array([1000, 66], np.uint64))
     masks = [[int(p[a] & p[b]) for p in planes] for a, b in zip(first, second, strict=True)]
     assert masks[0] == [(1 << 64) - 1, (1 << 6) - 1]
