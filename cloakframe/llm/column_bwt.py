@@ -2,7 +2,8 @@
 
 Round j inserts one symbol of every string of at least j symbols: the row of its suffix of length j.
 The rows' transform, common prefixes, owners and lengths lie in files of their own, which a round reads
-from front to back and writes anew from front to back; nothing else grows with the collection. A
+from front to back and writes anew from front to back. The files are in memory unless a folder is named, so that
+nothing is left on a worker's disk; the caller bounds the collection. A
 row's place follows from the rank of its symbol in the transform so far; its common prefix with the row
 above is one more than the least common prefix between the two rows that precede them, and so with
 the row below.
@@ -11,7 +12,6 @@ the row below.
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 
@@ -23,9 +23,10 @@ FIELDS = (("bwt", np.uint8), ("lcp", np.uint8), ("owner", np.int32), ("length",
 class Files:
     """Two generations of the sequential files: a round reads one and overwrites the other."""
 
-    def __init__(self, folder: str) -> None:
+    def __init__(self, folder: str | None) -> None:
         self.turn = 0
-        self.open = {(name, turn): os.open(f"{folder}/{name}.{turn}", os.O_RDWR | os.O_CREAT) for name, _ in FIELDS for turn in (0, 1)}
+        make = (lambda name: os.open(f"{folder}/{name}", os.O_RDWR | os.O_CREAT)) if folder else os.memfd_create
+        self.open = {(name, turn): make(f"{name}.{turn}") for name, _ in FIELDS for turn in (0, 1)}
 
     def read(self, name: str, kind: type, rows: int) -> np.ndarray:
         out = np.empty(rows, kind)
@@ -68,56 +69,55 @@ def construct(strings: list[bytes], folder: str | None = None) -> dict[str, np.n
     for j in range(longest):
         own = np.flatnonzero(sizes > j)
         right[j, own] = flat[at[own + 1] - 1 - j]
-    with tempfile.TemporaryDirectory(dir=folder or os.environ.get("TMPDIR")) as place:
-        files = Files(place)
-        for name, values in (("bwt", right[0]), ("lcp", np.zeros(m, np.uint8)), ("owner", np.arange(m, dtype=np.int32)), ("length", np.zeros(m, np.uint8))):
-            files.write(name, values)
+    files = Files(folder)
+    for name, values in (("bwt", right[0]), ("lcp", np.zeros(m, np.uint8)), ("owner", np.arange(m, dtype=np.int32)), ("length", np.zeros(m, np.uint8))):
+        files.write(name, values)
+    files.advance()
+    n = m
+    active, position = np.arange(m), np.arange(m)
+    for j in range(1, longest + 1):
+        keep = sizes[active] >= j
+        active, position = active[keep], position[keep]
+        bwt, lcp = files.read("bwt", np.uint8, n), files.read("lcp", np.uint8, n)
+        # Rows in the order of the symbol before them, ties in their own order, and where mine are.
+        order = np.argsort(bwt, kind="stable")
+        symbol = bwt[position]
+        first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+        mine = np.empty(len(position), np.int64)
+        by_symbol = np.argsort(symbol, kind="stable")
+        edges = np.searchsorted(symbol[by_symbol], np.arange(257))
+        for c in np.flatnonzero(np.diff(edges)):
+            some = by_symbol[edges[c] : edges[c + 1]]
+            mine[some] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], position[some])
+        above, below = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(bwt) - 1)]
+        has_above, has_below = (mine > 0) & (bwt[above] == symbol), (mine + 1 < len(bwt)) & (bwt[below] == symbol)
+        padded = np.append(lcp, np.uint8(0))
+        own, under = np.zeros(len(mine), np.uint8), np.zeros(len(mine), np.uint8)
+        own[has_above] = _least(padded, above[has_above], position[has_above]) + np.uint8(1)
+        under[has_below] = _least(padded, position[has_below], below[has_below]) + np.uint8(1)
+        position = mine + m
+        old = np.ones(len(bwt) + len(position), bool)
+        old[position] = False
+        for name, kind in FIELDS:
+            before = {"bwt": bwt, "lcp": lcp}.get(name)
+            before = files.read(name, kind, n) if before is None else before
+            after = np.empty(len(old), kind)
+            after[old] = before
+            if name == "bwt":
+                after[position] = right[j, active]
+            elif name == "lcp":
+                after[position] = own
+                next_ = position + 1 < len(old)
+                after[position[next_] + 1] = under[next_]
+            elif name == "owner":
+                after[position] = active
+            else:
+                after[position] = j
+            files.write(name, after)
         files.advance()
-        n = m
-        active, position = np.arange(m), np.arange(m)
-        for j in range(1, longest + 1):
-            keep = sizes[active] >= j
-            active, position = active[keep], position[keep]
-            bwt, lcp = files.read("bwt", np.uint8, n), files.read("lcp", np.uint8, n)
-            # Rows in the order of the symbol before them, ties in their own order, and where mine are.
-            order = np.argsort(bwt, kind="stable")
-            symbol = bwt[position]
-            first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
-            mine = np.empty(len(position), np.int64)
-            by_symbol = np.argsort(symbol, kind="stable")
-            edges = np.searchsorted(symbol[by_symbol], np.arange(257))
-            for c in np.flatnonzero(np.diff(edges)):
-                some = by_symbol[edges[c] : edges[c + 1]]
-                mine[some] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], position[some])
-            above, below = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(bwt) - 1)]
-            has_above, has_below = (mine > 0) & (bwt[above] == symbol), (mine + 1 < len(bwt)) & (bwt[below] == symbol)
-            padded = np.append(lcp, np.uint8(0))
-            own, under = np.zeros(len(mine), np.uint8), np.zeros(len(mine), np.uint8)
-            own[has_above] = _least(padded, above[has_above], position[has_above]) + np.uint8(1)
-            under[has_below] = _least(padded, position[has_below], below[has_below]) + np.uint8(1)
-            position = mine + m
-            old = np.ones(len(bwt) + len(position), bool)
-            old[position] = False
-            for name, kind in FIELDS:
-                before = {"bwt": bwt, "lcp": lcp}.get(name)
-                before = files.read(name, kind, n) if before is None else before
-                after = np.empty(len(old), kind)
-                after[old] = before
-                if name == "bwt":
-                    after[position] = right[j, active]
-                elif name == "lcp":
-                    after[position] = own
-                    next_ = position + 1 < len(old)
-                    after[position[next_] + 1] = under[next_]
-                elif name == "owner":
-                    after[position] = active
-                else:
-                    after[position] = j
-                files.write(name, after)
-            files.advance()
-            n = len(old)
-        rows = {name: files.read(name, kind, n) for name, kind in FIELDS}
-        files.close()
+        n = len(old)
+    rows = {name: files.read(name, kind, n) for name, kind in FIELDS}
+    files.close()
     return rows
 
 

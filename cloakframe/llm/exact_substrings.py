@@ -12,12 +12,16 @@ the same text). Equal strings must meet, whatever text they stand in:
    built column by column (column_bwt). Suffixes with a common prefix of WIDTH are equal
    windows; all but the first of a class go.
 
-An anchor with more than HOT different pieces is cut again by longer grams, at last by the whole
-window, so no anchor gathers more than HOT of them in one task. Texts move compressed.
+Equal pieces are told by anchor and digest, 128 bits; the transform decides among the different ones.
+
+Frequent anchors, which a share of the documents shows beforehand, are dealt over tasks by anchor and digest, and all
+their different pieces go on. An anchor with more than HOT different pieces is cut again by longer grams, at last by
+the whole window, so no anchor gathers more than HOT of them in one task. Texts move compressed.
 
 Defined cases: null and empty texts have nothing to remove; rows that repeat both id and text count as
-one document and each gets its result; texts that share an id are ordered by their hash; null ids come last;
-columns that are not asked for are dropped.
+one document and each gets its result; ids are integers; texts that share an id are ordered by their hash; null ids come
+last; an empty table gives an empty one; a very long text is cut into parts that share their borders; columns that are
+not asked for are dropped.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ LONGER = (62, 86, WIDTH)
 HOT = 8192
 #: Pieces of one collection, unless one anchor has more.
 COLLECTION = 3000
+#: One document in so many shows which anchors are frequent: they are dealt apart, which changes no result. So many
+#: anchors at most for each partition.
+SHOWN, FREQUENT = 16, 8
 #: A longer text is cut into overlapping parts while anchors are searched.
 PART = 4 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -89,18 +96,27 @@ def _packed(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (start << 8) | size
 
 
-PIECE = "anchor long, digest long, k long, place long, done boolean"
+PIECE = "anchor long, digest long, k long, place long, done boolean, hot boolean"
 
 
-def _piece_batch(anchor, digest, k, place, done, extra=()) -> pa.RecordBatch:  # noqa: ANN001
-    names = ["anchor", "digest", "k", "place", "done", "piece"]
-    columns = [pa.array(x.view(np.int64)) for x in (anchor, digest)] + [pa.array(k), pa.array(place), pa.array(done), *extra]
+def _piece_batch(anchor, digest, k, place, done, hot, extra=()) -> pa.RecordBatch:  # noqa: ANN001
+    names = ["anchor", "digest", "k", "place", "done", "hot", "piece"]
+    columns = [pa.array(x.view(np.int64)) for x in (anchor, digest)] + [pa.array(k), pa.array(place), pa.array(done), pa.array(hot), *extra]
     return pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
 
-def anchored(docs: DataFrame) -> DataFrame:
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Anchors that many pieces of a share of docs have, sorted; their number is bounded by that of the partitions."""
+    shown = anchored(docs.where(F.pmod(F.xxhash64("k"), F.lit(SHOWN)) == 0)).where("not done")
+    most = shown.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.col("n").desc(), "anchor").limit(FREQUENT * common.partitions(docs.sparkSession))
+    return np.sort(most.select("anchor").toArrow()["anchor"].to_numpy().view(np.uint64))
+
+
+def anchored(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
     """(PIECE) of every text of docs (k, text). Of equal pieces in a block only the first keeps its
-    anchor; the others are done, and dealt out by their place instead."""
+    anchor; the others are done, and dealt out by their place instead. Anchors in `often` are hot."""
+    often = np.zeros(0, np.uint64) if often is None else often
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +130,19 @@ def anchored(docs: DataFrame) -> DataFrame:
                     k, place, anchor, digest = k[order], place[order], anchor[order], digest[order]
                     done = np.zeros(len(k), bool)
                     done[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
+                    hot = np.isin(anchor, shared.value) & ~done
                     anchor = np.where(done, common.mix((k * 1_000_003 + place).view(np.uint64)), anchor)
-                    yield _piece_batch(anchor, digest, k, place, done)
+                    yield _piece_batch(anchor, digest, k, place, done, hot)
 
     return docs.select("k", "text").mapInArrow(run, PIECE)
 
 
 def resolve(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
     """Of PIECE rows: (k, place, anchor, open[, piece]). Not open: all windows have occurred before;
-    open: the first of its kind among different pieces of one anchor. Others are left out."""
+    open: the first of its kind among different pieces of one anchor, or of a hot one. Others are left out."""
     n = common.partitions(rows.sparkSession)
-    rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor", "digest", "k", "place")
+    route = F.when(F.col("hot"), F.xxhash64("anchor", "digest")).otherwise(F.col("anchor"))
+    rows = rows.repartition(n, route).sortWithinPartitions("anchor", "digest", "k", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # anchor and digest of the row before
@@ -139,6 +157,7 @@ def resolve(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
             kind = ~same & ~done
             group = np.cumsum(~again) - (not again[0])
             kinds = np.bincount(group, kind, group[-1] + 1)
+            kinds[group[batch.column(5).to_numpy(zero_copy_only=False)]] += 2  # others may be in another task
             joins = bool(again[0])
             if joins:  # the first group goes on from the batch before
                 kinds[0] += 1
@@ -162,7 +181,7 @@ def resolve(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
 
 def _resolved(batch: pa.RecordBatch, rows: np.ndarray, open_: bool, with_bytes: bool) -> pa.RecordBatch:
     some = batch.take(pa.array(rows, pa.int64()))
-    columns = [some.column(2), some.column(3), some.column(0), pa.array(np.full(len(rows), open_)), *([some.column(5)] if with_bytes else [])]
+    columns = [some.column(2), some.column(3), some.column(0), pa.array(np.full(len(rows), open_)), *([some.column(6)] if with_bytes else [])]
     return pa.RecordBatch.from_arrays(columns, ["k", "place", "anchor", "open", "piece"][: len(columns)])
 
 
@@ -323,14 +342,14 @@ def recut(rows: DataFrame, gram: int) -> DataFrame:
             text, begin, end, anchor, digest = pieces(data, offsets, gram)
             raw = data.tobytes()
             cut = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-            yield _piece_batch(anchor, digest, keys[text], _packed((place[text] >> 8) + begin - offsets[text], end - begin), np.zeros(len(text), bool), (cut,))
+            yield _piece_batch(anchor, digest, keys[text], _packed((place[text] >> 8) + begin - offsets[text], end - begin), np.zeros(len(text), bool), np.zeros(len(text), bool), (cut,))
 
     return rows.select("anchor", "k", "place", "piece").mapInArrow(run, PIECE + ", piece binary")
 
 
 def spans(docs: DataFrame, texts: DataFrame, hot: int = HOT, collection: int = COLLECTION) -> DataFrame:
     """(k, s, e): runs of bytes to remove; they may overlap."""
-    found = common.written(resolve(anchored(docs)), "pieces")
+    found = common.written(resolve(anchored(docs, frequent(docs))), "pieces")
     span = [F.shiftright("place", 8).alias("s"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("e")]
     gone = found.where(~F.col("open")).select("k", *span)
     open_ = found.where("open").select("anchor", "k", "place")

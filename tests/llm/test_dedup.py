@@ -54,6 +54,22 @@ def test_substrings_equal_brute_force(make, hot, collection):
         assert hashlib.sha256(got[i]["kept"]).hexdigest() == sha
 
 
+def test_substrings_frequent_anchors(make, monkeypatch):
+    """Frequent anchors are dealt apart; results are the same."""
+    passage = prose(60, 77)
+    texts = [f"{i} " + passage + f" {'xyz'[i % 3]}{i // 9} " + prose(i % 7, i) for i in range(90)]
+    docs = make(*texts)
+    want = brute_removed([(i, t.encode()) for i, t in enumerate(texts)])
+    monkeypatch.setattr(exact_substrings, "SHOWN", 1)
+    numbered = docs.withColumn("k", docs["doc_id"])
+    often = exact_substrings.frequent(numbered)
+    assert len(often) > 0
+    rows = exact_substrings.anchored(numbered, often)
+    assert rows.where("hot").count() > 10
+    got = {r["doc_id"]: r for r in exact_substrings.remove(docs).collect()}
+    assert {i: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
 def test_substrings_repeated_and_null_ids(make):
     a, b = prose(60, 5), prose(60, 6)
     rows = exact_substrings.remove(make(a, a, b, a, b, ids=[7, 7, 7, None, 9])).collect()
@@ -88,7 +104,9 @@ def test_transform_and_prefixes(alphabet, tmp_path):
     r = random.Random(3)
     for _ in range(15):
         strings = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 25))) for _ in range(20)]
-        rows = column_bwt.construct(strings, str(tmp_path))
+        rows = column_bwt.construct(strings)
+        again = column_bwt.construct(strings, str(tmp_path))
+        assert all((rows[x] == again[x]).all() for x in rows)
         suffixes = sorted(((list(s[len(s) - n :]) + [i - 1000], i, n) for i, s in enumerate(strings) for n in range(len(s) + 1)), key=lambda x: x[0])
         assert list(zip(rows["owner"].tolist(), rows["length"].tolist(), strict=True)) == [(i, n) for _, i, n in suffixes]
         before = [column_bwt.END if n == len(strings[i]) else strings[i][len(strings[i]) - n - 1] for _, i, n in suffixes]
