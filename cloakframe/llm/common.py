@@ -218,20 +218,27 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: A key with more rows than this, and than a quarter of a task's share, is dealt over several tasks.
 SHARE = 256
+SALT = "__salt"
 
 
-def joined(many: DataFrame, one: DataFrame, key: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:
-    """many joined with `one` (a row for each key, with n: the rows that many has of it) on key.
+def dealt(many: DataFrame, one: DataFrame, key: str, spread: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """many and `one` (a row for each key, with n: the rows that many has of it) with a column SALT.
 
-    Keys of many rows are dealt over several tasks by a hash of `spread`, and their row in `one` is repeated as
+    Keys of many rows are dealt over several salts by a hash of `spread`, and their row in `one` is repeated as
     often. With `total` rows in many, at most 4 times the number of partitions have that many: the list of them
     is small by construction, and broadcast."""
     limit = max(SHARE, total // (4 * partitions(many.sparkSession)))
     hot = F.broadcast(one.where(F.col("n") > limit).select(F.col(key).alias("__k"), F.ceil(F.col("n") / limit).cast("int").alias("__of")))
     here = lambda df: df.join(hot, df[key] == F.col("__k"), "left").drop("__k")
-    left = here(many).withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__of")).cast("int"), F.lit(0))).drop("__of")
-    right = here(one.drop("n")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__of"), F.lit(1)) - 1))).drop("__of")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    left = here(many).withColumn(SALT, F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__of")).cast("int"), F.lit(0))).drop("__of")
+    right = here(one.drop("n")).withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__of"), F.lit(1)) - 1))).drop("__of")
+    return left, right
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, spread: list[str], total: int, how: str = "inner") -> DataFrame:
+    """many joined with `one` on key; both as in dealt()."""
+    left, right = dealt(many, one, key, spread, total)
+    return left.join(right, [key, SALT], how).drop(SALT)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

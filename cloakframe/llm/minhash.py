@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,35 +197,61 @@ def signed(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, text_key string, sign binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text_key, s array<long>) of the texts whose keys are in `wanted`, each text once."""
+def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tid, z): the compressed texts of `wanted` (text_key, tid), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for rows, data, offsets in common.blocks(batch):
-                hashes, at = common.word_shingles(data, offsets, WIDTH)
-                own = [np.unique(hashes[a:b].view(np.int64)) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(own)), pa.array(own, pa.list_(pa.int64()))], ["text_key", "s"])
+            data, at = common.utf8(batch.column(1))
+            raw = data.tobytes()
+            z = [pack.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["text_key", "z"])
+
+    texts = docs.select(F.md5(common.whole_text().cast("binary")).alias("text_key"), "text").mapInArrow(run, "text_key string, z binary")
+    return texts.groupBy("text_key").agg(F.first("z").alias("z")).join(wanted, "text_key").select("tid", "z")
+
+
+def shingle_set(z: bytes) -> np.ndarray:
+    """The different shingles of a compressed text, sorted."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z) if z else b"", np.uint8)
+    return np.unique(common.word_shingles(data, np.array([0, len(data)]), WIDTH)[0].view(np.int64))
 
-    whole = common.whole_text()
-    texts = docs.select(F.md5(whole.cast("binary")).alias("text_key"), whole.alias("text"))
-    texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key", "left_semi")
-    return texts.mapInArrow(run, "text_key string, s array<long>")
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - shared
+    return shared / total if total else 1.0
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b), a written table, that reach the threshold. A text that stands in
-    many pairs is dealt over several tasks."""
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b), a written table, that reach the threshold.
+
+    The texts of all a of one b follow b's text, which is read once. A text that stands in many pairs is dealt over
+    several tasks, on either side."""
     total = pairs.count()
+    n = common.partitions(pairs.sparkSession)
+    members, hubs = common.dealt(pairs, pairs.groupBy("b").agg(F.count("*").alias("n")), "b", ["a"], total)
+    part = F.col(common.SALT).alias("part")
+    asked = hubs.select("b", part, F.lit(0).alias("role"), F.col("b").alias("tid")).unionByName(members.select("b", part, F.lit(1).alias("role"), F.col("a").alias("tid")))
+    asked = common.written(asked, "asked")
+    own = texts.join(asked.groupBy("tid").agg(F.count("*").alias("n")), "tid")
+    rows = common.joined(asked, own, "tid", ["b", "part"], asked.count())
+    rows = rows.select("b", "part", "role", "tid", "z").repartition(n, "b", "part").sortWithinPartitions("b", "part", "role")
 
-    def beside(rows: DataFrame, side: str, spread: str) -> DataFrame:
-        own = sets.select(F.col("text_key").alias(side), F.col("s").alias(f"s{side}")).join(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
-        return common.joined(rows, own, side, [spread], total)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.int64)
+        for batch in batches:
+            found: list[tuple[int, int, float]] = []
+            for b, role, tid, z in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if role == 0:
+                    hub = shingle_set(z)
+                elif (likeness_ := jaccard(shingle_set(z), hub)) >= threshold:
+                    found.append((tid, b, likeness_))
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "jaccard"])
 
-    both = beside(beside(pairs, "a", "b"), "b", "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    total_ = F.size("sa") + F.size("sb") - shared
-    return both.select("a", "b", F.when(total_ > 0, shared / total_).otherwise(1.0).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return rows.mapInArrow(run, "a long, b long, jaccard double")
 
 
 # A bucket's rows to pairs of their places. `some` has the columns of the bucket's rows.
@@ -276,7 +303,7 @@ def alike_by_size(threshold: float) -> Match:
 
 
 def bucket_pairs(rows: DataFrame, match: Match) -> DataFrame:
-    """(a, b) by match() within each bucket of rows (bucket, root, text_key, side, ...), which lie
+    """(a, b) by match() within each bucket of rows (bucket, root, tid, side, ...), which lie
     together and hold at most two blocks; in a bucket of two blocks only pairs across them count."""
 
     def pairs(some: pa.Table) -> pa.RecordBatch:
@@ -285,7 +312,7 @@ def bucket_pairs(rows: DataFrame, match: Match) -> DataFrame:
         if (side != side[:1]).any():
             across = side[a] != side[b]
             a, b = a[across], b[across]
-        keys = some["text_key"].combine_chunks()
+        keys = some["tid"].combine_chunks()
         return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,77 +329,91 @@ def bucket_pairs(rows: DataFrame, match: Match) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    first = ["bucket", "root", "text_key", "side"]
+    first = ["bucket", "root", "tid", "side"]
     rows = rows.select(*first, *(c for c in rows.columns if c not in first))
-    rows = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "text_key")
-    near = rows.mapInArrow(run, "a string, b string")
+    rows = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "tid")
+    near = rows.mapInArrow(run, "a long, b long")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def in_blocks(rows: DataFrame, hot: int) -> DataFrame:
-    """rows (bucket, n, text_key, ...) with `side`: a bucket of n > hot rows becomes blocks of which any two meet
+    """rows (bucket, n, tid, ...) with `side`: a bucket of n > hot rows becomes blocks of which any two meet
     in a bucket of their own."""
     parts = F.ceil(F.col("n") / hot).cast("int")
-    dealt = rows.withColumn("side", F.pmod(F.xxhash64("text_key"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("tid"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     pair = F.xxhash64("bucket", F.least("side", "_other"), F.greatest("side", "_other"))
     return dealt.withColumn("bucket", F.when(F.col("n") > hot, pair).otherwise(F.col("bucket"))).drop("n", "_other")
 
 
 def undecided(rows: DataFrame, by: str) -> DataFrame:
-    """Rows (by, root, text_key, ...), a written table, whose bucket holds more than one root, with its size as `members`."""
+    """Rows (by, root, tid, ...), a written table, whose bucket holds more than one root, with its size as `members`."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h")
-    return common.joined(rows, sizes.select(by, "n", F.col("n").alias("members")), by, ["text_key"], rows.count())
+    return common.joined(rows, sizes.select(by, "n", F.col("n").alias("members")), by, ["tid"], rows.count())
 
 
-def rare_shingles(sets: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, text_key, size): of each text's shingles in one order for all texts, rare ones first, as many as
+def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, tid, size): of each text's shingles in one order for all texts, rare ones first, as many as
     two texts that reach the threshold can't differ in: such texts share one of these.
 
     Any order is right; a rough count by SLOTS hash slots makes it a good one and bounds what is broadcast."""
-    slots = sets.select(F.explode("s").alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).toArrow()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for z in batch.column(0):
+                np.add.at(counts, shingle_set(z.as_py()) % SLOTS, 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+    slots = texts.select("z").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                s = value.values.to_numpy()
+            for tid, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(z)
                 n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
                 first = s[np.lexsort((s, counts[s % SLOTS]))[:n]]
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array([key.as_py()] * n, pa.string()), pa.array(np.full(n, len(s)), pa.int64())], ["bucket", "text_key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(np.full(n, tid, np.int64)), pa.array(np.full(n, len(s), np.int64))], ["bucket", "tid", "size"])
+
+    return texts.select("tid", "z").mapInArrow(run, "bucket long, tid long, size long")
+
 
-    return sets.select("text_key", "s").mapInArrow(run, "bucket long, text_key string, size long")
+def distinct_texts(signed_: DataFrame) -> DataFrame:
+    """(tid, text_key, sign, bands): one row for each text, numbered, written. Numbers, not keys, go through the joins."""
+    once = signed_.groupBy("text_key").agg(F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    return common.written(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
 
-def near_links(signed_: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """(a, b, jaccard): verified links between keys of different texts, enough to connect each class.
+def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(a, b, jaccard): verified links between different texts (their tid), enough to connect each class.
 
     First each band's members are checked against the least of them. Bands whose members then lie in
     one class are done. In the others, members of different classes are compared by fingerprint,
     and those that reach the threshold less MARGIN are verified. Members of a band with more than `hot` such
     rows meet on their rare shingles instead, which loses no pair, and all that are alike in size are verified."""
-    distinct = common.written(signed_.groupBy("text_key", "sign", "bands").agg(F.lit(1).alias("_")).drop("_"), "signs")
-    banded = distinct.select("text_key", F.explode("bands").alias("band"))
-    hub = banded.groupBy("band").agg(F.min("text_key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = common.written(common.joined(banded, hub, "band", ["text_key"], BANDS * distinct.count()), "shared")
-    sets = common.written(shingle_sets(docs, shared.select("text_key").distinct()), "sets")
-    pairs = common.written(shared.where("text_key <> b").select(F.col("text_key").alias("a"), "b").distinct(), "pairs")
-    first = common.written(verified(pairs, sets, threshold), "first")
+    banded = distinct.select("tid", F.explode("bands").alias("band"))
+    hub = banded.groupBy("band").agg(F.min("tid").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = common.written(common.joined(banded, hub, "band", ["tid"], BANDS * distinct.count()), "shared")
+    texts = common.written(packed(docs, shared.select("tid").distinct().join(distinct.select("tid", "text_key"), "tid")), "packed")
+    pairs = common.written(shared.where("tid <> b").select(F.col("tid").alias("a"), "b").distinct(), "pairs")
+    first = common.written(verified(pairs, texts, threshold), "first")
     root = common.components(first.select("a", "b"))
-    rows = shared.select("band", "text_key").join(root.withColumnRenamed("node", "text_key"), "text_key", "left")
-    rows = common.written(rows.withColumn("root", F.coalesce("root", "text_key")), "rooted")
+    rows = shared.select("band", "tid").join(root.withColumnRenamed("node", "tid"), "tid", "left")
+    rows = common.written(rows.withColumn("root", F.coalesce("root", "tid")), "rooted")
     rows = common.written(undecided(rows, "band"), "undecided")
-    small = rows.where(F.col("members") <= hot).select(F.col("band").alias("bucket"), "root", "text_key", F.lit(0).alias("side")).join(distinct.select("text_key", "sign"), "text_key")
+    small = rows.where(F.col("members") <= hot).select(F.col("band").alias("bucket"), "root", "tid", F.lit(0).alias("side")).join(distinct.select("tid", "sign"), "tid")
     near = bucket_pairs(small, alike_by_sign(threshold - MARGIN))
-    crowd = common.written(rows.where(F.col("members") > hot).select("text_key", "root").distinct(), "crowd")
+    crowd = common.written(rows.where(F.col("members") > hot).select("tid", "root").distinct(), "crowd")
     if crowd.limit(1).count():
-        own = sets.join(crowd, "text_key", "left_semi")
-        rare = common.written(rare_shingles(own, threshold).join(crowd, "text_key"), "rare")
+        own = texts.join(crowd, "tid", "left_semi")
+        rare = common.written(rare_shingles(own, threshold).join(crowd, "tid"), "rare")
         meet = in_blocks(undecided(rare, "bucket").withColumnRenamed("members", "n"), hot)
         near = near.unionByName(bucket_pairs(meet, alike_by_size(threshold))).distinct()
-    more = verified(common.written(near, "near"), sets, threshold)
+    more = verified(common.written(near, "near"), texts, threshold)
     return first.unionByName(more).distinct()
 
 
@@ -382,13 +423,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HO
 
     Equal texts meet first and count as one; a class without any id has class null."""
     rows = common.written(signed(docs), "signed")
-    links = common.written(near_links(rows, docs, threshold, hot).select("a", "b"), "links")
-    root = common.components(links).withColumnRenamed("node", "text_key")
-    ends = links.select(F.col("a").alias("text_key")).unionByName(links.select(F.col("b").alias("text_key"))).groupBy("text_key").agg(F.count("*").alias("n_links"))
-    least = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    least = least.join(root, "text_key", "left").join(ends, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    distinct = distinct_texts(rows)
+    links = common.written(near_links(distinct, docs, threshold, hot).select("a", "b"), "links")
+    root = common.components(links).withColumnRenamed("node", "tid")
+    ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid"))).groupBy("tid").agg(F.count("*").alias("n_links"))
+    least = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(distinct.select("tid", "text_key"), "text_key")
+    least = least.join(root, "tid", "left").join(ends, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     least = common.written(least.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), "least")
     ids = least.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
-    of = common.joined(least.drop("least"), ids, "root", ["text_key"], least.count())
+    of = common.joined(least.drop("least"), ids, "root", ["tid"], least.count())
     of = common.written(of.select("text_key", "n_links", "class_id", F.col("rows").alias("n")), "classes")
     return common.joined(rows.select("doc_id", "text_key"), of, "text_key", ["doc_id"], rows.count()).select("doc_id", "n_links", "class_id")

@@ -144,11 +144,30 @@ def test_scan_stitches_blocks(spark, tmp_path, monkeypatch, group):
             want.add((name, len(sizes), len(flat), 4, False))
             flat += [2] * 4
         (tmp_path / name).write_bytes(np.array(flat, "<u2").tobytes())
-    blocks = token_counts.read_files(spark, str(tmp_path), 7)
-    got = {(r["file"].rsplit("/", 1)[-1], r["ordinal"], r["token_start"], r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks, 9).collect()}
+    found = token_counts.files(spark, str(tmp_path))
+    got = {(r["file"].rsplit("/", 1)[-1], r["ordinal"], r["token_start"], r["n_tokens"], r["closed"]) for r in token_counts.scan(found, 9, block_tokens=7).collect()}
     assert got == want
 
 
+def test_files_are_read_by_ranges(spark, tmp_path):
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    (folder / "a").write_bytes(np.array([5, 9, 9, 7, 7, 7, 9], "<u4").tobytes())
+    got = token_counts.scan(token_counts.files(spark, str(folder)), 9, 4, 2).orderBy("ordinal").collect()
+    assert [(r["token_start"], r["n_tokens"]) for r in got] == [(0, 1), (2, 0), (3, 3)]
+    (folder / "b").write_bytes(b"123")
+    with pytest.raises(Exception, match="ends inside an id"):
+        token_counts.scan(token_counts.files(spark, str(folder)), 9).collect()
+
+
+def test_token_files_are_flat(make, tmp_path, library):
+    texts = ["one two", "", "three", "one two"]
+    rows = token_counts.token_files(make(*texts, ids=[1, 2, 3, 1]).coalesce(1), f"file:{tmp_path}/x").collect()
+    (file,) = {r["file"] for r in rows}
+    ids = [i for r in sorted(rows, key=lambda r: r["ordinal"]) for i in [*library.encode(texts[[1, 2, 3].index(r["doc_id"])]).ids, 50256]]
+    assert np.frombuffer((tmp_path / "x" / file).read_bytes(), "<u2").tolist() == ids
+
+
 # --- classifiers -------------------------------------------------------------------------------
 
 
