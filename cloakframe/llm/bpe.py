@@ -1,17 +1,18 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of its last WINDOW bytes hits a pattern, so that documents with a
-common passage share the chunks inside it, wherever the passage stands. A chunk is encoded once for
-each task as long as the cache holds it. Its ends aren't final: the bytes before the first and after the
-last seam (an ASCII letter followed by a space, which no token spans and no earlier byte reaches
-past) are encoded anew with the neighbouring chunk's, and the re-encoded window widens over chunks
-without a seam until it ends at one, where both encodings agree exactly.
+common passage share the chunks inside it, wherever the passage stands. A chunk that a task has met before is
+encoded once more at most, and then kept. Only the ids between its first and last seam (an ASCII letter followed by
+a space) are taken; a join is repaired by encoding what lies between two chunks' seams together with the word
+beside it on either side, and it stands if those words come out with the ids that they have in their chunks. If
+they don't, the window widens over both chunks and at last over the whole text so far, until both encodings agree.
 
 The ids equal those of the tokenizers library for the same vocabulary (add_special_tokens=False);
 the vocabulary is read from a path on every worker and never trained.
 
 Defined cases: null and empty texts give no ids; the end-of-text mark inside a text is its special id,
-as in the library; columns other than doc_id and text are dropped by digests() and kept by encode()
+as in the library; repeated rows get equal ids, each its own; a text of any length is one row, encoded in chunks; an
+empty table gives an empty one; columns other than doc_id and text are dropped by digests() and kept by encode()
 unless they carry the names ids or decoded, which are replaced.
 """
 
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame
 from cloakframe.llm import common
 
 WINDOW, MEAN_CHUNK = 16, 1024
-#: Bytes of chunks that a task keeps.
+#: Bytes of repeated chunks that a task keeps: it decides what is encoded again, never the ids.
 CACHE_BYTES = 24 << 20
+#: Bits that remember which chunks a task has met.
+MET = 1 << 24
 END_OF_TEXT = "<|endoftext|>"
 #: Fixed value: the pre-tokenisation pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,8 +51,43 @@ def is_letter(byte: int) -> bool:
     return 65 <= byte & 0xDF <= 90
 
 
+Entry = tuple[np.ndarray, str, bytes]
+
+
+def seam(raw: bytes, at: int) -> int:
+    """The first place from `at` on with a space behind an ASCII letter; -1 if there is none."""
+    at = raw.find(b" ", at)
+    while at > 0 and not is_letter(raw[at - 1]):
+        at = raw.find(b" ", at + 1)
+    return at
+
+
+def last_seam(raw: bytes, before: int) -> int:
+    """The last such place before `before`; 0 or less if there is none."""
+    at = raw.rfind(b" ", 0, before)
+    while at > 0 and not is_letter(raw[at - 1]):
+        at = raw.rfind(b" ", 0, at)
+    return at
+
+
+class Piece:
+    """What lies between two seams: its bytes, its entry, and the words (bytes, ids) at its ends."""
+
+    __slots__ = ("entry", "first", "last")
+
+    def __init__(self, entry: Entry, first: tuple[bytes, list[int]], last: tuple[bytes, list[int]]) -> None:
+        self.entry, self.first, self.last = entry, first, last
+
+    @property
+    def raw(self) -> bytes:
+        return self.entry[2]
+
+
+EDGE: tuple[bytes, list[int]] = (b"", [])
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary; keeps the chunks that it has encoded."""
+    """Encoder and decoder of one vocabulary; keeps the chunks that repeat."""
 
     def __init__(self, path: str) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
@@ -60,8 +98,9 @@ class Codec:
             self.pieces[i] = piece
         self.pieces[self.end] = END_OF_TEXT.encode()
         self.names = [str(i) for i in range(self.end + 1)]
-        self.chunks: dict[bytes, tuple[bytes, tuple | None, bytes]] = {}
-        self.held = self.hits = self.misses = 0
+        self.chunks: dict[bytes, tuple[bytes, Piece | None, bytes]] = {}
+        self.met = bytearray(MET // 8)
+        self.held = self.hits = self.misses = self.widened = 0
 
     def plain(self, text: bytes) -> list[int]:
         """Ids of a text from its beginning or a seam to a seam or its end."""
@@ -75,46 +114,88 @@ class Codec:
             out += self.encoding.encode_ordinary(part)
         return out
 
-    def entry(self, ids: list[int]) -> tuple[np.ndarray, str, bytes]:
+    def entry(self, ids: list[int]) -> Entry:
         """Ids with their decimal form and their bytes."""
         return np.array(ids, np.uint16 if self.end < 1 << 16 else np.uint32), ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.pieces.__getitem__, ids))
 
-    def chunk(self, raw: bytes) -> tuple[bytes, tuple | None, bytes]:
-        """(head, entry, tail) of a chunk; without two seams all of it is head."""
+    def guard(self, raw: bytes, ids: list[int], at: int) -> tuple[bytes, list[int]]:
+        """The word of `raw` before (at < 0) or from its end to the seam nearest to it, with its own ids; EDGE if
+        the ids have no border there."""
+        if at == 0:
+            stop = seam(raw, 1)
+            size, n = (stop if stop > 0 else len(raw)), 0
+            for i in ids:
+                if size <= 0:
+                    break
+                size, n = size - len(self.pieces[i]), n + 1
+            return (raw[: stop if stop > 0 else len(raw)], ids[:n]) if size == 0 else EDGE
+        begin = last_seam(raw, len(raw))
+        size, n = len(raw) - max(begin, 0), 0
+        for i in reversed(ids):
+            if size <= 0:
+                break
+            size, n = size - len(self.pieces[i]), n + 1
+        return (raw[max(begin, 0) :], ids[len(ids) - n :]) if size == 0 else EDGE
+
+    def chunk(self, raw: bytes) -> tuple[bytes, Piece | None, bytes]:
+        """(head, piece, tail) of a chunk; without two seams all of it is head."""
         found = self.chunks.get(raw)
         if found is not None:
             self.hits += 1
             return found
         self.misses += 1
-        first = raw.find(b" ", 1)
-        while first > 0 and not is_letter(raw[first - 1]):
-            first = raw.find(b" ", first + 1)
-        last = raw.rfind(b" ")
-        while last > 0 and not is_letter(raw[last - 1]):
-            last = raw.rfind(b" ", 0, last)
-        found = (raw[:first], self.entry(self.plain(raw[first:last])), raw[last:]) if 0 < first < last else (raw, None, b"")
-        self.chunks[raw] = found
-        self.held += 8 * len(raw) + 500
-        while self.held > CACHE_BYTES:
-            gone = next(iter(self.chunks))
-            del self.chunks[gone]
-            self.held -= 8 * len(gone) + 500
+        first, last = seam(raw, 1), last_seam(raw, len(raw))
+        if 0 < first < last:
+            ids = self.plain(raw[first:last])
+            found = raw[:first], Piece(self.entry(ids), self.guard(raw[first:last], ids, 0), self.guard(raw[first:last], ids, -1)), raw[last:]
+        else:
+            found = raw, None, b""
+        bit = hash(raw) % MET
+        if self.met[bit >> 3] >> (bit & 7) & 1:
+            self.chunks[raw] = found
+            self.held += 8 * len(raw) + 500
+            while self.held > CACHE_BYTES:
+                gone = next(iter(self.chunks))
+                del self.chunks[gone]
+                self.held -= 8 * len(gone) + 500
+        else:
+            self.met[bit >> 3] |= 1 << (bit & 7)
         return found
 
-    def entries(self, text: bytes, cuts: list[int]) -> Iterator[tuple[np.ndarray, str, bytes]]:
+    def join(self, done: list[Piece], between: bytes, piece: Piece | None) -> bytes:
+        """Append what lies between the last of `done` and `piece`, and that; returns what is left open."""
+        left, right = done[-1].last if done else EDGE, piece.first if piece else EDGE
+        ids = self.plain(left[0] + between + right[0])
+        n, m = len(left[1]), len(ids) - len(right[1])
+        if n <= m and ids[:n] == left[1] and ids[m:] == right[1] and (not done or n) and (not piece or right[1]):
+            if m > n:
+                done.append(Piece(self.entry(ids[n:m]), EDGE, EDGE))
+            if piece:
+                done.append(piece)
+            return b""
+        # The words beside the join don't come out as in their chunks: the whole text up to the next one's last word.
+        self.widened += 1
+        text = b"".join(p.raw for p in done) + between + (piece.raw if piece else b"")
+        ids = self.plain(text)
+        if piece and not (piece.last[1] and ids[-len(piece.last[1]) :] == piece.last[1]):
+            done.clear()
+            return text
+        done[:] = [Piece(self.entry(ids), EDGE, piece.last if piece else EDGE)]
+        return b""
+
+    def entries(self, text: bytes, cuts: list[int]) -> Iterator[Entry]:
         """Entries whose ids, one after another, are the text's."""
+        done: list[Piece] = []
         open_, start = b"", 0
         for cut in [*cuts, len(text)]:
-            head, middle, tail = self.chunk(text[start:cut])
+            head, piece, tail = self.chunk(text[start:cut])
             start = cut
             open_ += head
-            if middle is not None:
-                if open_:
-                    yield self.entry(self.plain(open_))
-                yield middle
-                open_ = tail
+            if piece is not None:
+                open_ = self.join(done, open_, piece) + tail
         if open_:
-            yield self.entry(self.plain(open_))
+            self.join(done, open_, None)
+        return (p.entry for p in done)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -57,6 +57,21 @@ def test_bpe_cuts_anywhere_and_reuses_chunks(library):
     assert use.hits > 10
 
 
+@pytest.mark.parametrize("wrong", [lambda raw, ids: bpe.EDGE, lambda raw, ids: (raw, [0]), lambda raw, ids: (raw[:1], ids[:1])])
+def test_bpe_widens_joins_until_they_agree(library, monkeypatch, wrong):
+    """Words beside a join that don't come out as expected make the window wider, and the ids stay right."""
+    use = bpe.Codec(bpe.default_vocabulary())
+    r = random.Random(5)
+    plain = use.guard
+    monkeypatch.setattr(use, "guard", lambda raw, ids, at: wrong(raw, ids) if r.random() < 0.5 else plain(raw, ids, at))
+    for text in [*EDGES[:-1], *ODD, prose(900, 4)]:
+        raw = (text or "").encode()
+        borders = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
+        cuts = sorted(r.sample(borders, min(len(borders), 15)))
+        assert [int(i) for entry in use.entries(raw, cuts) for i in entry[0]] == library.encode(raw.decode(), add_special_tokens=False).ids
+    assert use.widened > 5
+
+
 # --- FLAC -----------------------------------------------------------------------------------
 
 
