@@ -6,12 +6,13 @@ weight from its quality label, so that good documents come earlier. The order wi
 summed in two levels: key ranges first, then rows within a range, so that a source with a third
 of all rows is spread over many tasks.
 
-Only DataFrame functions.
+Only DataFrame functions. The texts are read once: their sizes and keys are written beside a row number, the plan is
+made of those, and rows get their part of it by that number.
 
-Defined cases: null text has size 0 and is never taken; null sources form one source, ordered last;
-documents with equal id keep a fixed order by text digest and size; rows equal in both count as
-one after the other, and either may be cut; an empty table gives an empty result; columns named as
-a result column are replaced in mix() and others are kept.
+Defined cases: null text has size 0 and is never taken; null sources form one source, ordered last; u depends on id
+and text, so that null and repeated ids are dealt out like others; rows that repeat both count as one after the other,
+and either may be cut; a very long text is one row; an empty table gives an empty result; columns named as
+a result column are replaced in mix() and all others are kept. Windows over sources hold one row for each.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ QUALITY = {1: 2.0, 0: 0.5}
 #: Key ranges per source.
 RANGES = 1024
 RESULT = ("size", "source_size", "target", "taken")
+#: Columns of this module's own tables.
+ROW, DRAW, WHOLE = "__mix_row", "__mix_draw", "__mix_whole"
 
 
 def words(text: Column) -> Column:
@@ -56,55 +59,65 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.max("level").over(everything)).select("_source", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def exponential_key(doc_id: Column, weight: Column) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of the id's md5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 52)) / weight
+def draw(doc_id: Column, text: Column) -> Column:
+    """-ln(u) with u in (0, 1) from 52 bits of the md5 of id and text."""
+    own = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(text.cast("binary")))
+    bits = F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / float(1 << 52))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """docs with size, source_size, target and taken: the words that the mix takes of each row.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, size and DRAW, written."""
+    text = F.col("text")
+    return docs.drop(*RESULT).select("*", F.monotonically_increasing_id().alias(ROW), words(text).alias("size"), draw(F.col("doc_id"), common.whole_text()).alias(DRAW))
 
-    quality: rows (doc_id, quality); the best label of an id counts."""
-    # Everything that reads the text comes before the joins, so that they move it only if it is asked for.
-    docs = docs.drop(*RESULT).withColumn("size", words(F.col("text"))).withColumn("_tie", F.xxhash64(common.whole_text()))
+
+def planned(rows: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """Of rows (ROW, doc_id, source, size, DRAW), a written table: with source_size, target and taken."""
     weight = F.lit(1.0)
     if quality is not None:
         best = quality.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-        docs = docs.join(best.hint("merge"), "doc_id", "left")
+        rows = rows.join(best.hint("merge"), "doc_id", "left")
         for label, w in QUALITY.items():
             weight = F.when(F.col("_quality") == label, F.lit(w)).otherwise(weight)
-    docs = docs.withColumn("_key", exponential_key(F.col("doc_id"), weight)).drop("_quality")
+    rows = rows.withColumn("_key", F.col(DRAW) / weight)
     # exp(-key) lies in (0, 1): equal ranges of it deal a source's rows out.
-    docs = docs.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
-    docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    sums = docs.groupBy("source", "_source", "_range").agg(F.sum("size").alias("_sum"))
+    rows = rows.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * RANGES).cast("int"))
+    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).select(ROW, "doc_id", "source", "size", "_key", "_range", "_source")
+    sums = rows.groupBy("source", "_source", "_range").agg(F.sum("size").alias("_sum"))
     own = targets(sums.groupBy("source", "_source").agg(F.sum("_sum").alias("source_size")))
     ahead = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     plan = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     plan = plan.join(own, "_source").select("_source", "_range", "_ahead", "source_size", "target")
-    within = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan.hint("merge"), ["_source", "_range"])
+    within = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", ROW).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan.hint("merge"), ["_source", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size") - F.col("_ahead") - F.col("_before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return docs.withColumn("taken", taken.cast("long")).drop("_key", "_tie", "_range", "_source", "_ahead", "_before")
+    return rows.select(ROW, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """docs with size, source_size, target and taken: the words that the mix takes of each row.
+
+    quality: rows (doc_id, quality); the best label of an id counts."""
+    rows = common.written(numbered(docs), "numbered")
+    plan = planned(rows.select(ROW, "doc_id", "source", "size", DRAW), quality)
+    return rows.drop("size", DRAW).join(plan.drop("doc_id").hint("merge"), ROW).drop(ROW)
+
+
+def takings(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row: mix() without what else docs has."""
+    rows = common.written(numbered(docs).select(ROW, "doc_id", "source", "size", DRAW), "sizes")
+    return planned(rows, quality).drop(ROW)
 
 
 def materialise(mixed: DataFrame) -> DataFrame:
-    """The mix as rows: a document once for every whole time that it is taken, and the one
-    document of a source that the budget cuts by its first words. Untaken documents go."""
-    columns = [c for c in mixed.columns if c not in RESULT]
-    left = F.pmod("taken", "size").cast("int")
-    # Cut before each word, so that the kept prefix is a prefix of the text.
-    head = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1), F.lit(1), left + F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
-    # DataFrames evaluate split() only for the cut rows: the condition guards it.
-    whole = F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int"))
-    copies = F.when(F.col("size") > 0, F.concat(whole, F.when(left > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))))
-    rows = mixed.withColumn("_whole", F.explode(copies)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(head))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*columns)
+    """The mix as rows: a document once for every time that it is taken, always whole. The one document of a source
+    that the budget cuts is there once more if at least half of it is wanted. Untaken documents go."""
+    columns = [F.col(f"`{c}`") for c in mixed.columns if c not in RESULT]
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).otherwise(0)
+    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(True), times)).alias(WHOLE)).drop(WHOLE)
 
 
 #: DuckDB SQL for mix() over tables documents and labels; own(...) as in targets().
@@ -112,7 +125,7 @@ ORACLE = f"""
 WITH best AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 sized AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(text, '') AS body,
-    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}) / CASE q WHEN 1 THEN {QUALITY[1]}::DOUBLE WHEN 0 THEN {QUALITY[0]}::DOUBLE ELSE 1.0::DOUBLE END AS k
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}) / CASE q WHEN 1 THEN {QUALITY[1]}::DOUBLE WHEN 0 THEN {QUALITY[0]}::DOUBLE ELSE 1.0::DOUBLE END AS k
   FROM documents d LEFT JOIN best USING (doc_id)),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM sums),

@@ -47,7 +47,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, table(spark, sf_dir, "labels")).select("doc_id", *mixing.RESULT)
+    return mixing.takings(docs, table(spark, sf_dir, "labels"))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,12 +441,34 @@ def test_mixing(make, spark):
         assert row["source_size"] == sizes[row["source"]]
         assert abs(row["target"] - want[row["source"]]) < 1e-6
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert {(x["doc_id"], x["taken"]) for x in mixing.takings(docs, labels).collect()} == {(x["doc_id"], x["taken"]) for x in rows}
     made = mixing.materialise(mixing.mix(make(*texts, source=source), labels)).collect()
     words: dict[str | None, int] = {}
+    times: dict[int, int] = {}
     for row in made:
         words[row["source"]] = words.get(row["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", row["text"]))
-        assert (texts[row["doc_id"]] or "").startswith(row["text"])
-    assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
+        times[row["doc_id"]] = times.get(row["doc_id"], 0) + 1
+        assert row["text"] == texts[row["doc_id"]]
+    assert max(times.values()) <= 2
+    cut = {s: max((r["size"] for r in rows if r["source"] == s and r["size"] and r["taken"] % r["size"]), default=0) for s in sizes}
+    assert all(abs(words.get(s, 0) - taken[s]) <= cut[s] / 2 for s in sizes)
+    for row in rows:
+        if row["size"] and row["taken"] % row["size"] == 0:
+            assert times.get(row["doc_id"], 0) == row["taken"] // row["size"]
+
+
+def test_mixing_of_null_and_repeated_ids(make, spark):
+    texts = [prose(30, i % 40) for i in range(120)]
+    docs = make(*texts, ids=[None] * 60 + [7] * 60).withColumnRenamed("lang", "_key").withColumnRenamed("n_chars", "_range")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    mixed = mixing.mix(docs, labels)
+    assert mixed.columns == [*docs.columns, *mixing.RESULT]
+    rows = mixed.collect()
+    assert len(rows) == 120
+    assert {r["_key"] for r in rows} == {"en"}
+    assert sum(r["taken"] for r in rows) == round(rows[0]["target"])
+    again = mixing.mix(docs.repartition(5), labels).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["taken"]) for r in rows) == sorted((str(r["doc_id"]), r["text"], r["taken"]) for r in again)
 
 
 def test_empty_tables(make, spark):
