@@ -366,12 +366,14 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.n
             at = at + 8 * order
             if t >= 32:
                 precision, shift = bits.take(at, 4) + 1, bits.signed(at + 4, 5)
-                at = at + 9
-                if len(np.unique(precision)) > 1:
-                    raise FlacError("coefficients of several widths in one group")
-                p = int(precision[0])
-                q = np.stack([bits.signed(at + p * j, p) for j in range(order)])
-                at = at + p * order
+                if (precision > 15).any() or (shift < 0).any():
+                    raise FlacError("invalid predictor")
+                at = at + 9 + precision * order
+                # Coefficients of frames with one width are read together.
+                q = np.zeros((order, len(rows)), np.int64)
+                for p in np.unique(precision).tolist():
+                    own = np.flatnonzero(precision == p)
+                    q[:, own] = np.stack([bits.signed(at[own] + p * (j - order), p) for j in range(order)])
                 r, at = residuals(bits, at, size, order)
                 y = np.concatenate([warm, r]).astype(np.int64)
                 for i in range(order, size):

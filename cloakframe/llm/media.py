@@ -3,8 +3,10 @@
 store() makes the media column, read_back() decodes it and computes features, pcm_blocks() writes
 blocks of samples with the offset of their first sample, and samples_at() seeks.
 
-Defined cases: null and empty texts are one unit of padding; equal texts give equal media; a damaged stream
-fails the job with FlacError; columns that are not asked for are dropped.
+Defined cases: null and empty texts are one unit of padding; equal texts, and so repeated rows, give equal media; a text
+of any length is one stream, coded some frames at a time; an empty table gives an empty one; in read_back() and
+pcm_blocks() a null or damaged stream is a row with its error and without values, and the others go on; columns that are
+not asked for are dropped.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def groups(batch: pa.RecordBatch, column: int, limit: int = common.BLOCK_BYTES)
     start, held, size = 0, [], 0
     for i, value in enumerate(batch.column(column)):
         held.append(value.as_py())
-        size += len(held[-1])
+        size += len(held[-1] or b"")
         if size >= limit:
             yield start, held
             start, held, size = i + 1, [], 0
@@ -67,47 +69,64 @@ def feature(samples: np.ndarray) -> str:
     return f"energy={int((x * x).sum())};peak={int(np.abs(x).max())};crossings={changes};quarters={','.join(map(str, shares))}"
 
 
-READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def decoded(streams: list[bytes | None]) -> list[tuple[bytes | None, str | None]]:
+    """(payload, error) of each stream. Streams are decoded together; where one is damaged, one by one."""
+    try:
+        return [(p, None) for p in flac.decode(streams)]
+    except (flac.FlacError, IndexError, TypeError, ValueError) as e:
+        if len(streams) == 1:
+            return [(None, "no stream" if streams[0] is None else f"damaged stream: {e}")]
+        return [decoded([s])[0] for s in streams]
+
+
+BLOCK = 64 * UNIT
+
+
+def cut(payload_: bytes, block: int = BLOCK) -> list[tuple[int, bytes]]:
+    """(offset of the first sample, signed samples) of a payload's blocks."""
+    signed = (np.frombuffer(payload_, np.uint8) ^ 0x80).tobytes()
+    return [(at, signed[at : at + block]) for at in range(0, len(signed), block)]
+
+
+READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, last_offset long, error string"
 
 
 def read_back(media: DataFrame) -> DataFrame:
     """(doc_id, READ) from the media column alone."""
 
+    def one(stream: bytes | None, payload_: bytes | None, error: str | None) -> tuple:
+        if payload_ is None:
+            return (None, None, None, None if stream is None else len(stream), None, None, None, None, error)
+        blocks = cut(payload_)
+        samples = np.concatenate([np.frombuffer(b, np.int8) for _, b in blocks])
+        return (len(payload_), hashlib.sha256(payload_).hexdigest(), zlib.crc32(payload_[-TAIL:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(samples), len(blocks), blocks[-1][0], error)
+
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["doc_id", *(c.split()[0] for c in READ.split(", "))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, streams in groups(batch, 2):
-                payloads = flac.decode(streams)
-                n = len(streams)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, n),
-                        batch.column(1).slice(start, n),
-                        pa.array([len(p) for p in payloads], pa.int64()),
-                        pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                        pa.array([zlib.crc32(p[-TAIL:]) for p in payloads], pa.int64()),
-                        pa.array([len(s) for s in streams], pa.int64()),
-                        pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-                        pa.array([feature((np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)) for p in payloads]),
-                    ],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
+                rows = [one(s, *d) for s, d in zip(streams, decoded(streams), strict=True)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), batch.column(1).slice(start, len(rows)), *columns], names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {_kind(media)}, {READ}")
 
 
-def pcm_blocks(media: DataFrame, block: int = 64 * UNIT) -> DataFrame:
-    """(doc_id, sample_offset, pcm binary): signed 8-bit samples, each block with its offset."""
+def pcm_blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, sample_offset, pcm binary, error): signed 8-bit samples, each block with its offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, streams in groups(batch, 1):
-                for i, p in enumerate(flac.decode(streams)):
-                    signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-                    at = list(range(0, len(signed), block))
-                    ids = batch.column(0).slice(start + i, 1).take(pa.array([0] * len(at), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array([signed[a : a + block] for a in at], pa.binary())], ["doc_id", "sample_offset", "pcm"])
+                for i, (p, error) in enumerate(decoded(streams)):
+                    blocks = cut(p, block) if p is not None else [(None, None)]
+                    ids = batch.column(0).slice(start + i, 1).take(pa.array([0] * len(blocks), pa.int32()))
+                    at, pcm = zip(*blocks, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(pcm, pa.binary()), pa.array([error] * len(blocks), pa.string())], ["doc_id", "sample_offset", "pcm", "error"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {_kind(media)}, sample_offset long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {_kind(media)}, sample_offset long, pcm binary, error string")
 
 
 def samples_at(media: DataFrame, start: int, count: int) -> DataFrame:
