@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,51 +9,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.sources.scratch import discard, shared_dir, written
+
+__all__ = ["discard", "shared_dir", "written"]
+
 #: Bytes of text that one numpy pass works on; arrays of eight bytes a character stay near 32 MB.
 BLOCK_BYTES = 2 << 20
-#: Rows that Spark hands to Python at once, so that a batch of long texts stays small.
+#: Rows that Spark hands to Python at once.
 ARROW_ROWS = 256
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; also lowers the Arrow batch size, which the Python operators rely on."""
+    """A test table. Also lowers the rows of an Arrow batch: Spark bounds a batch's bytes by itself, but at 64 MB, of
+    which a task has several."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only in local mode, where one machine has all files, a temporary
-    one is set if there is none; executors elsewhere couldn't see each other's."""
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cloakframe-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ QUALITY = {1: 2.0, 0: 0.5}
 RANGES = 1024
 RESULT = ("size", "source_size", "target", "taken")
 #: Columns of this module's own tables.
-ROW, DRAW, WHOLE = "__mix_row", "__mix_draw", "__mix_whole"
+ROW, SIZE, DRAW, TIMES, COPY = "__mix_row", "__mix_size", "__mix_draw", "__mix_times", "__mix_copy"
 
 
 def words(text: Column) -> Column:
@@ -67,13 +67,13 @@ def draw(doc_id: Column, text: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW, size and DRAW, written."""
-    text = F.col("text")
-    return docs.drop(*RESULT).select("*", F.monotonically_increasing_id().alias(ROW), words(text).alias("size"), draw(F.col("doc_id"), common.whole_text()).alias(DRAW))
+    """docs with ROW, SIZE and DRAW."""
+    return docs.select("*", F.monotonically_increasing_id().alias(ROW), words(F.col("text")).alias(SIZE), draw(F.col("doc_id"), common.whole_text()).alias(DRAW))
 
 
 def planned(rows: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """Of rows (ROW, doc_id, source, size, DRAW), a written table: with source_size, target and taken."""
+    """(ROW, doc_id, size, source_size, target, taken) of rows (ROW, doc_id, source, SIZE, DRAW), a written table."""
+    rows = rows.select(ROW, "doc_id", "source", F.col(SIZE).alias("size"), DRAW)
     weight = F.lit(1.0)
     if quality is not None:
         best = quality.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
@@ -101,23 +101,26 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """docs with size, source_size, target and taken: the words that the mix takes of each row.
 
     quality: rows (doc_id, quality); the best label of an id counts."""
-    rows = common.written(numbered(docs), "numbered")
-    plan = planned(rows.select(ROW, "doc_id", "source", "size", DRAW), quality)
-    return rows.drop("size", DRAW).join(plan.drop("doc_id").hint("merge"), ROW).drop(ROW)
+    rows = common.written(numbered(docs.drop(*RESULT)), "numbered")
+    return rows.drop(SIZE, DRAW).join(planned(rows, quality).drop("doc_id").hint("merge"), ROW).drop(ROW)
 
 
 def takings(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: mix() without what else docs has."""
-    rows = common.written(numbered(docs).select(ROW, "doc_id", "source", "size", DRAW), "sizes")
+    rows = common.written(numbered(docs).select(ROW, "doc_id", "source", SIZE, DRAW), "sizes")
     return planned(rows, quality).drop(ROW)
 
 
-def materialise(mixed: DataFrame) -> DataFrame:
-    """The mix as rows: a document once for every time that it is taken, always whole. The one document of a source
-    that the budget cuts is there once more if at least half of it is wanted. Untaken documents go."""
-    columns = [F.col(f"`{c}`") for c in mixed.columns if c not in RESULT]
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).otherwise(0)
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(True), times)).alias(WHOLE)).drop(WHOLE)
+def materialise(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The mix as rows of docs, whatever their columns: a document once for every time that it is taken, always whole.
+    The one document of a source that the budget cuts is there once more if at least half of it is wanted. Untaken
+    documents go, and with them those without a word."""
+    rows = common.written(numbered(docs), "numbered")
+    plan = planned(rows, quality)
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    plan = plan.where("size > 0").select(ROW, times.alias(TIMES)).where(F.col(TIMES) > 0)
+    made = rows.drop(SIZE, DRAW).join(plan.hint("merge"), ROW).select("*", F.explode(F.sequence(F.lit(1), F.col(TIMES))).alias(COPY))
+    return made.drop(ROW, TIMES, COPY)
 
 
 #: DuckDB SQL for mix() over tables documents and labels; own(...) as in targets().
