@@ -8,7 +8,7 @@ the shingle sets themselves; texts of likeness 0.8 share no band with a chance o
 
 Defined cases: null and empty texts have no shingle, the fingerprint of all ff, and likeness 1 to each
 other; with fewer than five words the whole sequence is one shingle; ids are integers; rows without an id come last in
-the order of ids; rows with equal ids follow each other in the order of their text; a single row is
+the order of ids; rows with equal ids follow each other by a hash of their text; a single row is
 its own next document; an empty table gives an empty one; a text of any length is one row, hashed in pieces; columns
 that are not asked for are dropped.
 """
@@ -31,9 +31,7 @@ from cloakframe.llm import common
 WIDTH, PERMUTATIONS = 5, 128
 BANDS = 32
 THRESHOLD = 0.8
-#: An estimate by fingerprint strays from the likeness by 0.035 at 0.8; pairs are verified from here on.
-MARGIN = 0.2
-#: Undecided members of a band that one task compares pair by pair.
+#: Undecided rows of a bucket that one task compares pair by pair.
 HOT = 2048
 #: Counters of shingles that the driver holds, whatever the input.
 SLOTS = 1 << 18
@@ -88,37 +86,57 @@ def block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 LEAST = -(1 << 63)
 
 
+def sort_keys(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of bytes whose order is that of the pairs (k, h) of signed numbers."""
+    pairs = np.stack([k, h], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    raw = np.ones((len(pairs), 17), np.uint8)  # a last byte that isn't zero, as trailing zeros don't count
+    raw[:, :16] = pairs.astype(">u8").view(np.uint8).reshape(-1, 16)
+    return raw.view("S17").ravel()
+
+
+def borders(keys: DataFrame) -> np.ndarray:
+    """Where parts begin in the order of (k, h): at quantiles of k, and inside every k of many rows at equal ranges of
+    its hashes. Their number is a few times that of the partitions."""
+    n = common.partitions(keys.sparkSession)
+    total, parts = keys.count(), 4 * n
+    limit = max(common.SHARE, total // parts)
+    at = [(int(x), LEAST) for x in keys.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)]
+    for k, rows in keys.groupBy("k").count().where(F.col("count") > limit).collect():
+        pieces = -(-rows // limit)
+        at += [(k, LEAST + (j << 64) // pieces) for j in range(pieces)] + [(min(k, (1 << 63) - 2) + 1, LEAST)]
+    return np.unique(sort_keys(*(np.array([x[i] for x in at], np.int64) for i in (0, 1))))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (part, tail, doc_id, text): descending ids cut into parts that lie sorted, each with the row
-    that follows it as its tail. One shuffle of the texts; the parts' borders are few numbers."""
-    spark = docs.sparkSession
-    n = common.partitions(spark)
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"))
-    parts = 4 * n
-    borders = np.unique(np.array(keys.approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts), np.float64)) if n else np.zeros(0)
+    """Rows (part, tail, doc_id, text, h): descending ids, equal ones by a hash of their text, cut into parts that lie
+    sorted, each with the row that follows it as its tail. One shuffle of the texts; the borders are few."""
+    n = common.partitions(docs.sparkSession)
+    h = F.xxhash64(common.whole_text())
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), h.alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(borders(keys))
 
     @F.pandas_udf("int")
-    def part_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, k.to_numpy(np.float64), side="right").astype(np.int32))
+    def part_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, sort_keys(k.to_numpy(), h.to_numpy()), side="right").astype(np.int32))
 
-    first = sorted((r["part"], r["k"]) for r in keys.groupBy(part_of("k").alias("part")).agg(F.max("k").alias("k")).collect())
-    # The greatest id of a part follows the part above it; the greatest of all follows the lowest part.
-    above = {first[i][1]: first[(i + 1) % len(first)][0] for i in range(len(first))}
+    first = sorted((r["part"], r["x"]["k"], r["x"]["h"]) for r in keys.groupBy(part_of("k", "h").alias("part")).agg(F.max(F.struct("k", "h")).alias("x")).collect())
+    # The greatest row of a part follows the part above it; the greatest of all follows the lowest part.
+    above = {first[i][1:]: first[(i + 1) % len(first)][0] for i in range(len(first))}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column(0).cast(pa.int64()).fill_null(LEAST).to_numpy()
-            part = np.searchsorted(borders, k.astype(np.float64), side="right").astype(np.int32)
-            again = [i for i, x in enumerate(k.tolist()) if x in above]
+            k, h = batch.column(0).cast(pa.int64()).fill_null(LEAST).to_numpy(), batch.column(2).to_numpy()
+            part = np.searchsorted(shared.value, sort_keys(k, h), side="right").astype(np.int32)
+            again = [i for i, x in enumerate(zip(k.tolist(), h.tolist(), strict=True)) if x in above]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(k), bool)), *batch.columns], names)
             if again:
                 more = batch.take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([pa.array([above[k[i]] for i in again], pa.int32()), pa.array(np.ones(len(again), bool)), *more.columns], names)
+                yield pa.RecordBatch.from_arrays([pa.array([above[int(k[i]), int(h[i])] for i in again], pa.int32()), pa.array(np.ones(len(again), bool)), *more.columns], names)
 
-    names = ["part", "tail", "doc_id", "text"]
+    names = ["part", "tail", "doc_id", "text", "h"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, f"part int, tail boolean, doc_id {kind}, text string")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.col("text"))
+    dealt = docs.select("doc_id", "text", h.alias("h")).mapInArrow(deal, f"part int, tail boolean, doc_id {kind}, text string, h long")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -169,32 +187,31 @@ def edits(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.int64()
-    return in_order(docs).mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return in_order(docs).select("part", "tail", "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT}")
 
 
 # --- near-duplicates -------------------------------------------------------------------------
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, sign binary, bands array<long>) of every row; equal keys for equal texts.
+    """(doc_id, text_key, bands array<long>) of every row; equal keys for equal texts.
 
     A band's key comes from whole least values, so that chance seldom makes strangers share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in common.blocks(batch):
-                least, empty = least_values(data, offsets)
+                least, _ = least_values(data, offsets)
                 own = [batch.column(c).slice(rows.start, len(least)) for c in (0, 2)]
-                sign = pa.array([x.tobytes() for x in shortened(least, empty)], pa.binary())
                 keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(least), axis=0)
                 for j in range(PERMUTATIONS // BANDS):
                     keys = common.mix(keys * np.uint64(common.BASE) + least[:, j :: PERMUTATIONS // BANDS])
                 bands = pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own, sign, bands], ["doc_id", "text_key", "sign", "bands"])
+                yield pa.RecordBatch.from_arrays([*own, bands], ["doc_id", "text_key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.md5(common.whole_text().cast("binary")).alias("text_key"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key string, sign binary, bands array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key string, bands array<long>")
 
 
 def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,36 +285,24 @@ def _pairs_where(n: int, near: Callable[[slice, slice], np.ndarray], width: int)
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def alike(signs: np.ndarray, group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different groups whose fingerprints are at least so like each other."""
+def compatible(n: np.ndarray, at: np.ndarray, m: np.ndarray, by: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two texts of n and m shingles may reach the threshold if the first that they share, in the order of all
+    texts, is number `at` of the one and `by` of the other: what may still be shared must be enough."""
+    most = np.minimum(n - at, m - by)
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6) & (most >= threshold / (1 + threshold) * (n + m) - 1e-6)
 
-    def near(x: slice, y: slice) -> np.ndarray:
-        same = (signs[x, None, :] == signs[None, y, :]).mean(axis=2)
-        return ((same - 1 / 256) / (1 - 1 / 256) >= least) & (group[x, None] != group[None, y])
 
-    return _pairs_where(len(signs), near, PERMUTATIONS)
+def compatible_pairs(threshold: float) -> Match:
+    """Pairs of different groups that compatible() accepts."""
 
-
-def alike_by_sign(least: float) -> Match:
     def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        signs = np.frombuffer(b"".join(some["sign"].to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
-        return alike(signs, some["root"].combine_chunks().dictionary_encode().indices.to_numpy(), least)
-
-    return match
-
-
-def alike_by_size(threshold: float) -> Match:
-    """Pairs of different groups whose numbers of shingles allow the threshold."""
-
-    def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        size = some["size"].to_numpy().astype(np.float64)
-        group = some["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        size, place = (some[c].to_numpy().astype(np.float64) for c in ("size", "place"))
+        group = some["root"].to_numpy()
 
         def near(x: slice, y: slice) -> np.ndarray:
-            low, high = np.minimum(size[x, None], size[None, y]), np.maximum(size[x, None], size[None, y])
-            return (low >= threshold * high - 1e-6) & (group[x, None] != group[None, y])
+            return compatible(size[x, None], place[x, None], size[None, y], place[None, y], threshold) & (group[x, None] != group[None, y])
 
-        return _pairs_where(len(size), near, 24)
+        return _pairs_where(len(size), near, 40)
 
     return match
 
@@ -352,7 +357,7 @@ def undecided(rows: DataFrame, by: str) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, tid, size): of each text's shingles in one order for all texts, rare ones first, as many as
+    """(bucket, tid, size, place): of each text's shingles in one order for all texts, rare ones first, as many as
     two texts that reach the threshold can't differ in: such texts share one of these.
 
     Any order is right; a rough count by SLOTS hash slots makes it a good one and bounds what is broadcast."""
@@ -377,44 +382,50 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
                 s = shingle_set(z)
                 n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
                 first = s[np.lexsort((s, counts[s % SLOTS]))[:n]]
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(np.full(n, tid, np.int64)), pa.array(np.full(n, len(s), np.int64))], ["bucket", "tid", "size"])
+                columns = (first, np.full(n, tid, np.int64), np.full(n, len(s), np.int64), np.arange(n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", "tid", "size", "place"])
 
-    return texts.select("tid", "z").mapInArrow(run, "bucket long, tid long, size long")
+    return texts.select("tid", "z").mapInArrow(run, "bucket long, tid long, size long, place long")
 
 
 def distinct_texts(signed_: DataFrame) -> DataFrame:
-    """(tid, text_key, sign, bands): one row for each text, numbered, written. Numbers, not keys, go through the joins."""
-    once = signed_.groupBy("text_key").agg(F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    """(tid, text_key, bands): one row for each text, numbered, written. Numbers, not keys, go through the joins."""
+    once = signed_.groupBy("text_key").agg(F.first("bands").alias("bands"))
     return common.written(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
 
+def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (tid, ...) with the root that the links (a, b) give, written."""
+    root = common.components(links.select("a", "b")).withColumnRenamed("node", "tid")
+    return common.written(rows.join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid")), "rooted")
+
+
 def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(a, b, jaccard): verified links between different texts (their tid), enough to connect each class.
 
-    First each band's members are checked against the least of them. Bands whose members then lie in
-    one class are done. In the others, members of different classes are compared by fingerprint,
-    and those that reach the threshold less MARGIN are verified. Members of a band with more than `hot` such
-    rows meet on their rare shingles instead, which loses no pair, and all that are alike in size are verified."""
+    First each band's members are checked against the least of them. Bands whose members then lie in one class are
+    done. The members of the others meet on their rare shingles, which loses no pair: again against the least of each
+    bucket, and then those that are still apart with each other, as far as sizes and places let them reach the
+    threshold. A bucket of more than `hot` such rows is dealt into blocks that meet two at a time."""
     banded = distinct.select("tid", F.explode("bands").alias("band"))
     hub = banded.groupBy("band").agg(F.min("tid").alias("b"), F.count("*").alias("n")).where("n > 1")
     shared = common.written(common.joined(banded, hub, "band", ["tid"], BANDS * distinct.count()), "shared")
     texts = common.written(packed(docs, shared.select("tid").distinct().join(distinct.select("tid", "text_key"), "tid")), "packed")
     pairs = common.written(shared.where("tid <> b").select(F.col("tid").alias("a"), "b").distinct(), "pairs")
     first = common.written(verified(pairs, texts, threshold), "first")
-    root = common.components(first.select("a", "b"))
-    rows = shared.select("band", "tid").join(root.withColumnRenamed("node", "tid"), "tid", "left")
-    rows = common.written(rows.withColumn("root", F.coalesce("root", "tid")), "rooted")
-    rows = common.written(undecided(rows, "band"), "undecided")
-    small = rows.where(F.col("members") <= hot).select(F.col("band").alias("bucket"), "root", "tid", F.lit(0).alias("side")).join(distinct.select("tid", "sign"), "tid")
-    near = bucket_pairs(small, alike_by_sign(threshold - MARGIN))
-    crowd = common.written(rows.where(F.col("members") > hot).select("tid", "root").distinct(), "crowd")
-    if crowd.limit(1).count():
-        own = texts.join(crowd, "tid", "left_semi")
-        rare = common.written(rare_shingles(own, threshold).join(crowd, "tid"), "rare")
-        meet = in_blocks(undecided(rare, "bucket").withColumnRenamed("members", "n"), hot)
-        near = near.unionByName(bucket_pairs(meet, alike_by_size(threshold))).distinct()
-    more = verified(common.written(near, "near"), texts, threshold)
-    return first.unionByName(more).distinct()
+    crowd = undecided(rooted(shared.select("band", "tid"), first), "band").select("tid").distinct()
+    rare = common.written(rare_shingles(texts.join(crowd, "tid", "left_semi"), threshold), "rare")
+    rows = common.written(undecided(rooted(rare, first), "bucket"), "undecided")
+    least = rows.groupBy("bucket").agg(F.min(F.struct("tid", "size", "place", "root")).alias("h"), F.count("*").alias("n"))
+    star = common.joined(rows, least, "bucket", ["tid"], rows.count())
+    n, m = F.col("size"), F.col("h.size")
+    most = F.least(n - F.col("place"), m - F.col("h.place"))
+    fits = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (most >= threshold / (1 + threshold) * (n + m) - 1e-6)
+    pairs = common.written(star.where((F.col("root") != F.col("h.root")) & fits).select(F.col("tid").alias("a"), F.col("h.tid").alias("b")).distinct(), "pairs")
+    second = common.written(first.unionByName(verified(pairs, texts, threshold)), "second")
+    rows = undecided(rooted(rare, second), "bucket").withColumnRenamed("members", "n")
+    near = common.written(bucket_pairs(in_blocks(rows, hot), compatible_pairs(threshold)), "near")
+    return second.unionByName(verified(near, texts, threshold)).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:

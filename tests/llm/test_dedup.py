@@ -239,9 +239,27 @@ def test_fingerprint_estimates_jaccard():
         assert abs(float(minhash.likeness(sign[:1], sign[1:])[0]) - true) < 0.13
 
 
-def test_fingerprint_repeated_ids(make):
+def test_fingerprint_repeated_ids(make, monkeypatch):
     rows = minhash.edits(make("aa bb", "aa bb", "cc dd", None, ids=[3, 3, None, 1])).collect()
     assert len(rows) == 4
+    # Null and equal ids of many rows are cut into several parts; every row is edited with the one that follows it.
+    monkeypatch.setattr(common, "SHARE", 2)
+    texts = [prose(6, i) for i in range(90)]
+    docs = make(*texts, ids=[None] * 40 + [5] * 40 + list(range(10)))
+    ordered = minhash.in_order(docs)
+    assert ordered.where("doc_id is null").select("part").distinct().count() > 2
+    rows = ordered.where("not tail").collect()
+    line = sorted(rows, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["h"]), reverse=True)
+    want = {(r["doc_id"], r["text"][: len(r["text"]) - len(r["text"]) // 2] + f["text"][: len(r["text"]) // 2]) for r, f in zip(line, [*line[1:], line[0]], strict=True)}
+    got = {(r["doc_id"], r["edited_sha256"]) for r in minhash.edits(docs).collect()}
+    assert got == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want}
+
+
+def test_sort_keys():
+    values = [-(1 << 63), -5, -1, 0, 1, 255, 256, 1 << 40, (1 << 63) - 1]
+    pairs = [(a, b) for a in values for b in values]
+    keys = minhash.sort_keys(*(np.array([p[i] for p in pairs], np.int64) for i in (0, 1)))
+    assert [pairs[i] for i in np.argsort(keys, kind="stable")] == sorted(pairs)
 
 
 def shingles(text: str | None) -> set[tuple]:
@@ -280,10 +298,14 @@ def test_near_duplicates(make, hot):
     assert links.where("jaccard < 0.8").count() == 0
 
 
-def test_alike():
-    signs = np.random.default_rng(3).integers(0, 256, (40, 128)).astype(np.uint8)
-    signs[20:] = signs[:20]
-    signs[20:, :30] = 7
-    a, b = minhash.alike(signs, np.arange(40) % 20 + np.repeat([0, 100], 20), 0.6)
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, i + 20) for i in range(20)]
-    assert not len(minhash.alike(signs, np.zeros(40), 0.6)[0])
+def test_compatible_loses_no_pair():
+    """Of two sets in one order, the place of the first common element bounds what they share."""
+    r = random.Random(6)
+    for _ in range(3000):
+        pool = range(r.choice((6, 12, 40)))
+        a, b = (sorted(r.sample(pool, r.randint(1, len(pool)))) for _ in range(2))
+        both = sorted(set(a) & set(b))
+        if both and len(both) / len(set(a) | set(b)) >= 0.8:
+            at = [np.array([float(x)]) for x in (len(a), a.index(both[0]), len(b), b.index(both[0]))]
+            assert minhash.compatible(*at, 0.8).all()
+            assert a.index(both[0]) < len(a) - -(-8 * len(a) // 10) + 1
