@@ -15,7 +15,7 @@ Analyzer = Callable[[str], list[tuple[int, int, str, float]]]
 
 def with_ner(docs: DataFrame, factory: Callable[[], Analyzer] | None, text: str = "text") -> DataFrame:
     """docs with `ner` (findings) and `ner_status`: ready, unavailable (no findings), or failed for rows that
-    the analyzer raised on, which must not be sent."""
+    the analyzer raised on, which must not be sent. Spark bounds a batch by its bytes (64 MB unless set otherwise)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:

@@ -11,6 +11,8 @@ from cloakframe.functions.text import W, barrier, let, longest_first, occurrence
 #: Private characters that mark substituted values while a text is taken apart.
 OPEN, CLOSE = "\ue000", "\ue001"
 MARKS = f"[{OPEN}{CLOSE}]"
+#: Values from which on an alternation is grouped; it matches the same.
+MANY = 24
 #: Alternation of no value.
 NEVER = "(?!)"
 
@@ -23,8 +25,15 @@ def guarded(value: Column) -> Column:
 
 
 def alternation(values: Column) -> Column:
-    """One pattern for all values, the longest first."""
-    return F.when(F.size(values) > 0, F.array_join(F.transform(longest_first(values), guarded), "|")).otherwise(NEVER)
+    """One pattern for all values, the longest first. Many values are grouped by their first character, so that a place
+    in the text is tried with those that may begin there; values that begin differently never compete for a place."""
+
+    def pattern(ordered: Column) -> Column:
+        group = lambda c: F.concat(F.lit("(?="), quoted(c), F.lit(")(?:"), F.array_join(F.transform(F.filter(ordered, lambda v: F.startswith(v, c)), guarded), "|"), F.lit(")"))
+        firsts = F.array_distinct(F.transform(ordered, lambda v: F.left(v, F.lit(1))))
+        return F.when(F.size(ordered) > MANY, F.array_join(F.transform(firsts, group), "|")).otherwise(F.array_join(F.transform(ordered, guarded), "|"))
+
+    return F.when(F.size(values) > 0, let(longest_first(values), pattern)).otherwise(NEVER)
 
 
 def marked_text(text: Column, pattern: Column) -> Column:

@@ -24,6 +24,9 @@ def number_stream(turns: DataFrame, session: str = "session_id", timeout_ms: int
     """A stream of new vault entries (session, value, entity_type, token) of sessions that span turns
     (session, seq, text). State is the session's values; it goes after `timeout_ms` without a turn.
 
+    Two limits: numbers follow the order in which batches arrive, so a turn that comes late gets later numbers than a
+    batch over the whole session would give it; and the state of one session grows with its distinct values.
+
     With a timeout, Spark plans empty batches for ever to look for expired sessions, so a trigger that
     should end (availableNow) takes None: state then stays in the checkpoint for the next run."""
     found = detect.with_findings(turns, F.col("text")).select(session, "seq", F.explode("findings").alias("f")).select(session, "seq", F.col("f.start").alias("start"), F.col("f.value").alias("value"), F.col("f.entity_type").alias("entity_type"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,56 @@ def test_round_trip(spark):
     assert private.count() == sum(r["n_unique"] for r in got.values())
 
 
+def test_many_values_substitute_alike(spark):
+    r = random.Random(3)
+    values = sorted({"".join(r.choice("abcAB.é😀") for _ in range(r.randint(1, 6))) for _ in range(150)})
+    texts = [" ".join(r.choice(values) + r.choice(["", "x", "."]) for _ in range(60)) for _ in range(20)]
+    by_length = sorted(values, key=len, reverse=True)
+    word = r"[^\W]"
+    guard = lambda v: (f"(?<!{word})" if re.match(word, v) else "") + re.escape(v) + (f"(?!{word})" if re.search(word + "$", v) else "")
+    pattern = re.compile("|".join(map(guard, by_length)))
+    df = rows(spark, texts).withColumn("v", F.array(*map(F.lit, values)))
+    mapping = F.map_from_arrays("v", F.transform("v", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
+    for row in substitute.with_substitution(df, F.col("text"), F.col("v"), mapping).collect():
+        assert row["_s"]["text"] == pattern.sub(lambda m: f"<{m[0]}>", texts[row["doc_id"]])
+
+
+def test_long_runs_stay_linear(spark):
+    """A megabyte without a blank, of blanks, or of openings ends in seconds."""
+    runs = ["a" * 1_000_000, "a@" * 500_000, " " * 500_000 + "\t" * 500_000 + "x", "PERSON " + " " * 900_000, "http://x" + "." * 900_000 + "y", "Ann " + " " * 300_000 + "x"]
+    began = time.monotonic()
+    got = rows(spark, runs).select("doc_id", F.size(T.pattern_findings(F.col("text"))).alias("n"), F.length(T.normalise_columns(F.col("text"))).alias("l"), F.size(T.header_findings(F.col("text"))).alias("h"), F.size(F.regexp_extract_all("text", F.lit(tokens.MANGLED), F.lit(0))).alias("m")).collect()
+    assert time.monotonic() - began < 60
+    assert [r["n"] for r in sorted(got)] == [0, 0, 0, 0, 1, 0]
+    assert one(spark, T.pattern_findings(F.col("t")), t="a@b.com1@c.org x@y.zz a@b@c.de")[1]["value"] == "1@c.org"
+
+
+def test_leaks_of_many_labels(spark):
+    r = random.Random(8)
+    messages = ["".join(r.choice("abcd 😀") for _ in range(r.randint(0, 40))) for _ in range(200)]
+    labels = ["".join(r.choice("abcd 😀") for _ in range(r.randint(2, 6))) for _ in range(120)] + ["😀😀😀😀", "zzzz"]
+    known = spark.createDataFrame(list(enumerate(labels)), "label_id long, value string")
+    said = spark.createDataFrame([(m,) for m in messages], "message string")
+    want = {i for i, v in enumerate(labels) if len(v) >= 4 and any(v in m for m in messages)}
+    for small in (1000, 5):
+        assert {x["label_id"] for x in logs.leaked(said, known, small).collect()} == want
+
+
+def test_missing_path(spark, tmp_path):
+    (row,) = files.load(spark, f"{tmp_path}/none/x.txt").collect()
+    assert (row["doc_id"], row["text"], row["error"]) == ("x", None, "no such file or folder")
+
+
+def test_overlap_of_tables(spark):
+    r = random.Random(2)
+    cases = [[(s := r.randrange(60), s + r.randint(1, 9)) for _ in range(r.randint(0, 30))] for _ in range(60)]
+    table = [(k, s, e, i) for k, c in enumerate(cases) for i, (s, e) in enumerate(c)]
+    got: dict[int, list] = {}
+    for row in overlap.resolved_rows(spark.createDataFrame(table, "k int, start int, end int, i int"), "k", "i").collect():
+        got.setdefault(row["k"], []).append((row["start"], row["end"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: greedy(c) for k, c in enumerate(cases) if c}
+
+
 def test_transports(spark):
     docs = rows(spark, TEXTS[:2])
     for kind, reason in (("native", None), ("missing-model", "missing model"), ("badauth", "authentication")):
