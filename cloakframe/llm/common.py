@@ -33,6 +33,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Partitions of slim tables, of a few dozen bytes a row, that go into one file.
+SLIM = 8
+
+
+def slim_files(spark: SparkSession) -> int:
+    return max(1, partitions(spark) // SLIM)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -219,7 +227,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large and small stars: every node links its larger neighbours, then its smaller
     ones, to the smallest node it sees. Each round is written to the shared folder, and the one before it
     deleted. All work is joins and partial aggregates; the neighbours of a node with many are dealt over tasks."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    files = slim_files(edges.sparkSession)
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), "edges")
     state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = state()
     for _ in range(rounds):
@@ -228,10 +237,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = joined(both, low, "a", ["b"], 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), "stars")
+        large = written(large.where("a <> b").distinct().coalesce(files), "stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = joined(large, low, "a", ["b"], seen[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        before, edges = edges, written(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, written(small.where("a <> b").distinct().coalesce(files), "edges")
         discard(before)
         discard(large)
         now = state()

@@ -40,7 +40,7 @@ from cloakframe.llm import column_bwt, common
 WIDTH = 100
 GRAM = 24
 LONGER = (62, 86, WIDTH)
-HOT = 8192
+HOT = 2048
 #: Pieces of one collection, unless one anchor has more.
 COLLECTION = 3000
 #: One document in so many shows which anchors are frequent: they are dealt apart, which changes no result. So many

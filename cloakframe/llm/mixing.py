@@ -107,7 +107,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
 
 def takings(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: mix() without what else docs has."""
-    rows = common.written(numbered(docs).select(ROW, "doc_id", "source", SIZE, DRAW), "sizes")
+    slim = numbered(docs).select(ROW, "doc_id", "source", SIZE, DRAW)
+    rows = common.written(slim.repartition(common.slim_files(docs.sparkSession)), "sizes")
     return planned(rows, quality).drop(ROW)
 
 
