@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +24,45 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Tables that settled() calls of this thread have seen, the innermost last.
+_local = threading.local()
+
+
+def _inner() -> list[list[DataFrame]]:
+    if not hasattr(_local, "inner"):
+        _local.inner = []
+    return _local.inner
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _inner():
+        _inner()[-1].append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)  # twice does no harm
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """written(make()), after which the tables that make() wrote on its way are deleted."""
+    _inner().append([])
+    try:
+        out = written(make(), label)
+    finally:
+        own = _inner().pop()
+    for table in own:
+        if table is not out:
+            discard(table)
+    if _inner():
+        _inner()[-1].append(out)
+    return out
