@@ -81,6 +81,18 @@ def block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
+def compressed(texts: pa.Array) -> pa.Array:
+    """Texts packed one by one for the way; null counts as empty."""
+    pack = zstandard.ZstdCompressor(level=3)
+    data, at = common.utf8(texts)
+    raw = data.tobytes()
+    return pa.array([pack.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
+def expanded(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z) if z else b""
+
+
 # --- each text against its edited form and the next text --------------------------------------
 
 LEAST = -(1 << 63)
@@ -108,8 +120,8 @@ def borders(keys: DataFrame) -> np.ndarray:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (part, tail, doc_id, text, h): descending ids, equal ones by a hash of their text, cut into parts that lie
-    sorted, each with the row that follows it as its tail. One shuffle of the texts; the borders are few."""
+    """Rows (part, tail, doc_id, z, h): descending ids, equal ones by a hash of their text, cut into parts that lie
+    sorted, each with the row that follows it as its tail. One shuffle of the texts, compressed; the borders are few."""
     n = common.partitions(docs.sparkSession)
     h = F.xxhash64(common.whole_text())
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"), h.alias("h"))
@@ -125,6 +137,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.set_column(1, "z", compressed(batch.column(1)))
             k, h = batch.column(0).cast(pa.int64()).fill_null(LEAST).to_numpy(), batch.column(2).to_numpy()
             part = np.searchsorted(shared.value, sort_keys(k, h), side="right").astype(np.int32)
             again = [i for i, x in enumerate(zip(k.tolist(), h.tolist(), strict=True)) if x in above]
@@ -133,9 +146,9 @@ def in_order(docs: DataFrame) -> DataFrame:
                 more = batch.take(pa.array(again))
                 yield pa.RecordBatch.from_arrays([pa.array([above[int(k[i]), int(h[i])] for i in again], pa.int32()), pa.array(np.ones(len(again), bool)), *more.columns], names)
 
-    names = ["part", "tail", "doc_id", "text", "h"]
+    names = ["part", "tail", "doc_id", "z", "h"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", h.alias("h")).mapInArrow(deal, f"part int, tail boolean, doc_id {kind}, text string, h long")
+    dealt = docs.select("doc_id", "text", h.alias("h")).mapInArrow(deal, f"part int, tail boolean, doc_id {kind}, z binary, h long")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
 
 
@@ -150,7 +163,8 @@ def edits(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, tail, doc_id, z in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                row = (part, tail, doc_id, expanded(z).decode())
                 if held and row[0] != held[-1][0]:
                     yield held
                     held, size = [], 0
@@ -187,7 +201,7 @@ def edits(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     type_ = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.int64()
-    return in_order(docs).select("part", "tail", "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return in_order(docs).select("part", "tail", "doc_id", "z").mapInArrow(run, f"doc_id {kind}, {RESULT}")
 
 
 # --- near-duplicates -------------------------------------------------------------------------
@@ -218,12 +232,8 @@ def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tid, z): the compressed texts of `wanted` (text_key, tid), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data, at = common.utf8(batch.column(1))
-            raw = data.tobytes()
-            z = [pack.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["text_key", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), compressed(batch.column(1))], ["text_key", "z"])
 
     texts = docs.select(F.md5(common.whole_text().cast("binary")).alias("text_key"), "text").mapInArrow(run, "text_key string, z binary")
     return texts.groupBy("text_key").agg(F.first("z").alias("z")).join(wanted, "text_key").select("tid", "z")
@@ -231,7 +241,7 @@ def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def shingle_set(z: bytes) -> np.ndarray:
     """The different shingles of a compressed text, sorted."""
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(z) if z else b"", np.uint8)
+    data = np.frombuffer(expanded(z), np.uint8)
     return np.unique(common.word_shingles(data, np.array([0, len(data)]), WIDTH)[0].view(np.int64))
 
 

@@ -248,7 +248,7 @@ def test_fingerprint_repeated_ids(make, monkeypatch):
     docs = make(*texts, ids=[None] * 40 + [5] * 40 + list(range(10)))
     ordered = minhash.in_order(docs)
     assert ordered.where("doc_id is null").select("part").distinct().count() > 2
-    rows = ordered.where("not tail").collect()
+    rows = [{"doc_id": r["doc_id"], "h": r["h"], "text": minhash.expanded(bytes(r["z"])).decode()} for r in ordered.where("not tail").collect()]
     line = sorted(rows, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["h"]), reverse=True)
     want = {(r["doc_id"], r["text"][: len(r["text"]) - len(r["text"]) // 2] + f["text"][: len(r["text"]) // 2]) for r, f in zip(line, [*line[1:], line[0]], strict=True)}
     got = {(r["doc_id"], r["edited_sha256"]) for r in minhash.edits(docs).collect()}
