@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.sources.scratch import discard, shared_dir, written
+from cloakframe.sources.scratch import discard, settled, shared_dir, written
 
-__all__ = ["discard", "shared_dir", "written"]
+__all__ = ["discard", "settled", "shared_dir", "written"]
 
 #: Bytes of text that one numpy pass works on; arrays of eight bytes a character stay near 32 MB.
 BLOCK_BYTES = 2 << 20

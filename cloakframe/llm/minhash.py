@@ -35,6 +35,8 @@ THRESHOLD = 0.8
 HOT = 2048
 #: Counters of shingles that the driver holds, whatever the input.
 SLOTS = 1 << 18
+#: Bits of a text's bitmap.
+BITS = 1024
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -302,10 +304,42 @@ def compatible(n: np.ndarray, at: np.ndarray, m: np.ndarray, by: np.ndarray, thr
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-6) & (most >= threshold / (1 + threshold) * (n + m) - 1e-6)
 
 
-def compatible_pairs(threshold: float) -> Match:
-    """Pairs of different groups that compatible() accepts."""
+def bitmap(s: np.ndarray) -> bytes:
+    """BITS bits, set where some shingle falls. A bit that differs between two texts is a shingle that one of them
+    lacks, so the number of such bits never exceeds that of the shingles that they don't share."""
+    bits = np.zeros(BITS, bool)
+    bits[s % BITS] = True
+    return np.packbits(bits).tobytes()
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """(tid, bits) of texts (tid, z)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(shingle_set(z.as_py())) for z in batch.column(1)], pa.binary())], ["tid", "bits"])
+
+    return texts.select("tid", "z").mapInArrow(run, "tid long, bits binary")
+
+
+def compatible_pairs(threshold: float, best: bool = False) -> Match:
+    """Pairs of different groups that compatible() accepts and whose bitmaps don't differ too much to reach the threshold.
+
+    best: of each row only the pair whose bitmaps differ least."""
 
     def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        a, b = by_place(some)
+        size, bits = some["size"].to_numpy(), np.frombuffer(b"".join(some["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[a[at : at + (1 << 16)]] ^ bits[b[at : at + (1 << 16)]]).sum(axis=1, dtype=np.int64) for at in range(0, len(a), 1 << 16))])
+        kept = np.flatnonzero(apart <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-6)
+        if best:
+            row, pair = np.concatenate([a[kept], b[kept]]), np.concatenate([kept, kept])
+            order = np.lexsort((apart[pair], row))
+            first = np.concatenate([[True], row[order][1:] != row[order][:-1]]) if len(order) else np.zeros(0, bool)
+            kept = np.unique(pair[order][first])
+        return a[kept], b[kept]
+
+    def by_place(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         size, place = (some[c].to_numpy().astype(np.float64) for c in ("size", "place"))
         group = some["root"].to_numpy()
 
@@ -415,8 +449,8 @@ def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOL
 
     First each band's members are checked against the least of them. Bands whose members then lie in one class are
     done. The members of the others meet on their rare shingles, which loses no pair: again against the least of each
-    bucket, and then those that are still apart with each other, as far as sizes and places let them reach the
-    threshold. A bucket of more than `hot` such rows is dealt into blocks that meet two at a time."""
+    bucket, and then those that are still apart with each other, as far as sizes, places and bitmaps let them reach the
+    threshold: each with the one most like it, and last all that are apart even then. A bucket of more than `hot` such rows is dealt into blocks that meet two at a time."""
     banded = distinct.select("tid", F.explode("bands").alias("band"))
     hub = banded.groupBy("band").agg(F.min("tid").alias("b"), F.count("*").alias("n")).where("n > 1")
     shared = common.written(common.joined(banded, hub, "band", ["tid"], BANDS * distinct.count()), "shared")
@@ -433,9 +467,14 @@ def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOL
     fits = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (most >= threshold / (1 + threshold) * (n + m) - 1e-6)
     pairs = common.written(star.where((F.col("root") != F.col("h.root")) & fits).select(F.col("tid").alias("a"), F.col("h.tid").alias("b")).distinct(), "pairs")
     second = common.written(first.unionByName(verified(pairs, texts, threshold)), "second")
-    rows = undecided(rooted(rare, second), "bucket").withColumnRenamed("members", "n")
-    near = common.written(bucket_pairs(in_blocks(rows, hot), compatible_pairs(threshold)), "near")
-    return second.unionByName(verified(near, texts, threshold)).distinct()
+    links, bits = second, None
+    for best in (True, False):
+        rows = common.written(undecided(rooted(rare, links), "bucket").withColumnRenamed("members", "n"), "apart")
+        if bits is None:
+            bits = common.written(bitmaps(texts.join(rows.select("tid").distinct(), "tid", "left_semi")), "bitmaps")
+        near = common.written(bucket_pairs(in_blocks(rows.join(bits, "tid"), hot), compatible_pairs(threshold, best)), "near")
+        links = common.written(links.unionByName(verified(near, texts, threshold)).distinct(), "linked")
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -445,7 +484,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HO
     Equal texts meet first and count as one; a class without any id has class null."""
     rows = common.written(signed(docs), "signed")
     distinct = distinct_texts(rows)
-    links = common.written(near_links(distinct, docs, threshold, hot).select("a", "b"), "links")
+    links = common.settled("links", lambda: near_links(distinct, docs, threshold, hot).select("a", "b"))
+    of = common.settled("classes", lambda: text_classes(rows, distinct, links))
+    return common.joined(rows.select("doc_id", "text_key"), of, "text_key", ["doc_id"], rows.count()).select("doc_id", "n_links", "class_id")
+
+
+def text_classes(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(text_key, n_links, class_id, n) of every text, with the number of its rows."""
     root = common.components(links).withColumnRenamed("node", "tid")
     ends = links.select(F.col("a").alias("tid")).unionByName(links.select(F.col("b").alias("tid"))).groupBy("tid").agg(F.count("*").alias("n_links"))
     least = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(distinct.select("tid", "text_key"), "text_key")
@@ -453,5 +498,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HO
     least = common.written(least.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), "least")
     ids = least.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
     of = common.joined(least.drop("least"), ids, "root", ["tid"], least.count())
-    of = common.written(of.select("text_key", "n_links", "class_id", F.col("rows").alias("n")), "classes")
-    return common.joined(rows.select("doc_id", "text_key"), of, "text_key", ["doc_id"], rows.count()).select("doc_id", "n_links", "class_id")
+    return of.select("text_key", "n_links", "class_id", F.col("rows").alias("n"))

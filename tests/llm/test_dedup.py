@@ -309,3 +309,7 @@ def test_compatible_loses_no_pair():
             at = [np.array([float(x)]) for x in (len(a), a.index(both[0]), len(b), b.index(both[0]))]
             assert minhash.compatible(*at, 0.8).all()
             assert a.index(both[0]) < len(a) - -(-8 * len(a) // 10) + 1
+    for _ in range(300):
+        a, b = (np.array(r.sample(range(-900, 900), r.randint(0, 400)), np.int64) for _ in range(2))
+        bits = np.frombuffer(minhash.bitmap(a), np.uint64) ^ np.frombuffer(minhash.bitmap(b), np.uint64)
+        assert np.bitwise_count(bits).sum() <= len(set(a) ^ set(b))
