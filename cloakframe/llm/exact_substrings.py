@@ -381,7 +381,8 @@ def remove(docs: DataFrame, hot: int = HOT, collection: int = COLLECTION) -> Dat
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     docs, single = keyed(docs.select("doc_id", "text"))
     texts = packed(docs)
-    marks = spans(single, texts if single is docs else packed(single), hot, collection).groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    marks = common.settled("marks", lambda: spans(single, texts if single is docs else packed(single), hot, collection))
+    marks = marks.groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

@@ -12,7 +12,7 @@ and a task sends no more than the MOST n-grams that the filter takes.
 Defined cases: `und` with score 0 for null texts and texts without a letter, and where nothing was
 learned; a text with a letter but shorter than an n-gram, or without a known n-gram, has score 0 and the first
 language in code-point order, to which ties go as well; repeated rows get equal results, each its own; a text of any
-length is one row; an empty table gives an empty one; more than 64 languages take several planes of masks; null languages
+length is one row; an empty table gives an empty one; more than 64 languages take several planes of masks, more than LANGUAGES are an error; null languages
 are never learned; columns that are not asked for are dropped.
 """
 
@@ -33,6 +33,8 @@ SLOTS = 1 << 19
 #: Share of a language's n-gram mass that its filter holds, and the most n-grams it holds.
 MASS, MOST = 0.95, 40_000
 UNKNOWN = "und"
+#: More languages are an error: every 64 of them take a plane of 4 MB in each task.
+LANGUAGES = 2048
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -86,7 +88,9 @@ def sample(docs: DataFrame) -> DataFrame:
     A share by hash leaves about four times the sample of each language, whatever its size, and a rank by the same
     hash makes the bound exact."""
     known = docs.where(~common.held_out() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", common.whole_text()).alias("h"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = common.written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     some = known.join(F.broadcast(sizes), "lang").where(place < F.lit(4.0 * SAMPLE) / F.col("n"))
     order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h", "text")

@@ -189,14 +189,19 @@ def roots(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 def grouped(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """rows (doc_id, fp, ...), a written table, with root (one fingerprint for all that links reach) and component_id."""
+    of = common.settled("members", lambda: members(rows, hot))
+    return common.joined(rows, of, "fp", [c for c in rows.columns if c != "fp"], rows.count())
+
+
+def members(rows: DataFrame, hot: int) -> DataFrame:
+    """(fp, root, component_id, n) of the fingerprints of rows, with the number of their rows."""
     total = rows.count()
     distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     root = roots(distinct.select("fp"), hot)
     of = distinct.join(root, distinct["fp"] == root["node"], "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "least", "root", F.col("n").alias("rows"))
     of = common.written(of, "roots")
     component = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    of = common.written(common.joined(of.drop("least"), component, "root", ["fp"], total).withColumnRenamed("rows", "n"), "members")
-    return common.joined(rows, of, "fp", [c for c in rows.columns if c != "fp"], total)
+    return common.joined(of.drop("least"), component, "root", ["fp"], total).withColumnRenamed("rows", "n")
 
 
 def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:

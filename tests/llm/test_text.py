@@ -345,6 +345,9 @@ def test_language_cases(make, monkeypatch):
     assert language.sample(same).count() == 7
     monkeypatch.setattr(language, "SAMPLE_BYTES", 20)
     assert language.sample(same).count() == 3
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language.sample(make("a b", "c d", lang=["aa", "bb"], ids=[0, 1]))
 
 
 def test_language_masks():
