@@ -107,13 +107,3 @@ def test_run_equals_the_stages_one_after_another(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     key = lambda r: (r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["exact"])
     assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
-
-
-def test_extra_columns(make, spark):
-    docs = make("a b", "token = abcdef", ids=[1, 2])
-    for name in ("score", "size", "found", "component_id", "k", "fp", "spans"):
-        docs = docs.withColumnRenamed("n_chars", name)
-        assert secret_scan.scan(docs).count() == 2
-        assert simhash.classes(docs).count() == 2
-        assert bpe.encode(docs).count() == 2
-        docs = docs.withColumnRenamed(name, "n_chars")
