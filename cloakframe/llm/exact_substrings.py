@@ -105,6 +105,16 @@ def _piece_batch(anchor, digest, k, place, done, hot, extra=()) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
 
+def firsts(anchor: np.ndarray, digest: np.ndarray, k: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, anchors, done): pieces sorted so that the first of equal ones keeps its anchor; the others are done, as
+    their windows have occurred before, and are dealt out by their place instead."""
+    order = np.lexsort((place, k, digest, anchor))
+    k, place, anchor, digest = k[order], place[order], anchor[order], digest[order]
+    done = np.zeros(len(k), bool)
+    done[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
+    return order, np.where(done, common.mix((k * 1_000_003 + place).view(np.uint64)), anchor), done
+
+
 def frequent(docs: DataFrame) -> np.ndarray:
     """Anchors that many pieces of a share of docs have, sorted; their number is bounded by that of the partitions."""
     shown = anchored(docs.where(F.pmod(F.xxhash64("k"), F.lit(SHOWN)) == 0)).where("not done")
@@ -113,8 +123,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def anchored(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
-    """(PIECE) of every text of docs (k, text). Of equal pieces in a block only the first keeps its
-    anchor; the others are done, and dealt out by their place instead. Anchors in `often` are hot."""
+    """(PIECE) of every text of docs (k, text), of a block's with firsts(). Anchors in `often` are hot."""
     often = np.zeros(0, np.uint64) if often is None else often
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -126,13 +135,8 @@ def anchored(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
                     text, begin, end, anchor, digest = pieces(data, offsets, GRAM)
                     k = keys[rows][text + first]
                     place = _packed(begin - offsets[text] + ahead, end - begin)
-                    order = np.lexsort((place, k, digest, anchor))
-                    k, place, anchor, digest = k[order], place[order], anchor[order], digest[order]
-                    done = np.zeros(len(k), bool)
-                    done[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
-                    hot = np.isin(anchor, shared.value) & ~done
-                    anchor = np.where(done, common.mix((k * 1_000_003 + place).view(np.uint64)), anchor)
-                    yield _piece_batch(anchor, digest, k, place, done, hot)
+                    order, anchor, done = firsts(anchor, digest, k, place)
+                    yield _piece_batch(anchor, digest[order], k[order], place[order], done, np.isin(anchor, shared.value) & ~done)
 
     return docs.select("k", "text").mapInArrow(run, PIECE)
 
@@ -331,7 +335,8 @@ def with_bytes(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def recut(rows: DataFrame, gram: int) -> DataFrame:
-    """PIECE rows with bytes: the pieces of `rows` cut by longer grams."""
+    """PIECE rows with bytes: the pieces of `rows` cut by longer grams, of a batch's with firsts(). All anchors are hot,
+    but for whole windows, which are their own anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,8 +346,10 @@ def recut(rows: DataFrame, gram: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
             text, begin, end, anchor, digest = pieces(data, offsets, gram)
             raw = data.tobytes()
-            cut = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-            yield _piece_batch(anchor, digest, keys[text], _packed((place[text] >> 8) + begin - offsets[text], end - begin), np.zeros(len(text), bool), np.zeros(len(text), bool), (cut,))
+            k, at = keys[text], _packed((place[text] >> 8) + begin - offsets[text], end - begin)
+            order, anchor, done = firsts(anchor, digest, k, at)
+            cut = pa.array([raw[a:b] for a, b in zip(begin[order].tolist(), end[order].tolist(), strict=True)], pa.binary())
+            yield _piece_batch(anchor, digest[order], k[order], at[order], done, ~done & (gram < WIDTH), (cut,))
 
     return rows.select("anchor", "k", "place", "piece").mapInArrow(run, PIECE + ", piece binary")
 
