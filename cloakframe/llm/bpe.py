@@ -1,8 +1,8 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of its last WINDOW bytes hits a pattern, so that documents with a
-common passage share the chunks inside it, wherever the passage stands. A chunk that a task has met before is
-encoded once more at most, and then kept. Only the ids between its first and last seam (an ASCII letter followed by
+common passage share the chunks inside it, wherever the passage stands. A task encodes a chunk once as long as it
+remembers it: new chunks for a while, those that came again for longer. Only the ids between its first and last seam (an ASCII letter followed by
 a space) are taken; a join is repaired by encoding what lies between two chunks' seams together with the word
 beside it on either side, and it stands if those words come out with the ids that they have in their chunks. If
 they don't, the window widens over both chunks and at last over the whole text so far, until both encodings agree.
@@ -32,10 +32,8 @@ from pyspark.sql import DataFrame
 from cloakframe.llm import common
 
 WINDOW, MEAN_CHUNK = 16, 1024
-#: Bytes of repeated chunks that a task keeps: it decides what is encoded again, never the ids.
-CACHE_BYTES = 24 << 20
-#: Bits that remember which chunks a task has met.
-MET = 1 << 24
+#: Bytes of new and of repeated chunks that a task remembers: they decide what is encoded again, never the ids.
+NEW_BYTES, REPEATED_BYTES = 8 << 20, 16 << 20
 END_OF_TEXT = "<|endoftext|>"
 #: Fixed value: the pre-tokenisation pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,6 +84,26 @@ class Piece:
 EDGE: tuple[bytes, list[int]] = (b"", [])
 
 
+class Memory:
+    """Chunks in the order of their use; the oldest go beyond `limit` bytes."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held = limit, 0
+        self.chunks: dict[bytes, tuple[bytes, Piece | None, bytes]] = {}
+
+    def take(self, raw: bytes) -> tuple[bytes, Piece | None, bytes] | None:
+        found = self.chunks.pop(raw, None)
+        if found is not None:
+            self.held -= 8 * len(raw) + 500
+        return found
+
+    def put(self, raw: bytes, found: tuple[bytes, Piece | None, bytes]) -> None:
+        self.chunks[raw] = found
+        self.held += 8 * len(raw) + 500
+        while self.held > self.limit:
+            self.take(next(iter(self.chunks)))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; keeps the chunks that repeat."""
 
@@ -98,9 +116,8 @@ class Codec:
             self.pieces[i] = piece
         self.pieces[self.end] = END_OF_TEXT.encode()
         self.names = [str(i) for i in range(self.end + 1)]
-        self.chunks: dict[bytes, tuple[bytes, Piece | None, bytes]] = {}
-        self.met = bytearray(MET // 8)
-        self.held = self.hits = self.misses = self.widened = 0
+        self.new, self.repeated = Memory(NEW_BYTES), Memory(REPEATED_BYTES)
+        self.hits = self.misses = self.widened = 0
 
     def plain(self, text: bytes) -> list[int]:
         """Ids of a text from its beginning or a seam to a seam or its end."""
@@ -139,9 +156,10 @@ class Codec:
 
     def chunk(self, raw: bytes) -> tuple[bytes, Piece | None, bytes]:
         """(head, piece, tail) of a chunk; without two seams all of it is head."""
-        found = self.chunks.get(raw)
+        found = self.repeated.take(raw) or self.new.take(raw)
         if found is not None:
             self.hits += 1
+            self.repeated.put(raw, found)
             return found
         self.misses += 1
         first, last = seam(raw, 1), last_seam(raw, len(raw))
@@ -150,16 +168,7 @@ class Codec:
             found = raw[:first], Piece(self.entry(ids), self.guard(raw[first:last], ids, 0), self.guard(raw[first:last], ids, -1)), raw[last:]
         else:
             found = raw, None, b""
-        bit = hash(raw) % MET
-        if self.met[bit >> 3] >> (bit & 7) & 1:
-            self.chunks[raw] = found
-            self.held += 8 * len(raw) + 500
-            while self.held > CACHE_BYTES:
-                gone = next(iter(self.chunks))
-                del self.chunks[gone]
-                self.held -= 8 * len(gone) + 500
-        else:
-            self.met[bit >> 3] |= 1 << (bit & 7)
+        self.new.put(raw, found)
         return found
 
     def join(self, done: list[Piece], between: bytes, piece: Piece | None) -> bytes:
