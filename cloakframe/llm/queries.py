@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, exact_substrings, language, media, minhash, mixing, quality, secret_scan, simhash, token_counts
+from cloakframe.llm import bpe, chat, divergence, exact_substrings, importance, language, media, minhash, mixing, quality, secret_scan, simhash, token_counts
 from cloakframe.llm.common import held_out, table
 
 
@@ -62,6 +62,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), keep_text=False).select("doc_id", *secret_scan.RESULT)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.planted(table(spark, sf_dir, "conversations"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,9 +93,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_language_id,
         op10_secret_scan,
+        op11_importance_resampling,
+        op12_chat_formatting,
+        op13_source_divergence,
         pipeline,
         minhash_classes,
     )
 }
 
-ORACLES: dict[str, str] = {"op7_mixing_to_weights": mixing.ORACLE, "op10_secret_scan": secret_scan.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_mixing_to_weights": mixing.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op12_chat_formatting": chat.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
