@@ -54,6 +54,52 @@ def finding(start: Column, end: Column, entity: Column | str, value: Column, tie
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), as_column(entity).alias("entity_type"), value.alias("value"), as_column(tier).alias("tier"), F.lit(score).alias("score"))
 
 
+#: Items that a fold gathers into one array before it goes on with the next.
+GROUP = 256
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """array<kind>: what step(state, item) gives beside its next state, item by item.
+
+    An array that grows in a fold is copied at every step. This one grows within a group of GROUP items, and the groups are
+    put together at the end, so the cost of a text's matches is in proportion to their number."""
+
+    def within(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def across(acc: Column, group: Column) -> Column:
+        inner = F.aggregate(group, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), within)
+        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def over(xs: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / GROUP).cast("int")), lambda i: F.slice(xs, i * GROUP + 1, F.lit(GROUP)))
+        made = F.aggregate(groups, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), across)
+        return F.when(F.size(xs) > 0, F.flatten(made["out"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(items, over)
+
+
+#: Code points of the blocks in which parts of a text are looked up.
+BLOCK = 4096
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks: substring() counts from the beginning of its string, so parts of a long one are cut from its blocks."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks_: Column, start: Column, end: Column) -> Column:
+    """The part of a text from start to end (exclusive), of its blocks()."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+
+    def of(i: Column) -> Column:
+        lo, hi = F.greatest(start - i * BLOCK, F.lit(0)), F.least(end - i * BLOCK, F.lit(BLOCK))
+        return F.substring(F.get(blocks_, i), lo.cast("int") + 1, (hi - lo).cast("int"))
+
+    return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), of), "")).otherwise("")
+
+
 def places(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """array<struct<start, value>> of the matches; start counts code points.
 
@@ -62,16 +108,17 @@ def places(text: Column, pattern: str | Column, group: int = 0) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     shown = values if not group else F.regexp_extract_all(text, pattern, F.lit(group))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("whole"), shown.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        one = F.array(F.struct(start.alias("start"), x["value"].alias("value")))
-        return F.struct((start + F.length(x["whole"])).alias("at"), F.concat(acc["out"], one).alias("out"))
+    def zipped(whole: Column) -> Column:
+        return F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), (whole if not group else shown).alias("value"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        return start + F.length(x["whole"]), F.struct(start.alias("start"), x["value"].alias("value"))
 
-    empty = F.array().cast("array<struct<start:int,value:string>>")
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.regexp_like(text, pattern), walked).otherwise(empty)
+    kind = "struct<start:int,value:string>"
+    walked = running(let(values, zipped), F.lit(0), step, kind)
+    return F.when(F.regexp_like(text, pattern), walked).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 PATTERNS = {"EMAIL": EMAIL, "URL": URL, "PHONE": PHONE}
@@ -136,9 +183,12 @@ def field_type(path: Column) -> Column:
 
 def field_findings(text: Column, spans: Column) -> Column:
     """Tier 0 of structured documents: whole values of personal fields."""
-    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    own = F.filter(spans, lambda s: field_type(s["path"]).isNotNull() & ~value(s).rlike(rf"^[{S}]*$"))
-    return F.transform(own, lambda s: finding(s["start"], s["end"], field_type(s["path"]), value(s), "field"))
+
+    def of(parts: Column) -> Column:
+        typed = F.transform(F.filter(spans, lambda s: field_type(s["path"]).isNotNull()), lambda s: finding(s["start"], s["end"], field_type(s["path"]), between(parts, s["start"], s["end"]), "field"))
+        return F.filter(typed, lambda f: ~f["value"].rlike(rf"^[{S}]*$"))
+
+    return let(blocks(text), of)
 
 
 DERIVED_LENGTH = 8

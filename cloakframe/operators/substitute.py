@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions import tokens
-from cloakframe.functions.text import W, barrier, let, longest_first, occurrences, quoted
+from cloakframe.functions import automaton, tokens
+from cloakframe.functions.text import W, barrier, between, blocks, let, longest_first, occurrences, quoted, running
+from cloakframe.schema import SPANS
 
 #: Private characters that mark substituted values while a text is taken apart.
 OPEN, CLOSE = "\ue000", "\ue001"
 MARKS = f"[{OPEN}{CLOSE}]"
-#: Values from which on an alternation is grouped; it matches the same.
-MANY = 24
+#: Values that an alternation tries one by one; rows with more go through an automaton, which matches the same.
+MANY = 64
 #: Alternation of no value.
 NEVER = "(?!)"
 
@@ -25,15 +26,8 @@ def guarded(value: Column) -> Column:
 
 
 def alternation(values: Column) -> Column:
-    """One pattern for all values, the longest first. Many values are grouped by their first character, so that a place
-    in the text is tried with those that may begin there; values that begin differently never compete for a place."""
-
-    def pattern(ordered: Column) -> Column:
-        group = lambda c: F.concat(F.lit("(?="), quoted(c), F.lit(")(?:"), F.array_join(F.transform(F.filter(ordered, lambda v: F.startswith(v, c)), guarded), "|"), F.lit(")"))
-        firsts = F.array_distinct(F.transform(ordered, lambda v: F.left(v, F.lit(1))))
-        return F.when(F.size(ordered) > MANY, F.array_join(F.transform(firsts, group), "|")).otherwise(F.array_join(F.transform(ordered, guarded), "|"))
-
-    return F.when(F.size(values) > 0, let(longest_first(values), pattern)).otherwise(NEVER)
+    """One pattern for all values, the longest first."""
+    return F.when(F.size(values) > 0, F.array_join(F.transform(longest_first(values), guarded), "|")).otherwise(NEVER)
 
 
 def marked_text(text: Column, pattern: Column) -> Column:
@@ -43,40 +37,43 @@ def marked_text(text: Column, pattern: Column) -> Column:
 
 def _replaced(marked: Column, mapping: Column) -> Column:
     """Marked matches as their placeholders; null if one isn't in the mapping."""
-    parts = F.split(marked, MARKS, -1)
-    return F.aggregate(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.element_at(mapping, p))), F.lit(""), lambda a, p: F.concat(a, p))
-
-
-def substituted(text: Column, values: Column, mapping: Column, spans: Column | None = None) -> Column:
-    """struct<text, n>: every occurrence of a value as its placeholder; of structured documents
-    inside value spans only, each span on its own. text is null where the mapping has a gap."""
-    return let(_marked(text, alternation(values), spans), lambda m: _counted(text, m, values, mapping))
+    parts = F.transform(F.split(marked, MARKS, -1), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.element_at(mapping, p)))
+    return let(parts, lambda xs: F.when(~F.exists(xs, lambda x: x.isNull()), F.array_join(xs, "")))
 
 
 def with_substitution(df: DataFrame, text: Column, values: Column, mapping: Column, spans: Column | None = None) -> DataFrame:
-    """df with `_s`, as substituted() has it, evaluated step by step."""
-    out = barrier(df, "_p", alternation(values))
-    out = barrier(out, "_m", F.when(F.size(values) > 0, _marked(text, F.col("_p"), spans)).otherwise(text))
-    return barrier(out, "_s", _counted(text, F.col("_m"), values, mapping)).drop("_p", "_m")
-
-
-def _counted(text: Column, marked: Column, values: Column, mapping: Column) -> Column:
-    made = F.struct(_replaced(marked, mapping).alias("text"), F.regexp_count(marked, F.lit(OPEN)).alias("n"))
-    return F.when(F.size(values) > 0, made).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+    """df with `_s`, a struct<text, n, leaks>: every occurrence of a value as its placeholder, their number, and the values that
+    still stand in the result; of structured documents inside value spans only, each span on its own. text is null where the
+    mapping has a gap.
+
+    Rows of up to MANY values stay in the JVM and are evaluated step by step. Others pass through an automaton in Arrow batches;
+    of the rest, nulls are passed."""
+    few = (F.size(values) > 0) & (F.size(values) <= MANY)
+    out = barrier(df, "_p", F.when(few, alternation(values)).otherwise(NEVER))
+    out = barrier(out, "_m", F.when(few, _marked(text, F.col("_p"), spans)).otherwise(text))
+    out = barrier(out, "_r", F.when(few, F.struct(_replaced(F.col("_m"), mapping).alias("text"), F.regexp_count("_m", F.lit(OPEN)).alias("n"))).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n"))))
+    left = F.when(few & F.col("_r.text").isNotNull(), leaks(F.col("_r.text"), values)).otherwise(F.array().cast("array<string>"))
+    here = F.struct(F.col("_r.text").alias("text"), F.col("_r.n").alias("n"), left.alias("leaks"))
+    many = F.size(values) > MANY
+    given = [F.when(many, c) for c in (text, values, mapping, F.lit(None).cast(SPANS) if spans is None else spans)]
+    return barrier(out.withColumn("_a", automaton.substituted(*given)), "_s", F.when(many, F.col("_a")).otherwise(here)).drop("_p", "_m", "_r", "_a")
 
 
 def _marked(text: Column, pattern: Column, spans: Column | None) -> Column:
     if spans is None:
         return marked_text(text, pattern)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))))
+    kind = "struct<a:int,b:int,e:int>"
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, F.when(s["s"] < at, at).otherwise(s["e"])), F.when(s["s"] >= at, F.struct(at.alias("a"), s["s"].alias("b"), s["e"].alias("e")))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["s"] - acc["at"])
-        inside = marked_text(F.substring(text, s["s"] + 1, s["e"] - s["s"]), pattern)
-        return F.when(s["s"] < acc["at"], acc).otherwise(F.struct(s["e"].alias("at"), F.concat(acc["out"], F.array(gap, inside)).alias("out")))
+    def joined(cuts: Column, parts: Column) -> Column:
+        pieces = F.transform(cuts, lambda c: F.concat(between(parts, c["a"], c["b"]), marked_text(between(parts, c["b"], c["e"]), pattern)))
+        return F.concat(F.array_join(pieces, ""), between(parts, F.coalesce(F.element_at(cuts, -1)["e"], F.lit(0)), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    own = F.filter(running(ordered, F.lit(0), step, kind), lambda c: c.isNotNull())
+    return let(own, lambda cuts: F.when(F.size(cuts) > 0, let(blocks(text), lambda parts: joined(cuts, parts))).otherwise(text))
 
 
 def leaks(text: Column, values: Column) -> Column:

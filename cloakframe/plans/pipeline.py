@@ -30,8 +30,7 @@ def anonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", spans:
     entered = barrier(found, "vault", vault.entries(F.col("findings")))
     values = F.transform("vault", lambda e: e["value"])
     made = substitute.with_substitution(entered, body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None)
-    out = made.withColumn("anonymized", F.col("_s.text")).withColumn("n_replaced", F.col("_s.n")).drop("_s")
-    out = barrier(out, "leaks", F.when(F.col("anonymized").isNull(), F.array().cast("array<string>")).otherwise(substitute.leaks(F.col("anonymized"), values)))
+    out = made.withColumn("anonymized", F.col("_s.text")).withColumn("n_replaced", F.col("_s.n")).withColumn("leaks", F.col("_s.leaks")).drop("_s")
     failed = (F.col("ner_status") == "failed") if "ner_status" in docs.columns else F.lit(False)
     status = (
         F.when(body.rlike(rf"^[{S}]*$"), "blank")
