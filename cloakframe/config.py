@@ -42,11 +42,8 @@ class Options:
     timeout: float | None = None
     ner: bool = False
     ner_score: float = 0.5
+    #: Rows whose model tier failed go on with the other tiers' findings; else they are blocked.
     ner_lenient: bool = False
-    data_dir: str = "data"
-    log_level: str = "INFO"
-    host: str = "127.0.0.1"
-    port: int = 8080
 
     def endpoint(self) -> Provider:
         """The preset with this run's own values; an unknown name is a server of your own."""
@@ -83,8 +80,5 @@ class Options:
             timeout=float(timeout) if timeout else None,
             ner=first_set(env, "NER_ENABLED", default="false").lower() in ("1", "true", "yes", "on"),
             ner_score=number("NER_SCORE_THRESHOLD", 0.5),
-            data_dir=first_set(env, "DATA_DIR", default="data"),
-            log_level=first_set(env, "LOG_LEVEL", default="INFO").upper(),
-            host=first_set(env, "HOST", default="127.0.0.1"),
-            port=int(number("PORT", 8080)),
+            ner_lenient=first_set(env, "NER_LENIENT", default="false").lower() in ("1", "true", "yes", "on"),
         )

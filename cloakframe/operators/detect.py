@@ -21,12 +21,12 @@ def persons(findings: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(findings, lambda f: f["entity_type"] == "PERSON"), lambda f: f["value"]))
 
 
-def with_findings(df: DataFrame, text: Column, spans: Column | None = None, ner: Column | None = None) -> DataFrame:
+def with_findings(df: DataFrame, text: Column, spans: Column | None = None, ner: Column | None = None, least: float = NER_SCORE) -> DataFrame:
     """df with `findings`, as detect() has them, but evaluated tier by tier: nested bindings of
     large expressions take the planner longer than the rows take the executors."""
     structure = T.header_findings(text) if spans is None else T.field_findings(text, spans)
     blank = text.isNull() | text.rlike(rf"^[{T.S}]*$")
-    base = F.concat(structure, T.pattern_findings(text), *([] if ner is None else [accepted(ner)]))
+    base = F.concat(structure, T.pattern_findings(text), *([] if ner is None else [accepted(ner, least)]))
     out = T.barrier(df, "_base", F.when(blank, T.none()).otherwise(base))
     out = T.barrier(out, "_forms", T.derived_forms(persons(F.col("_base"))))
     out = T.barrier(out, "_pattern", T.derivative_pattern(F.col("_forms")))

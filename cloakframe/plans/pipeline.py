@@ -14,6 +14,7 @@ from cloakframe.config import Options
 from cloakframe.functions import tokens
 from cloakframe.functions.text import S, barrier, let
 from cloakframe.operators import detect, substitute, vault
+from cloakframe.operators import ner as ner_tier
 from cloakframe.sources import model, scratch
 
 
@@ -22,11 +23,11 @@ def session_id(key: Column) -> Column:
     return F.sha2(F.concat(F.lit("session:"), key.cast("string")), 256)
 
 
-def anonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", spans: str | None = None, ner: str | None = None) -> DataFrame:
+def anonymized(docs: DataFrame, key: str = "doc_id", text: str = "text", spans: str | None = None, ner: str | None = None, least: float = detect.NER_SCORE) -> DataFrame:
     """docs with session_id, findings, vault, anonymized, n_findings, n_tokens, n_unique, n_replaced, extra, leaks
     and status: ok, no_findings, or why the row is blocked. One projection: no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = detect.with_findings(docs.withColumn("session_id", session_id(F.col(key))), body, F.col(spans) if spans else None, F.col(ner) if ner else None)
+    found = detect.with_findings(docs.withColumn("session_id", session_id(F.col(key))), body, F.col(spans) if spans else None, F.col(ner) if ner else None, least)
     entered = barrier(found, "vault", vault.entries(F.col("findings")))
     values = F.transform("vault", lambda e: e["value"])
     made = substitute.with_substitution(entered, body, values, vault.forward(F.col("vault")), F.col(spans) if spans else None)
@@ -71,16 +72,34 @@ def rehydrated(answers: DataFrame, private: DataFrame, session: str = "session_i
     return joined.select("*", F.col("_o.text").alias("rehydrated"), F.col("_o.unmatched").alias("unmatched"), F.col("_o.dropped").alias("dropped_tokens"), (F.size("_o.unmatched") == 0).alias("ok")).drop("_r", "_o")
 
 
-def run(docs: DataFrame, options: Options, factory: Callable[[], model.Transport], key: str = "doc_id", text: str = "text", spans: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run(docs: DataFrame, options: Options, factory: Callable[[], model.Transport], key: str = "doc_id", text: str = "text", spans: str | None = None, analyzer: Callable[[], ner_tier.Analyzer] | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, blocked): the whole round trip of each document that may leave.
 
-    Detection and the exchange run once: both are written to the shared folder, so that no action on the results
-    sends a text again. The first table holds the vault; delete it with scratch.discard() or keep the folder private."""
-    made = anonymized(docs, key, text, spans)
-    made = scratch.written(made.select(key, "session_id", "status", "leaks", "anonymized", "vault"), "made")
-    cleared, blocked, private = split(made, key)
-    answers = scratch.written(model.exchange(cleared, key, "text", options, factory), "answers")
-    return rehydrated(answers.withColumn("session_id", session_id(F.col(key))), private), blocked
+    With options.ner, the analyzer's findings of at least options.ner_score count as the model tier; a row on which it failed is
+    blocked unless options.ner_lenient, and without an analyzer the other tiers go on alone. Detection and the exchange run once, as no action on the
+    results may send a text again. What holds values in clear, the vault, lies in the shared folder while this function runs and is
+    deleted before it returns, also if it fails; so are the answers, unless `ledger` names a folder to keep them in. Both
+    results are tables of the shared folder: results hold the restored texts, delete them with scratch.discard()."""
+    spark = docs.sparkSession
+    passing: list[DataFrame] = []
+    answered = None
+    try:
+        if options.ner:
+            docs = ner_tier.with_ner(docs, analyzer, text)
+            if options.ner_lenient:
+                docs = docs.drop("ner_status")
+        made = anonymized(docs, key, text, spans, "ner" if options.ner else None, options.ner_score)
+        made = scratch.written(made.select(key, "session_id", "status", "leaks", "anonymized", "vault"), "made")
+        passing.append(made)
+        cleared, blocked, private = split(made, key)
+        answered = model.exchange(cleared, key, "text", options, factory, ledger)
+        results = scratch.written(rehydrated(answered.withColumn("session_id", session_id(F.col(key))), private), "results")
+        return results, scratch.written(blocked, "blocked")
+    finally:
+        for table in passing:
+            scratch.discard(table)
+        if ledger is None and answered is not None and hasattr(answered, "_ledger"):
+            scratch.delete(spark, answered._ledger)
 
 
 def write_report(made: DataFrame, path: str, key: str = "doc_id") -> None:

@@ -5,14 +5,14 @@ Every row keeps its own error; a bad file never stops the job."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import schema
-from cloakframe.functions.text import S, barrier, line_number, metadata_block, normalise_columns, strip_icons
+from cloakframe.functions.text import S, barrier, let, line_number, metadata_block, normalise_columns, strip_icons
 
 SUFFIXES = {"pdf": "pdf", "txt": "text", "json": "json"}
 
@@ -43,28 +43,39 @@ def find(files: DataFrame, doc_id: str) -> DataFrame:
     return by_stem(_named(files.select("path")).where(F.col("doc_id") == doc_id))
 
 
-def _row(files: DataFrame, form: str, text: Column, warnings: Column, error: Column, spans: Column | None = None, metadata: Column | None = None) -> DataFrame:
+_NOTES, _META = "array<string>", "map<string,string>"
+
+
+def _row(files: DataFrame, form: Column, text: Column, error: Column, warnings: Column | None = None, metadata: Column | None = None, spans: Column | None = None) -> DataFrame:
+    empty = lambda c, none, kind: none.cast(kind) if c is None else F.coalesce(c, none.cast(kind))
     return files.select(
         "doc_id",
         F.col("path").alias("source_path"),
-        F.lit(form).alias("source_format"),
+        form.alias("source_format"),
         F.when(error.isNull(), text).alias("text"),
-        F.coalesce(warnings, F.array().cast("array<string>")).alias("warnings"),
-        F.coalesce(metadata if metadata is not None else F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"),
-        (spans if spans is not None else F.lit(None)).cast(schema.SPANS).alias("value_spans"),
+        empty(warnings, F.array(), _NOTES).alias("warnings"),
+        empty(metadata, F.create_map(), _META).alias("metadata"),
+        (F.lit(None) if spans is None else spans).cast(schema.SPANS).alias("value_spans"),
         error.alias("error"),
     )
 
 
-def text_documents(files: DataFrame) -> DataFrame:
+def _made(text: Column, error: Column, warnings: Column | None = None, metadata: Column | None = None, spans: Column | None = None) -> Column:
+    or_null = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    return F.struct(text.alias("text"), or_null(warnings, _NOTES).alias("warnings"), or_null(metadata, _META).alias("metadata"), or_null(spans, schema.SPANS).alias("spans"), error.cast("string").alias("error"))
+
+
+def text_made(content: Column) -> Column:
     """Plain text: UTF-8, with a warning that counts replaced sequences and names the first line."""
-    raw = F.col("content").cast("string")
-    valid = F.is_valid_utf8(raw)
-    text = F.when(valid, raw).otherwise(F.make_valid_utf8(raw))
-    bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    note = F.format_string("%d undecodable sequence(s) replaced, the first on line %d", bad, line_number(text, F.locate("�", text) - 1))
-    error = F.when(text.rlike(rf"^[{S}]*$"), F.lit("empty file")).cast("string")
-    return _row(files, "text", text, F.when(~valid, F.array(note)), error)
+    raw = content.cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.make_valid_utf8(raw))
+
+    def of(text: Column) -> Column:
+        bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
+        note = F.format_string("%d undecodable sequence(s) replaced, the first on line %d", bad, line_number(text, F.locate("�", text) - 1))
+        return _made(text, F.when(text.rlike(rf"^[{S}]*$"), F.lit("empty file")), F.when(~F.is_valid_utf8(raw), F.array(note)))
+
+    return let(text, of)
 
 
 def serialised(parsed: object) -> tuple[str, list[tuple[int, int, str]], int]:
@@ -106,7 +117,9 @@ def serialised(parsed: object) -> tuple[str, list[tuple[int, int, str]], int]:
 
 
 def _json_rows(raw: pd.Series) -> pd.DataFrame:
-    def one(value: str) -> tuple:
+    def one(value: str | None) -> tuple:
+        if value is None:  # another kind of file
+            return None, None, None, None
         try:
             text, spans, leaves = serialised(json.loads(value))
         except (ValueError, RecursionError) as e:
@@ -118,68 +131,83 @@ def _json_rows(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(v) for v in raw], columns=["text", "spans", "leaves", "error"])
 
 
-def json_documents(files: DataFrame) -> DataFrame:
+def json_parsed(content: Column) -> Column:
     """JSON in source order with the spans of its values. Python, as order is lost in variants."""
-    read = F.pandas_udf(_json_rows, f"struct<text:string,spans:{schema.SPANS},leaves:int,error:string>")
-    parsed = files.withColumn("_j", read(F.make_valid_utf8(F.col("content").cast("string"))))
-    counts = F.create_map(F.lit("leaves"), F.col("_j.leaves").cast("string"), F.lit("values"), F.size("_j.spans").cast("string"))
-    return _row(parsed, "json", F.col("_j.text"), F.lit(None).cast("array<string>"), F.col("_j.error"), F.col("_j.spans"), F.when(F.col("_j.error").isNull(), counts))
+    return F.pandas_udf(_json_rows, f"struct<text:string,spans:{schema.SPANS},leaves:int,error:string>")(F.make_valid_utf8(content.cast("string")))
+
+
+def json_made(parsed: Column) -> Column:
+    counts = F.create_map(F.lit("leaves"), parsed["leaves"].cast("string"), F.lit("values"), F.size(parsed["spans"]).cast("string"))
+    return _made(parsed["text"], parsed["error"], metadata=F.when(parsed["error"].isNull(), counts), spans=parsed["spans"])
 
 
 #: A decoder turns a file into pages of (text, [(font, run)]) and a dictionary of metadata, or raises.
 Decoder = Callable[[bytes], tuple[list[tuple[str, list[tuple[str, str]]]], dict[str, str]]]
-_PAGES = "path string, doc_id string, pages array<struct<text:string,runs:array<struct<font:string,text:string>>,error:string>>, metadata map<string,string>, failure string"
-
-
-def pdf_documents(files: DataFrame, decoder: Decoder | None) -> DataFrame:
-    """PDF through a decoder; a page may carry its own failure as an exception in place of its text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, doc_id, content in zip(batch["path"], batch["doc_id"], batch["content"], strict=True):
-                try:
-                    if decoder is None:
-                        raise RuntimeError("no PDF decoder is configured")
-                    pages, metadata = decoder(bytes(content))
-                    made = [
-                        {"text": None, "runs": [], "error": str(text)} if isinstance(text, Exception) else {"text": text, "runs": [{"font": f.split("+", 1)[-1], "text": r} for f, r in runs if r.strip()], "error": None}
-                        for text, runs in pages
-                    ]
-                    rows.append((path, doc_id, made, {k: str(v) for k, v in metadata.items() if v}, None))
-                except Exception as e:  # noqa: BLE001  a bad file is a row with an error
-                    rows.append((path, doc_id, [], {}, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "doc_id", "pages", "metadata", "failure"])
-
-    pages = files.select("path", "doc_id", "content").mapInPandas(run, _PAGES)
-    pages = barrier(pages, "_clean", F.transform("pages", lambda p: strip_icons(p["text"], p["runs"])))
-    body = F.array_join(F.filter(F.transform("_clean", lambda c: normalise_columns(c["text"])), lambda t: t.isNotNull() & ~t.rlike(rf"^[{S}]*$")), "\n")
-    meta = metadata_block(F.col("metadata"))
-    text = F.when(body.rlike(rf"^[{S}]*$"), F.coalesce(meta, F.lit(""))).otherwise(F.concat_ws("\n\n", body, meta))
-    numbered = lambda i, *note: F.concat(F.lit("page "), (i + 1).cast("string"), F.lit(": "), *note)
-    some = lambda notes: F.filter(notes, lambda x: x.isNotNull())
-    failed = some(F.transform("pages", lambda p, i: F.when(p["error"].isNotNull(), numbered(i, p["error"]))))
-    icons = lambda field, what: some(F.transform("_clean", lambda c, i: F.when(c[field] > 0, numbered(i, c[field].cast("string"), F.lit(what)))))
-    blank = F.when(F.col("failure").isNull() & body.rlike(rf"^[{S}]*$"), F.array(F.lit("no text in the file"))).otherwise(F.array().cast("array<string>"))
-    warnings = F.concat(failed, icons("removed", " icon run(s) removed"), icons("ambiguous", " icon run(s) kept, as they stand elsewhere too"), blank)
-    return _row(pages, "pdf", text, warnings, F.col("failure"), metadata=F.col("metadata"))
+_PAGES = f"struct<pages:array<struct<text:string,runs:array<struct<font:string,text:string>>,error:string>>,metadata:{_META},failure:string>"
+
+
+def pdf_decoded(content: Column, decoder: Decoder | None) -> Column:
+    """Pages of a PDF file through a decoder; a page may carry its own failure as an exception in place of its text."""
+
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:  # another kind of file
+            return None, None, None
+        try:
+            if decoder is None:
+                raise RuntimeError("no PDF decoder is configured")
+            pages, metadata = decoder(bytes(raw))
+            made = [
+                {"text": None, "runs": [], "error": str(text)} if isinstance(text, Exception) else {"text": text, "runs": [{"font": f.split("+", 1)[-1], "text": r} for f, r in runs if r.strip()], "error": None}
+                for text, runs in pages
+            ]
+            return made, {k: str(v) for k, v in metadata.items() if v}, None
+        except Exception as e:  # noqa: BLE001  a bad file is a row with an error
+            return [], {}, str(e)
+
+    def run(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(v) for v in raw], columns=["pages", "metadata", "failure"])
+
+    return F.pandas_udf(run, _PAGES)(content)
+
+
+def pdf_made(decoded: Column, clean: Column) -> Column:
+    """decoded: of pdf_decoded(); clean: its pages without icons, of pdf_cleaned()."""
+    body = F.array_join(F.filter(F.transform(clean, lambda c: normalise_columns(c["text"])), lambda t: t.isNotNull() & ~t.rlike(rf"^[{S}]*$")), "\n")
+
+    def of(body: Column) -> Column:
+        meta = metadata_block(decoded["metadata"])
+        text = F.when(body.rlike(rf"^[{S}]*$"), F.coalesce(meta, F.lit(""))).otherwise(F.concat_ws("\n\n", body, meta))
+        numbered = lambda i, *note: F.concat(F.lit("page "), (i + 1).cast("string"), F.lit(": "), *note)
+        some = lambda notes: F.filter(notes, lambda x: x.isNotNull())
+        failed = some(F.transform(decoded["pages"], lambda p, i: F.when(p["error"].isNotNull(), numbered(i, p["error"]))))
+        icons = lambda field, what: some(F.transform(clean, lambda c, i: F.when(c[field] > 0, numbered(i, c[field].cast("string"), F.lit(what)))))
+        blank = F.when(decoded["failure"].isNull() & body.rlike(rf"^[{S}]*$"), F.array(F.lit("no text in the file"))).otherwise(F.array().cast(_NOTES))
+        warnings = F.concat(failed, icons("removed", " icon run(s) removed"), icons("ambiguous", " icon run(s) kept, as they stand elsewhere too"), blank)
+        return _made(text, decoded["failure"], warnings, decoded["metadata"])
+
+    return let(body, of)
+
+
+def pdf_cleaned(decoded: Column) -> Column:
+    return F.transform(decoded["pages"], lambda p: strip_icons(p["text"], p["runs"]))
 
 
 def documents(files: DataFrame, decoder: Decoder | None = None) -> DataFrame:
-    """Documents of files (path, content); unsupported files become rows with an error."""
+    """Documents of files (path, content), each read once; unsupported files become rows with an error, and their content and
+    that of files of other kinds goes to no decoder."""
     files = _named(files)
-    other = files.where(~F.col("suffix").isin(*SUFFIXES))
+    form = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair)), F.col("suffix")), F.lit("unsupported"))
+    files = files.select("doc_id", "path", "suffix", form.alias("_form"), F.when(form != "unsupported", F.col("content")).alias("_content"))
+    of = lambda kind: F.when(F.col("_form") == kind, F.col("_content"))
+    rows = files.withColumn("_json", json_parsed(of("json"))).withColumn("_pdf", pdf_decoded(of("pdf"), decoder))
+    rows = barrier(rows, "_clean", pdf_cleaned(F.col("_pdf")))
     refused = F.concat(F.lit("unsupported file type ."), F.col("suffix"), F.lit("; supported: " + ", ".join(f".{s}" for s in sorted(SUFFIXES))))
-    parts = [
-        text_documents(files.where("suffix = 'txt'")),
-        json_documents(files.where("suffix = 'json'")),
-        pdf_documents(files.where("suffix = 'pdf'"), decoder),
-        _row(other, "unsupported", F.lit(None).cast("string"), F.lit(None).cast("array<string>"), refused),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    made = {"text": text_made(F.col("_content")), "json": json_made(F.col("_json")), "pdf": pdf_made(F.col("_pdf"), F.col("_clean"))}
+    one = _made(F.lit(None).cast("string"), refused)
+    for kind, what in made.items():
+        one = F.when(F.col("_form") == kind, what).otherwise(one)
+    rows = barrier(rows, "_m", one)
+    return _row(rows, F.col("_form"), F.col("_m.text"), F.col("_m.error"), F.col("_m.warnings"), F.col("_m.metadata"), F.col("_m.spans"))
 
 
 def load(spark: SparkSession, path: str, decoder: Decoder | None = None) -> DataFrame:
@@ -187,7 +215,7 @@ def load(spark: SparkSession, path: str, decoder: Decoder | None = None) -> Data
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
         missing = _named(spark.createDataFrame([(path,)], "path string"))
-        return _row(missing, "missing", F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit("no such file or folder"))
+        return _row(missing, F.lit("missing"), F.lit(None).cast("string"), F.lit("no such file or folder"))
     return documents(read(spark, path), decoder)
 
 
