@@ -92,6 +92,27 @@ def replaced(values: Column, text: Column, anonymized: Column) -> Column:
     return F.when(text.eqNullSafe(anonymized), F.array().cast("array<string>")).otherwise(lost)
 
 
+def replaced_terms(made: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_controls, n_replaced, replaced) of texts (key, text, anonymized): which terms (w) stand free in a text, and which of
+    them stand there less often after substitution.
+
+    A text that nothing was replaced in passes on its distinct words; others pass on every word, once for the text and once
+    against it for what became of it. The words meet the terms by an equality, and only terms are summed."""
+    entry = lambda n: lambda w: F.struct(w.alias("w"), F.lit(n).alias("d"))
+    before, after = free_words(F.col("text")), free_words(F.col("anonymized"))
+    same = F.transform(F.array_distinct(before), entry(0))
+    signed = F.concat(F.transform(before, entry(1)), F.transform(after, entry(-1)), F.transform(F.array_distinct(before), entry(0)))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("d")))
+    rows = made.select(key, F.explode(F.concat(none, F.when(F.col("text").eqNullSafe(F.col("anonymized")), same).otherwise(signed))).alias("x")).select(key, "x.*")
+    known = terms.select(F.col("w").alias("_w")).distinct()
+    met = rows.where("w is not null").join(known, F.col("w") == F.col("_w"), "left_semi").unionByName(rows.where("w is null"))
+    # A word that only substitution made is no control of the text: it has no row of its own.
+    each = met.groupBy(key, "w").agg(F.sum("d").alias("lost"), F.max(F.col("d") >= 0).alias("own")).where("own")
+    lost = F.array_sort(F.collect_list(F.when(F.col("lost") > 0, F.col("w"))))
+    out = each.groupBy(key).agg(F.count("w").alias("n_controls"), lost.alias("replaced"))
+    return out.select(key, "n_controls", F.size("replaced").cast("long").alias("n_replaced"), "replaced")
+
+
 def controls_kept(controls: DataFrame, made: DataFrame) -> DataFrame:
     """(doc_id, n_controls, n_replaced, replaced) of values that must stay in clear, rows (doc_id, value),
     in texts (doc_id, text, anonymized): over-detection by document."""

@@ -57,6 +57,24 @@ def numbered(findings: DataFrame, session: str, order: list[str]) -> DataFrame:
     return rows.select(session, "value", "entity_type", "ord", token(F.col("entity_type"), F.col("ord")).alias("token"))
 
 
+def extended(stored: DataFrame, findings: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """The vault (session, value, entity_type, ord, token) of earlier runs with the entries that new findings add.
+
+    A value that a session has keeps its token and its first type; new ones are numbered on from the highest number of their
+    session and type. Minting a session's findings in parts, in their order, gives what minting them at once gives."""
+    fresh = findings.join(stored.select(session, "value"), [session, "value"], "left_anti")
+    new = numbered(fresh, session, order).drop("token")
+    ahead = stored.groupBy(session, "entity_type").agg(F.max("ord").alias("_ahead"))
+    new = new.join(ahead, [session, "entity_type"], "left").withColumn("ord", F.col("ord") + F.coalesce("_ahead", F.lit(0)))
+    new = new.select(session, "value", "entity_type", "ord", token(F.col("entity_type"), F.col("ord")).alias("token"))
+    return stored.select(*new.columns).unionByName(new.select(*(F.col(c).cast(stored.schema[c].dataType).alias(c) for c in new.columns)))
+
+
+def save(vault: DataFrame, table: str, session: str, buckets: int = 64) -> None:
+    """Store a vault by session: what extended() joins with it then moves the findings alone."""
+    vault.write.mode("overwrite").bucketBy(buckets, session).sortBy(session).saveAsTable(table)
+
+
 def create(vault: DataFrame, sessions: DataFrame) -> DataFrame:
     """The vault with the given sessions (session_id) emptied, as new ones replace old ones."""
     return vault.join(sessions.select("session_id").distinct(), "session_id", "left_anti")

@@ -9,13 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.config import PROVIDERS, Options
+from cloakframe.config import Options
 from cloakframe.functions import model_api, tokens
 from cloakframe.functions import text as T
 from cloakframe.operators import detect, logs, metrics, ner, overlap, substitute, vault
 from cloakframe.plans import oracle as O  # noqa: N812
 from cloakframe.plans import pipeline
-from cloakframe.sources import files, model
+from cloakframe.sources import files, model, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,6 +229,13 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(documents(spark, sf_dir), "doc_id", detect.detect(F.col("text")))
 
 
+@query(f"WITH {O.findings(BOTH, 'id')} SELECT substr(id, 1, 1) AS kind, tier, entity_type, count(*)::BIGINT AS n FROM found GROUP BY ALL")
+def q13_tiers_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents and web pages by kind, tier and type."""
+    found = exploded(both(spark, sf_dir), "id", detect.detect(F.col("text")))
+    return found.groupBy(F.left("id", F.lit(1)).alias("kind"), "tier", "entity_type").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {O.findings()} SELECT tier, count(*)::BIGINT AS n FROM found GROUP BY tier")
 def q13_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.tier_counts(_found(spark, sf_dir))
@@ -245,6 +252,23 @@ def q14_session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.numbered(found, "session", ["turn", "s"]).withColumn("ord", long("ord"))
 
 
+@query(
+    f"""WITH {O.findings("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")}, firsts AS (
+      SELECT doc_id // 100000 AS session, value, min(doc_id * 1000000 + s) AS place, arg_min(entity_type, doc_id * 1000000 + s) AS entity_type FROM found GROUP BY ALL)
+    SELECT session, value, entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)::BIGINT AS ord, printf('<<%s_%02d>>', entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)) AS token FROM firsts"""
+)
+def q14_numbering_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vault of conversations whose turns come in three runs: tokens of earlier ones stay."""
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
+    found = exploded(turns, "k", detect.detect(F.col("text"))).select(F.col("k.conv_id").alias("session"), F.col("k.turn").alias("turn"), "s", "value", "entity_type")
+    found = scratch.written(found, "found")
+    first = found.where("turn < 2")
+    held = scratch.written(vault.numbered(first, "session", ["turn", "s"]).withColumn("ord", long("ord")), "vault")
+    for part in ("turn >= 2 and turn < 4", "turn >= 4"):
+        held = scratch.written(vault.extended(held, found.where(part), "session", ["turn", "s"]), "vault")
+    return held
+
+
 @query(f"WITH {O.findings()}, {O.vault()} SELECT doc_id, value, entity_type, ord, token FROM vault")
 def q14_document_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _made(spark, sf_dir).select("doc_id", F.explode("vault").alias("v"))
@@ -278,6 +302,16 @@ def q16_anonymized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir).select("doc_id", "anonymized", long("n_findings").alias("n_findings"), long("n_replaced").alias("n_replaced"), long("extra").alias("extra"), long("n_unique").alias("n_unique"))
 
 
+_ALL = f"{O.pipeline(BOTH, 'id')}, l AS (SELECT a.id, count(*) FILTER (contains(regexp_replace(a.out, '{O.TOKEN}', ' ', 'g'), v.value))::BIGINT AS leak_count FROM anon a LEFT JOIN vault v USING (id) GROUP BY a.id)"
+
+
+@query(f"{_ALL} SELECT id, out AS anonymized, n_findings, n_unique, len(regexp_extract_all(out, '{O.TOKEN}'))::BIGINT AS n_replaced, leak_count FROM anon JOIN l USING (id)")
+def q16_anonymized_with_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitution and leak check of documents and web pages, whose addresses are URLs for the most part."""
+    made = pipeline.anonymized(both(spark, sf_dir), "id")
+    return made.select("id", "anonymized", long("n_findings").alias("n_findings"), long("n_unique").alias("n_unique"), long("n_replaced").alias("n_replaced"), long(F.size("leaks")).alias("leak_count"))
+
+
 @query(f"WITH {O.findings()}, {O.vault()} SELECT doc_id, f.s, f.value, f.entity_type, coalesce(token, '?') AS token, length(token)::BIGINT AS token_length FROM found f LEFT JOIN vault v USING (doc_id, value)")
 def q17_findings_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _made(spark, sf_dir)
@@ -311,7 +345,7 @@ def q19_findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).rollup("tier").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.col("e") - F.col("s")).alias("chars"))
 
 
-@query("SELECT doc_id, text AS rehydrated, true AS exact, 0::BIGINT AS n_unmatched FROM documents")
+@query(f"{O.pipeline()}, back AS (SELECT a.doc_id, a.text, list_reduce(list_concat([a.out], coalesce(list(v.token || chr(1) || v.value) FILTER (v.token IS NOT NULL), [])), lambda x, t: replace(x, split_part(t, chr(1), 1), split_part(t, chr(1), 2))) AS rehydrated FROM anon a LEFT JOIN vault v USING (doc_id) GROUP BY a.doc_id, a.text, a.out) SELECT doc_id, rehydrated, rehydrated = text AS exact, len(regexp_extract_all(rehydrated, '{O.TOKEN}'))::BIGINT AS n_unmatched FROM back")
 def q20_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _answered(spark, sf_dir, model.echo)
     return made.select("doc_id", F.col("o.text").alias("rehydrated"), substitute.restores(F.col("o.text"), F.col("text")).alias("exact"), long(F.size("o.unmatched")).alias("n_unmatched"))
@@ -398,7 +432,7 @@ def q27_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(model.mangle, "mangled").join(judged(model.echo, "echoed")).join(judged(model.mangle, "failed", refused))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS n_lines, true AS equal FROM documents")
+@query(f"{O.pipeline()} SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS n_lines, len(string_split(text, chr(10))) = len(string_split(out, chr(10))) AS equal FROM anon")
 def q28_line_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir).select("doc_id", long(F.regexp_count("text", F.lit("\n"))).alias("n_lines"), metrics.line_parity(F.col("text"), F.col("anonymized")).alias("equal"))
 
@@ -448,10 +482,9 @@ _FREE_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[^\x20\x09-\
 )
 def q31_replaced_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-detection: free words of each text that are terms of the benchmark, and which of them were replaced."""
-    terms = read(spark, sf_dir, "benchmark").select(F.explode(metrics.free_words(F.col("text"))).alias("w")).agg(F.collect_set("w").alias("terms"))
-    made = _made(spark, sf_dir).select("doc_id", "text", "anonymized").join(F.broadcast(terms))
-    rows = T.barrier(made, "controls", F.array_sort(F.array_intersect(metrics.free_words(F.col("text")), "terms")))
-    return metrics.control_counts(rows).withColumn("replaced", F.array_join("replaced", ","))
+    terms = read(spark, sf_dir, "benchmark").select(F.explode(metrics.free_words(F.col("text"))).alias("w"))
+    made = _made(spark, sf_dir).select("doc_id", "text", "anonymized")
+    return metrics.replaced_terms(made, terms).withColumn("replaced", F.array_join("replaced", ","))
 
 
 _MESSAGE = "concat('user ', user_id, ' did ', event_type, ' ', props)"
@@ -468,6 +501,22 @@ def q32_redacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("seq", logs.redacted(F.col("message"), secrets).alias("message"))
 
 
+_LOG_SECRETS = "SELECT 'user ' || item_id || ' did' AS v FROM benchmark UNION ALL SELECT DISTINCT event_type FROM events"
+
+
+@query(
+    f"""WITH s AS (SELECT list(DISTINCT v ORDER BY length(v) DESC, v) AS vs FROM ({_LOG_SECRETS}) WHERE length(v) >= 4)
+    SELECT event_id AS seq, list_reduce(list_concat([{_MESSAGE}], vs), lambda a, v: replace(a, v, '[REDACTED]')) AS message FROM events, s"""
+)
+def q32_redacted_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without any secret of a table: half of them by one automaton, the others by their rarest part."""
+    records = _records(spark, sf_dir).select("seq", "message")
+    users = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("user "), F.col("item_id").cast("string"), F.lit(" did")).alias("secret"))
+    secrets = users.unionByName(read(spark, sf_dir, "events").select(F.col("event_type").alias("secret")).distinct())
+    even = logs.redacted_records(records.where("seq % 2 = 0"), secrets)
+    return even.unionByName(logs.redacted_records(records.where("seq % 2 = 1"), secrets, small=1))
+
+
 @query(
     f"""SELECT item_id, v AS value FROM (SELECT item_id, 'user ' || item_id || ' did' AS v FROM benchmark UNION ALL SELECT item_id, 'nobody' FROM benchmark)
     WHERE EXISTS (SELECT 1 FROM events WHERE contains({_MESSAGE}, v))"""
@@ -811,16 +860,6 @@ def q51_row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "status", F.col("status").isin("ok", "no_findings").alias("cleared"))
 
 
-@query(
-    """SELECT * FROM (VALUES ('groq', 120.0::DOUBLE, true, 'the endpoint needs a key'), ('llamacpp', 600.0, false, NULL), ('lmstudio', 600.0, false, NULL), ('mine', 120.0, false, 'no endpoint is configured'),
-    ('ollama', 600.0, false, NULL), ('openai', 120.0, true, 'the endpoint needs a key'), ('openrouter', 120.0, true, 'the endpoint needs a key'), ('together', 120.0, true, 'the endpoint needs a key'), ('vllm', 600.0, false, NULL)) AS t (provider, timeout, requires_key, unset)"""
-)
-def q52_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known endpoints and one of one's own: time limit, whether they need a key, and why nothing can be sent."""
-    rows = [(n, o.seconds(), o.endpoint().requires_key, o.unset()) for n in [*PROVIDERS, "mine"] for o in [Options.from_env({"AI_PROVIDER": f" {n} ", "MODEL_TIMEOUT": " "})]]
-    return spark.createDataFrame(rows, "provider string, timeout double, requires_key boolean, unset string")
-
-
 @query(f"{O.pipeline()} SELECT doc_id, out AS text, n_findings FROM anon")
 def flagship_cleared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What leaves the engine, with the number of findings behind it."""
