@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from cloakframe.operators import detect, logs, metrics, ner, overlap, substitute
 from cloakframe.plans import oracle as O  # noqa: N812
 from cloakframe.plans import pipeline
 from cloakframe.sources import files, model, scratch
+from cloakframe.streaming import log_source, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,22 +242,19 @@ def q13_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.tier_counts(_found(spark, sf_dir))
 
 
-@query(
-    f"""WITH {O.findings("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")}, firsts AS (
+_SESSIONS = f"""WITH {O.findings("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")}, firsts AS (
       SELECT doc_id // 100000 AS session, value, min(doc_id * 1000000 + s) AS place, arg_min(entity_type, doc_id * 1000000 + s) AS entity_type FROM found GROUP BY ALL)
     SELECT session, value, entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)::BIGINT AS ord, printf('<<%s_%02d>>', entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)) AS token FROM firsts"""
-)
+
+
+@query(_SESSIONS)
 def q14_session_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
     found = exploded(turns, "k", detect.detect(F.col("text"))).select(F.col("k.conv_id").alias("session"), F.col("k.turn").alias("turn"), "s", "value", "entity_type")
     return vault.numbered(found, "session", ["turn", "s"]).withColumn("ord", long("ord"))
 
 
-@query(
-    f"""WITH {O.findings("(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)")}, firsts AS (
-      SELECT doc_id // 100000 AS session, value, min(doc_id * 1000000 + s) AS place, arg_min(entity_type, doc_id * 1000000 + s) AS entity_type FROM found GROUP BY ALL)
-    SELECT session, value, entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)::BIGINT AS ord, printf('<<%s_%02d>>', entity_type, row_number() OVER (PARTITION BY session, entity_type ORDER BY place)) AS token FROM firsts"""
-)
+@query(_SESSIONS)
 def q14_numbering_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vault of conversations whose turns come in three runs: tokens of earlier ones stay."""
     turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
@@ -276,6 +274,24 @@ def q14_document_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "v.value", "v.entity_type", number.alias("ord"), "v.token")
 
 
+@query(_SESSIONS)
+def q14_numbering_of_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vault of a stream: turns arrive in three runs and out of order, and a last row moves the watermark beyond them."""
+    folder = f"{scratch.shared_dir(spark)}/turns-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", at.alias("ts"), F.col("turn").alias("seq"), "text")
+    close = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"))
+    for part in (2, 0, 1, None):
+        (close if part is None else turns.where((F.col("conv_id") + F.col("seq")) % 3 == part)).write.mode("append").parquet(f"{folder}/in")
+        stream = streams.number_stream(spark.readStream.schema(turns.schema).parquet(f"{folder}/in"), "conv_id", "1 hour", None)
+        running = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        try:
+            running.awaitTermination()
+        finally:
+            running.stop()
+    return spark.read.parquet(f"{folder}/out").select(F.col("conv_id").alias("session"), "value", "entity_type", long("ord").alias("ord"), "token")
+
+
 # --- substitution -------------------------------------------------------------------------------
 
 
@@ -527,10 +543,11 @@ def q33_label_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.leaked(_records(spark, sf_dir), own.unionByName(items.select("item_id", F.lit("nobody").alias("value"))))
 
 
-@query(
-    """SELECT seq, logger, latest FROM (SELECT event_id AS seq, event_type AS logger, max(event_id) OVER () AS latest, row_number() OVER (ORDER BY event_id DESC) AS r FROM events)
+_NEWEST = """SELECT seq, logger, latest FROM (SELECT event_id AS seq, event_type AS logger, max(event_id) OVER () AS latest, row_number() OVER (ORDER BY event_id DESC) AS r FROM events)
     WHERE r <= 2000 AND seq > latest - 500"""
-)
+
+
+@query(_NEWEST)
 def q34_newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     held = logs.newest(records)
@@ -538,6 +555,19 @@ def q34_newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(F.broadcast(top)).where(F.col("seq") > F.col("latest") - 500).select("seq", "logger", "latest")
 
 
+@query(_NEWEST)
+def q34_newest_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a log that grows: it is read as a stream in two runs, and the second goes on at the number where the first ended."""
+    folder = f"{scratch.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    records = _records(spark, sf_dir)
+    half = records.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        log_source.append(records.where(part), f"{folder}/log")
+        kept = log_source.keep_newest(log_source.read(spark, f"{folder}/log", -1), f"{folder}/held", f"{folder}/checkpoint")
+    top = kept.agg(F.max("seq").alias("latest"))
+    return kept.join(F.broadcast(top)).where(F.col("seq") > F.col("latest") - 500).select("seq", "logger", "latest")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id)::BIGINT AS seq FROM events")
 def q34_sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.sequenced(read(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "seq")

@@ -66,7 +66,7 @@ AGAIN_STATUS = (429, 500, 502, 503, 504)
 LEDGER = "digest string, status int, answer string, reason string, seconds double"
 
 
-def _fs(uri: str) -> tuple[fs.FileSystem, str]:
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith(("file:", "/")):
         return fs.LocalFileSystem(), "/" + unquote(uri.removeprefix("file:")).lstrip("/")
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
@@ -87,7 +87,7 @@ def send(requests: DataFrame, factory: Callable[[], Transport], ledger: str, thr
     under the partition's number, and goes on from there. Each batch is a file that is renamed when it is whole. `threads` requests of
     a task are open at once; what may pass is tried again after a pause."""
     spark = requests.sparkSession
-    store, at = _fs(ledger)
+    store, at = filesystem(ledger)
     store.create_dir(at, recursive=True)
     done = recorded(spark, ledger).where(F.col("status").between(200, 299)).select("digest")
     run_id = uuid.uuid4().hex[:12]
@@ -108,7 +108,7 @@ def send(requests: DataFrame, factory: Callable[[], Transport], ledger: str, thr
         return status, answer, reason, round(time.monotonic() - began, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _fs(ledger)
+        store, at = filesystem(ledger)
         folder = f"{at}/{run_id}/{TaskContext.get().partitionId()}"
         store.create_dir(folder, recursive=True)
         known: set[str] = set()
