@@ -62,6 +62,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), keep_text=False).select("doc_id", *secret_scan.RESULT)
 
 
+def planted_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over documents with parts of credentials planted in each."""
+    return secret_scan.scan(secret_scan.planted(documents(spark, sf_dir)), keep_text=False).select("doc_id", *secret_scan.RESULT)
+
+
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.scores(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -98,12 +103,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_source_divergence,
         pipeline,
         minhash_classes,
+        planted_secret_links,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op7_mixing_to_weights": mixing.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "planted_secret_links": secret_scan.PLANTED_ORACLE,
     "op11_importance_resampling": importance.ORACLE,
     "op12_chat_formatting": chat.ORACLE,
     "op13_source_divergence": divergence.ORACLE,

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.functions.text import barrier
+from cloakframe.functions.text import barrier, between, blocks, let, running
 from cloakframe.llm import common
 from cloakframe.plans import oracle
 
@@ -55,21 +55,17 @@ def found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column
     """Matches of a pattern as array<struct<s, k, e>>, offsets in code points, end exclusive.
 
     least_value: the shortest group 2 that counts."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_value else values
-    # Running offsets: the fold keeps the end of the last match beside the list.
-    none = F.array().cast(SPANS)
-    step = F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("p"), values.alias("v"), tails.alias("t"))
-
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["end"] + F.length(x["p"])
+    whole = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    zipped = lambda values: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("p"), values.alias("v"), (whole(2) if least_value else values).alias("t"))
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        s = end + F.length(x["p"])
         e = s + F.length(x["v"])
-        one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
-        keep = F.when(F.length(x["t"]) >= least_value, F.concat(acc["out"], one)).otherwise(acc["out"]) if least_value else F.concat(acc["out"], one)
-        return F.struct(e.alias("end"), keep.alias("out"))
+        return e, F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.length(x["t"]).alias("n"))
 
-    walked = F.aggregate(step, F.struct(F.lit(0).alias("end"), none.alias("out")), add)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    every = running(let(whole(0), zipped), F.lit(0), step, "struct<s:int,k:int,e:int,n:int>")
+    kept = F.transform(F.filter(every, lambda x: x["n"] >= least_value), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(SPANS))
 
 
 def searched(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -134,14 +130,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rows = with_links(searched(docs))
     cut = F.filter(_found(), lambda x: x["k"].isin(*REDACTED))
     text = F.col("text")
-    walked = F.aggregate(
-        cut,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    # Each span with where the ones before it end: it begins a mark, or goes on with one.
+    step = lambda at, x: (F.greatest(at, x["e"]), F.struct(at.alias("a"), x["s"].alias("b")))
+    marks = F.filter(running(cut, F.lit(0), step, "struct<a:int,b:int>"), lambda x: x["b"] >= x["a"])
+    end = F.array_max(F.transform(cut, lambda x: x["e"]))
+    walked = let(blocks(text), lambda parts: F.concat(F.array_join(F.transform(marks, lambda x: F.concat(between(parts, x["a"], x["b"]), F.lit(mark))), ""), between(parts, end, F.length(text))))
     # Evaluated once, behind a generator: both columns that it changes read the result.
     rows = barrier(rows, NEW, F.when(F.size(cut) > 0, walked))
     new = {"text": F.coalesce(NEW, "text"), "n_chars": F.coalesce(F.length(NEW).cast("long"), "n_chars") if "n_chars" in docs.columns else None}
@@ -154,9 +147,10 @@ def _hits(kind: int, pattern: str) -> str:
     return f"SELECT doc_id, {kind} AS k, s, s + length(value) AS e FROM ({oracle.places('whole', 'doc_id', 'text', plain)}) WHERE {keep}"
 
 
-#: DuckDB SQL for scan(). It has no look-around: an opaque value is a run whose neighbours are tested apart.
-ORACLE = f"""
-WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+def sql(source: str) -> str:
+    """DuckDB SQL for scan() of rows (doc_id, text). It has no look-around: an opaque value is a run whose neighbours are tested apart."""
+    return f"""
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM {source}),
 runs AS (
   SELECT doc_id, list_sum(list_transform(parts[1:(i - 1)], lambda x: length(x)))::BIGINT AS s, parts[i] AS value, regexp_replace(parts[i], '=+$', '') AS run, regexp_matches(parts[i + 1], '^[A-Za-z0-9+/_-]') OR (parts[i + 1] = '' AND i + 1 < len(parts)) AS goes_on
   FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM (SELECT doc_id, string_split(replace({oracle.marked("text", "[A-Za-z0-9+/_-]{20,}=*")}, {oracle.CLOSE}, {oracle.OPEN}), {oracle.OPEN}) AS parts FROM whole))),
@@ -173,3 +167,22 @@ SELECT w.doc_id, count(*) FILTER (k = 0)::BIGINT AS n_assign, count(*) FILTER (k
   sha256(coalesce(string_agg(one, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(one, ',' ORDER BY s, k), '') AS spans
 FROM whole w LEFT JOIN listed l USING (doc_id) GROUP BY w.doc_id
 """
+
+
+ORACLE = sql("documents")
+
+
+#: What planted() appends: parts that belong together, single ones, and some that stand too far apart. {0} is the value.
+PLANTS = ("login: user{1} KEY={0}", "login: user{1}, nothing else", "https://store{1}.example.org " + "." * (SCOPE + 40) + " {0}", "host = db{1}.example.org\nlogin: user{1}\npassphrase {0}")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with parts of credentials behind every text: the test tables hold no linked ones."""
+    value = F.concat(F.lit("K3"), F.upper(F.md5(F.col("doc_id").cast("string").cast("binary"))))
+    pieces = lambda plant: [x for part in re.split(r"(\{\d\})", plant) for x in [value if part == "{0}" else F.col("doc_id").cast("string") if part == "{1}" else F.lit(part)]]
+    chosen = F.element_at(F.array(*(F.concat(*pieces(p)) for p in PLANTS)), (F.pmod("doc_id", F.lit(len(PLANTS))) + 1).cast("int"))
+    return docs.withColumn("text", F.concat(common.whole_text(), F.lit("\n"), chosen))
+
+
+_PLANTS = ", ".join("'" + p.replace("{0}", "' || 'K3' || upper(md5(doc_id::VARCHAR)) || '").replace("{1}", "' || doc_id || '").replace("\n", "' || chr(10) || '") + "'" for p in PLANTS)
+PLANTED_ORACLE = sql(f"(SELECT doc_id, coalesce(text, '') || chr(10) || [{_PLANTS}][(doc_id % {len(PLANTS)} + 1)::INT] AS text FROM documents)")

@@ -29,7 +29,7 @@ def oracle(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_chat_formatting", "op13_source_divergence"])
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_chat_formatting", "op13_source_divergence", "planted_secret_links"])
 def test_equals_sql(spark, sf_dir, oracle, name):
     got = queries.QUERIES[name](spark, sf_dir)
     want = oracle.execute(queries.ORACLES[name])
