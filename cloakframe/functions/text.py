@@ -293,6 +293,7 @@ def strip_icons(text: Column, runs: Column) -> Column:
 
 def metadata_block(metadata: Column) -> Column:
     """The non-blank entries of a metadata map as a text block; null where there are none."""
+    # The keys that are shown, in their order.
     keys = F.array(*map(F.lit, ("Author", "Title", "Subject", "Creator", "Producer")))
     rows = F.filter(F.transform(keys, lambda k: F.struct(k.alias("k"), F.trim(F.element_at(metadata, k)).alias("v"))), lambda x: F.length(x["v"]) > 0)
     lines = F.transform(rows, lambda x: F.concat_ws(": ", x["k"], x["v"]))
