@@ -168,6 +168,9 @@ def test_media_of_damaged_streams(make, spark):
     assert got[6]["payload_sha256"] is None
     assert got[7]["payload_sha256"] is not None
     assert {x["doc_id"] for x in media.pcm_blocks(broken).where("error is null").collect()} == {0, 1, 4, 5, 7}
+    parts = {x["doc_id"]: x for x in media.samples_at(broken, 0, 20).collect()}
+    assert {i for i, x in parts.items() if x["error"]} == {2, 3} or {i for i, x in parts.items() if x["error"]} == {2, 3, 6}
+    assert bytes(parts[7]["part"]) == media.payload((EDGES[7] or "").encode())[:20]
 
 
 def test_flac_reads_predictors_of_several_widths(monkeypatch):
@@ -206,6 +209,12 @@ def test_media(make):
     joined = b"".join(bytes(b["pcm"]) for b in blocks)
     assert bytes(x ^ 0x80 for x in joined) == media.payload(EDGES[11].encode())
     assert {r["doc_id"]: bytes(r["part"]) for r in media.samples_at(stored, 100, 50).collect()}[6] == EDGES[6].encode()[100:150]
+    for size in (media.BLOCK, 1000):
+        for start, count in ((0, 10), (570, 900), (999, 2), (1 << 30, 5)):
+            want = {i: part for i, text in enumerate(EDGES) if (part := media.payload((text or "").encode())[start : start + count])}
+            assert {r["doc_id"]: bytes(r["part"]) for r in media.seek(media.pcm_blocks(stored, size), start, count).collect()} == want
+    written = media.read_back(stored).blocks
+    assert {r["doc_id"]: r["n"] for r in written.groupBy("doc_id").agg({"pcm": "count"}).withColumnRenamed("count(pcm)", "n").collect()} == {i: r["pcm_blocks"] for i, r in rows.items()}
 
 
 # --- token counts ----------------------------------------------------------------------------
