@@ -12,7 +12,8 @@ the same text). Equal strings must meet, whatever text they stand in:
    built column by column (column_bwt). Suffixes with a common prefix of WIDTH are equal
    windows; all but the first of a class go.
 
-Equal pieces are told by anchor and digest, 128 bits; the transform decides among the different ones.
+Equal pieces are told by a BLAKE2b digest of 128 bits under a key drawn for each run, so no text can be made to
+collide; the transform decides among the different ones.
 
 Frequent anchors, which a share of the documents shows beforehand, are dealt over tasks by anchor and digest, and all
 their different pieces go on. An anchor with more than HOT different pieces is cut again by longer grams, at last by
@@ -27,6 +28,7 @@ not asked for are dropped.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +56,18 @@ PLACE = np.uint64((1 << 24) - 1)
 # --- pieces --------------------------------------------------------------------------------
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+def digests(raw: bytes, begin: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """Two 64-bit halves of the keyed digest of each span of raw."""
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=key).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, np.uint64).reshape(-1, 2)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, gram: int, key: bytes = b"") -> tuple[np.ndarray, ...]:
     """(text, start, end, anchor, digest) of every piece of a block's texts, places in the block."""
     n, span = len(data), WIDTH - gram + 1
     none = np.zeros(0, np.int64)
     if n < WIDTH:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64).reshape(-1, 2)
     prefix = common.prefix_hash(data)
     _, down = common.powers(n + 1)
     hashes = common.mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
@@ -74,12 +82,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray
     least = (np.minimum(tail[:windows], head[span - 1 : span - 1 + windows]) & PLACE).astype(np.int64)
     start = np.flatnonzero(np.arange(windows) + WIDTH <= np.repeat(offsets[1:], np.diff(offsets))[:windows])
     if not len(start):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64).reshape(-1, 2)
     least = least[start]
     first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)]))
     begin = start[first]
     end = start[np.append(first[1:], len(start)) - 1] + WIDTH
-    return np.searchsorted(offsets, begin, side="right") - 1, begin, end, hashes[least[first]], common.span_hash(prefix, begin, end)
+    return np.searchsorted(offsets, begin, side="right") - 1, begin, end, hashes[least[first]], digests(data.tobytes(), begin, end, key)
 
 
 def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,33 +104,33 @@ def _packed(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (start << 8) | size
 
 
-PIECE = "anchor long, digest long, k long, place long, done boolean, hot boolean"
+PIECE = "anchor long, digest long, digest2 long, k long, place long, done boolean, hot boolean"
 
 
 def _piece_batch(anchor, digest, k, place, done, hot, extra=()) -> pa.RecordBatch:  # noqa: ANN001
-    names = ["anchor", "digest", "k", "place", "done", "hot", "piece"]
-    columns = [pa.array(x.view(np.int64)) for x in (anchor, digest)] + [pa.array(k), pa.array(place), pa.array(done), pa.array(hot), *extra]
+    names = ["anchor", "digest", "digest2", "k", "place", "done", "hot", "piece"]
+    columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (anchor, digest[:, 0], digest[:, 1])] + [pa.array(k), pa.array(place), pa.array(done), pa.array(hot), *extra]
     return pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
 
 def firsts(anchor: np.ndarray, digest: np.ndarray, k: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, anchors, done): pieces sorted so that the first of equal ones keeps its anchor; the others are done, as
     their windows have occurred before, and are dealt out by their place instead."""
-    order = np.lexsort((place, k, digest, anchor))
+    order = np.lexsort((place, k, digest[:, 1], digest[:, 0], anchor))
     k, place, anchor, digest = k[order], place[order], anchor[order], digest[order]
     done = np.zeros(len(k), bool)
-    done[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
+    done[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1]).all(axis=1)
     return order, np.where(done, common.mix((k * 1_000_003 + place).view(np.uint64)), anchor), done
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
+def frequent(docs: DataFrame, key: bytes = b"") -> np.ndarray:
     """Anchors that many pieces of a share of docs have, sorted; their number is bounded by that of the partitions."""
-    shown = anchored(docs.where(F.pmod(F.xxhash64("k"), F.lit(SHOWN)) == 0)).where("not done")
+    shown = anchored(docs.where(F.pmod(F.xxhash64("k"), F.lit(SHOWN)) == 0), key=key).where("not done")
     most = shown.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.col("n").desc(), "anchor").limit(FREQUENT * common.partitions(docs.sparkSession))
     return np.sort(most.select("anchor").toArrow()["anchor"].to_numpy().view(np.uint64))
 
 
-def anchored(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
+def anchored(docs: DataFrame, often: np.ndarray | None = None, key: bytes = b"") -> DataFrame:
     """(PIECE) of every text of docs (k, text), of a block's with firsts(). Anchors in `often` are hot."""
     often = np.zeros(0, np.uint64) if often is None else often
     shared = docs.sparkSession.sparkContext.broadcast(often)
@@ -132,7 +140,7 @@ def anchored(docs: DataFrame, often: np.ndarray | None = None) -> DataFrame:
             keys = batch.column(0).to_numpy()
             for rows, block, at in common.blocks(batch):
                 for first, ahead, data, offsets in parts(block, at):
-                    text, begin, end, anchor, digest = pieces(data, offsets, GRAM)
+                    text, begin, end, anchor, digest = pieces(data, offsets, GRAM, key)
                     k = keys[rows][text + first]
                     place = _packed(begin - offsets[text] + ahead, end - begin)
                     order, anchor, done = firsts(anchor, digest, k, place)
@@ -145,23 +153,23 @@ def resolve(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
     """Of PIECE rows: (k, place, anchor, open[, piece]). Not open: all windows have occurred before;
     open: the first of its kind among different pieces of one anchor, or of a hot one. Others are left out."""
     n = common.partitions(rows.sparkSession)
-    route = F.when(F.col("hot"), F.xxhash64("anchor", "digest")).otherwise(F.col("anchor"))
-    rows = rows.repartition(n, route).sortWithinPartitions("anchor", "digest", "k", "place")
+    route = F.when(F.col("hot"), F.xxhash64("anchor", "digest", "digest2")).otherwise(F.col("anchor"))
+    rows = rows.repartition(n, route).sortWithinPartitions("anchor", "digest", "digest2", "k", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # anchor and digest of the row before
+        last: tuple[int, int, int] | None = None  # anchor and digest of the row before
         waiting: pa.RecordBatch | None = None  # the only kind of the current anchor so far
         for batch in batches:
             if not len(batch):
                 continue
-            anchor, digest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            done = batch.column(4).to_numpy(zero_copy_only=False)
+            anchor, digest, other = (batch.column(c).to_numpy() for c in range(3))
+            done = batch.column(5).to_numpy(zero_copy_only=False)
             again = np.concatenate([[last is not None and anchor[0] == last[0]], anchor[1:] == anchor[:-1]])
-            same = again & np.concatenate([[last is not None and digest[0] == last[1]], digest[1:] == digest[:-1]])
+            same = again & np.concatenate([[last is not None and (digest[0], other[0]) == last[1:]], (digest[1:] == digest[:-1]) & (other[1:] == other[:-1])])
             kind = ~same & ~done
             group = np.cumsum(~again) - (not again[0])
             kinds = np.bincount(group, kind, group[-1] + 1)
-            kinds[group[batch.column(5).to_numpy(zero_copy_only=False)]] += 2  # others may be in another task
+            kinds[group[batch.column(6).to_numpy(zero_copy_only=False)]] += 2  # others may be in another task
             joins = bool(again[0])
             if joins:  # the first group goes on from the batch before
                 kinds[0] += 1
@@ -178,14 +186,14 @@ def resolve(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
                 wait = batch.slice(int(at[0]), 1) if len(at) else waiting
             yield _resolved(batch, np.flatnonzero(kind & (kinds[group] > 1)), True, with_bytes)
             yield _resolved(batch, np.flatnonzero(same | done), False, with_bytes)
-            waiting, last = wait, (int(anchor[-1]), int(digest[-1]))
+            waiting, last = wait, (int(anchor[-1]), int(digest[-1]), int(other[-1]))
 
     return rows.mapInArrow(run, "k long, place long, anchor long, open boolean" + ", piece binary" * with_bytes)
 
 
 def _resolved(batch: pa.RecordBatch, rows: np.ndarray, open_: bool, with_bytes: bool) -> pa.RecordBatch:
     some = batch.take(pa.array(rows, pa.int64()))
-    columns = [some.column(2), some.column(3), some.column(0), pa.array(np.full(len(rows), open_)), *([some.column(6)] if with_bytes else [])]
+    columns = [some.column(3), some.column(4), some.column(0), pa.array(np.full(len(rows), open_)), *([some.column(7)] if with_bytes else [])]
     return pa.RecordBatch.from_arrays(columns, ["k", "place", "anchor", "open", "piece"][: len(columns)])
 
 
@@ -225,8 +233,11 @@ def repeated(k: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tuple[np
     order = np.lexsort((at, k[own], digest, end - begin))
     same = np.zeros(len(order), bool)
     same[1:] = (digest[order][1:] == digest[order][:-1]) & ((end - begin)[order][1:] == (end - begin)[order][:-1])
-    copies, kept = order[same], order[~same]
     raw = data.tobytes()
+    for i in np.flatnonzero(same).tolist():  # equal in hash and length: equal byte for byte?
+        a, b = order[i - 1], order[i]
+        same[i] = raw[begin[a] : end[a]] == raw[begin[b] : end[b]]
+    copies, kept = order[same], order[~same]
     rows = column_bwt.construct([raw[begin[i] : end[i]] for i in kept])
     group, string, length = column_bwt.repeats(rows, WIDTH)
     own_k, own_at = k[own[kept]][string], at[kept][string] + (end - begin)[kept][string] - length
@@ -334,7 +345,7 @@ def with_bytes(open_: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, k long, place long, piece binary")
 
 
-def recut(rows: DataFrame, gram: int) -> DataFrame:
+def recut(rows: DataFrame, gram: int, key: bytes = b"") -> DataFrame:
     """PIECE rows with bytes: the pieces of `rows` cut by longer grams, of a batch's with firsts(). All anchors are hot,
     but for whole windows, which are their own anchors."""
 
@@ -344,7 +355,7 @@ def recut(rows: DataFrame, gram: int) -> DataFrame:
             strings = batch.column(3).to_pylist()
             data = np.frombuffer(b"".join(strings), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-            text, begin, end, anchor, digest = pieces(data, offsets, gram)
+            text, begin, end, anchor, digest = pieces(data, offsets, gram, key)
             raw = data.tobytes()
             k, at = keys[text], _packed((place[text] >> 8) + begin - offsets[text], end - begin)
             order, anchor, done = firsts(anchor, digest, k, at)
@@ -356,7 +367,8 @@ def recut(rows: DataFrame, gram: int) -> DataFrame:
 
 def spans(docs: DataFrame, texts: DataFrame, hot: int = HOT, collection: int = COLLECTION) -> DataFrame:
     """(k, s, e): runs of bytes to remove; they may overlap."""
-    found = common.written(resolve(anchored(docs, frequent(docs))), "pieces")
+    key = os.urandom(16)
+    found = common.written(resolve(anchored(docs, frequent(docs, key), key)), "pieces")
     span = [F.shiftright("place", 8).alias("s"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255)).alias("e")]
     gone = found.where(~F.col("open")).select("k", *span)
     open_ = found.where("open").select("anchor", "k", "place")
@@ -368,7 +380,7 @@ def spans(docs: DataFrame, texts: DataFrame, hot: int = HOT, collection: int = C
     gone = gone.unionByName(sorted_collections(rows.join(crowded, "anchor", "left_anti"), collection))
     rows = rows.join(crowded, "anchor", "left_semi")
     for gram in LONGER:
-        again = common.written(resolve(recut(rows, gram), with_bytes=True), "recut")
+        again = common.written(resolve(recut(rows, gram, key), with_bytes=True), "recut")
         gone = gone.unionByName(again.where(~F.col("open")).select("k", *span))
         open_ = again.where("open").select("anchor", "k", "place", "piece")
         if gram == WIDTH:  # a piece is one window: no anchor has two kinds, but for equal hashes
