@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,23 +97,43 @@ def replaced(values: Column, text: Column, anonymized: Column) -> Column:
     return F.when(text.eqNullSafe(anonymized), F.array().cast("array<string>")).otherwise(lost)
 
 
+_FREE_WORD = regex.compile(rf"{_FREE[0]}\p{{L}}{{3,}}+{_FREE[1]}")
+
+
+def word_losses(made: DataFrame, key: str) -> DataFrame:
+    """(key, w, lost) of (key, text, anonymized): the distinct free words of each text, and whether each stands free less often in the
+    anonymized text (null: as the text); and a row without a word for each. Words are counted in Arrow batches, as a fold in
+    the JVM has no counter that grows in place."""
+    kind = made.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words, lost = [], [], []
+            for i, (text, anonymized) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                before = Counter(_FREE_WORD.findall(text.as_py() or ""))
+                after = Counter(_FREE_WORD.findall(anonymized.as_py())) if anonymized.is_valid else before
+                rows += [i] * (len(before) + 1)
+                words += [None, *before]
+                lost += [False, *(n > after[w] for w, n in before.items())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(words, pa.string()), pa.array(lost, pa.bool_())], [key, "w", "lost"])
+
+    return made.select(key, "text", "anonymized").mapInArrow(run, f"`{key}` {kind}, w string, lost boolean")
+
+
 def replaced_terms(made: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_controls, n_replaced, replaced) of texts (key, text, anonymized): which terms (w) stand free in a text, and which of
     them stand there less often after substitution.
 
-    A text that nothing was replaced in passes on its distinct words; others pass on every word, once for the text and once
-    against it for what became of it. The words meet the terms by an equality, and only terms are summed."""
-    entry = lambda n: lambda w: F.struct(w.alias("w"), F.lit(n).alias("d"))
-    before, after = free_words(F.col("text")), free_words(F.col("anonymized"))
-    same = F.transform(F.array_distinct(before), entry(0))
-    signed = F.concat(F.transform(before, entry(1)), F.transform(after, entry(-1)), F.transform(F.array_distinct(before), entry(0)))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("d")))
-    rows = made.select(key, F.explode(F.concat(none, F.when(F.col("text").eqNullSafe(F.col("anonymized")), same).otherwise(signed))).alias("x")).select(key, "x.*")
+    Words are counted within their row, so a text passes on its distinct words alone, and those meet the terms by an equality.
+    Rows of one key count as one text; a text without a term has a row of zeros."""
+    changed = F.when(~F.col("text").eqNullSafe(F.col("anonymized")), F.coalesce("anonymized", F.lit("")))
+    rows = word_losses(made.select(key, "text", changed.alias("anonymized")), key)
     known = terms.select(F.col("w").alias("_w")).distinct()
-    met = rows.where("w is not null").join(known, F.col("w") == F.col("_w"), "left_semi").unionByName(rows.where("w is null"))
-    # A word that only substitution made is no control of the text: it has no row of its own.
-    each = met.groupBy(key, "w").agg(F.sum("d").alias("lost"), F.max(F.col("d") >= 0).alias("own")).where("own")
-    lost = F.array_sort(F.collect_list(F.when(F.col("lost") > 0, F.col("w"))))
+    # One join, so that the texts are made once. What keeps a text without terms meets no word, and each goes its own way.
+    own = F.coalesce("w", F.concat(F.lit("#"), F.col(key).cast("string")))
+    met = rows.join(known, own == F.col("_w"), "left").where("w is null or _w is not null")
+    each = met.groupBy(key, "w").agg(F.max("lost").alias("lost"))
+    lost = F.array_sort(F.collect_list(F.when(F.col("lost"), F.col("w"))))
     out = each.groupBy(key).agg(F.count("w").alias("n_controls"), lost.alias("replaced"))
     return out.select(key, "n_controls", F.size("replaced").cast("long").alias("n_replaced"), "replaced")
 
