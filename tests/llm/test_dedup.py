@@ -91,6 +91,39 @@ def test_substrings_long_parts(make, monkeypatch):
     assert sorted(seen) == list(range(len(data) - exact_substrings.WIDTH + 1))
 
 
+def test_substrings_do_not_trust_hashes(monkeypatch):
+    r = random.Random(8)
+    shared = [bytes(r.choice(b"abcd") for _ in range(130)) for _ in range(3)]
+    strings = [s[: r.randint(101, 130)] for s in shared for _ in range(4)] + [bytes(r.choice(b"abcd") for _ in range(130)) for _ in range(4)]
+    k, start = np.arange(len(strings)), np.zeros(len(strings), np.int64)
+
+    def gone():
+        marks = set()
+        for own, a, b in zip(*exact_substrings.repeated(k, start, strings), strict=True):
+            marks.update((int(own), i) for i in range(a, b))
+        return marks
+
+    want, seen = set(), set()
+    for i, text in enumerate(strings):
+        for at in range(len(text) - exact_substrings.WIDTH + 1):
+            window = text[at : at + exact_substrings.WIDTH]
+            if window in seen:
+                want.update((i, at + j) for j in range(exact_substrings.WIDTH))
+            seen.add(window)
+    assert gone() == want
+    monkeypatch.setattr(exact_substrings.common, "span_hash", lambda prefix, a, b: np.zeros(len(a), np.uint64))
+    assert gone() == want
+
+
+def test_substrings_keyed_digests():
+    raw, begin, end = b"abcabc", np.array([0, 3, 1]), np.array([3, 6, 4])
+    one, other = (exact_substrings.digests(raw, begin, end, key) for key in (b"1", b"2"))
+    assert (one[0] == one[1]).all()
+    assert (one[0] != one[2]).any()
+    assert (one != other).any()
+    assert exact_substrings.digests(raw, begin[:0], end[:0], b"1").shape == (0, 2)
+
+
 def test_empty_tables(make, spark):
     none = make("x").limit(0)
     assert exact_substrings.remove(none).count() == 0
