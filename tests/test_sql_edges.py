@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from cloakframe.functions import text as T
 from cloakframe.plans import catalogue
 
 
@@ -17,3 +19,19 @@ def test_handles_of_names_with_a_sharp_s(spark, tmp_path):
     got = {(r["doc_id"], r["s"], r["value"]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(f"SELECT doc_id, s, value FROM ({catalogue.ORACLES[name]})").fetchall())
     assert any("ẞ" in value for _, _, value in got)
+
+
+def test_texts_without_a_part_of_a_match_are_not_searched(spark):
+    """What plain search leaves out has no match, in any case of the letters."""
+    texts = ["see WWW.a.org", "wWw.b.org", "LinkedIn.cOM/in/x", "github.Com/y", "HTTPS://c.com", "now. from/to", "a@b.org", "@", "", None, "ſ https://d", "linKedin.com/z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for kind in T.HELD:
+        got = df.select(T.matches(F.col("t"), kind).alias("a"), T.places(F.col("t"), T.PATTERNS[kind]).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+        assert any(r["a"] for r in got)
+
+
+def test_header_behind_blank_lines(spark):
+    texts = [" \n \n \tAnn Lee  \nx", "\n\n", "Ann Lee", "\x1cAnn Lee\r\nx", "x\nAnn Lee"]
+    got = [r["f"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(T.header_findings(F.col("t")).alias("f")).collect()]
+    assert [[(f["start"], f["value"]) for f in found] for found in got] == [[(6, "Ann Lee")], [], [(0, "Ann Lee")], [(1, "Ann Lee")], []]
