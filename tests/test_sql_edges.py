@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
+from cloakframe.functions import tokens
 from cloakframe.plans import catalogue
 
 
@@ -35,3 +36,13 @@ def test_header_behind_blank_lines(spark):
     texts = [" \n \n \tAnn Lee  \nx", "\n\n", "Ann Lee", "\x1cAnn Lee\r\nx", "x\nAnn Lee"]
     got = [r["f"] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(T.header_findings(F.col("t")).alias("f")).collect()]
     assert [[(f["start"], f["value"]) for f in found] for found in got] == [[(6, "Ann Lee")], [], [(0, "Ann Lee")], [(1, "Ann Lee")], []]
+
+
+def test_remnants_are_searched_once(spark):
+    """The dear pattern stands once in the plan, and what was altered is still reported."""
+    rows = spark.sql("select * from values ('see <<url_01>> and URL_02', map('<<URL_01>>', 'a', '<<URL_02>>', 'b')), ('see <<url_01>>', cast(map() as map<string,string>)) as x(t, r)")
+    found = rows.select(tokens.altered_tokens(F.col("t"), F.col("r"), F.array().cast("array<string>")).alias("f"))
+    assert found._jdf.queryExecution().analyzed().toString().count("⟪") == 1
+    assert [[w.strip() for w in r["f"]] for r in found.collect()] == [["<<url_01>>", "URL_02"], []]
+
+
