@@ -46,3 +46,6 @@ def test_remnants_are_searched_once(spark):
     assert [[w.strip() for w in r["f"]] for r in found.collect()] == [["<<url_01>>", "URL_02"], []]
 
 
+def test_verdicts_of_several_exchanges_are_one_pass(spark, sf_dir):
+    plan = catalogue.q27_verdict(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
