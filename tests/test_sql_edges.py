@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
 from cloakframe.functions import tokens
+from cloakframe.operators import ner
 from cloakframe.plans import catalogue
 
 
@@ -49,3 +50,20 @@ def test_remnants_are_searched_once(spark):
 def test_verdicts_of_several_exchanges_are_one_pass(spark, sf_dir):
     plan = catalogue.q27_verdict(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1
+
+
+def test_model_tier_passes_on_rows_before_a_batch_ends(spark, monkeypatch):
+    """What a task holds is bounded by findings and bytes, and every row comes back with its own."""
+    monkeypatch.setattr(ner, "PASSED", 3)
+    real = ner.pa.array
+    texts = ["ab", "a", None, "", "abab", "x", "aaaa", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    run = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, s: run.update(f=f) or self)
+    ner.with_ner(df, lambda: lambda t: [(i, i + 1, "PERSON", 0.9) for i, c in enumerate(t) if c == "a"])
+    batch = ner.pa.RecordBatch.from_arrays([real(list(range(8)), ner.pa.int64()), real(texts, ner.pa.string())], ["doc_id", "text"])
+    made = list(run["f"](iter([batch])))
+    sizes = [len(b) for b in made]
+    assert len(sizes) > 1 and sum(sizes) == 8
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [len(r["ner"]) for r in rows] == [1, 1, 0, 0, 2, 0, 4, 0] and [r["doc_id"] for r in rows] == list(range(8))
