@@ -5,7 +5,7 @@ Every row keeps its own error; a bad file never stops the job."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,6 +146,10 @@ Decoder = Callable[[bytes], tuple[list[tuple[str, list[tuple[str, str]]]], dict[
 _PAGES = f"struct<pages:array<struct<text:string,runs:array<struct<font:string,text:string>>,error:string>>,metadata:{_META},failure:string>"
 
 
+#: Bytes of files after which a task passes on their pages, rather than hold those of a whole batch.
+PASSED_BYTES = 2 << 20
+
+
 def pdf_decoded(content: Column, decoder: Decoder | None) -> Column:
     """Pages of a PDF file through a decoder; a page may carry its own failure as an exception in place of its text."""
 
@@ -164,8 +168,17 @@ def pdf_decoded(content: Column, decoder: Decoder | None) -> Column:
         except Exception as e:  # noqa: BLE001  a bad file is a row with an error
             return [], {}, str(e)
 
-    def run(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(v) for v in raw], columns=["pages", "metadata", "failure"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for raw in batches:
+            rows, size = [], 0
+            for v in raw:
+                rows.append(one(v))
+                size += len(v or b"")
+                if size >= PASSED_BYTES:
+                    yield pd.DataFrame(rows, columns=["pages", "metadata", "failure"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["pages", "metadata", "failure"])
 
     return F.pandas_udf(run, _PAGES)(content)
 

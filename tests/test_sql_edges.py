@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
 from cloakframe.functions import tokens
 from cloakframe.operators import ner
 from cloakframe.plans import catalogue
+from cloakframe.sources import files
 
 
 def test_handles_of_names_with_a_sharp_s(spark, tmp_path):
@@ -67,3 +69,13 @@ def test_model_tier_passes_on_rows_before_a_batch_ends(spark, monkeypatch):
     assert len(sizes) > 1 and sum(sizes) == 8
     rows = [r for b in made for r in b.to_pylist()]
     assert [len(r["ner"]) for r in rows] == [1, 1, 0, 0, 2, 0, 4, 0] and [r["doc_id"] for r in rows] == list(range(8))
+
+
+def test_pages_are_passed_on_before_a_batch_ends(spark, monkeypatch):
+    monkeypatch.setattr(files, "PASSED_BYTES", 4)
+    made = {}
+    monkeypatch.setattr(files.F, "pandas_udf", lambda f, kind: made.update(f=f) or (lambda c: c))
+    files.pdf_decoded(F.col("content"), lambda raw: ([(raw.decode(), [])], {}))
+    out = list(made["f"](iter([pd.Series([b"abc", b"de", None, b"f"]), pd.Series([b"ghijk"])])))
+    assert [len(x) for x in out] == [2, 2, 1]
+    assert [p[0]["text"] if p else None for x in out for p in x["pages"]] == ["abc", "de", None, "f", "ghijk"]
