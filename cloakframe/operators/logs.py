@@ -104,17 +104,28 @@ def _met(messages: DataFrame, values: DataFrame) -> DataFrame:
     """(message, value) of values that stand in distinct messages. They meet on the substring of LEAST characters that is
     rarest among the messages; one that many messages have is dealt over several tasks, on both sides."""
     grams = messages.select("message", F.explode(_grams(F.col("message"))).alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    frequency = _placed(scratch.written(grams.groupBy("gram").agg(F.count("*").alias("n")), "frequency"))
     # A value of which some part stands in no message stands in none.
     parts = values.select("value", F.explode(_grams(F.col("value"))).alias("gram")).join(frequency, "gram", "left")
     rare = parts.groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
     of = F.ceil(F.col("g.n") / SHARE).cast("int")
-    rare = rare.select("value", "g.gram", of.alias("of"), F.explode(F.sequence(F.lit(0), of - 1)).alias("salt"))
-    wanted = rare.select("gram", "of").distinct()  # of a gram that some value needs
+    rare = scratch.written(rare.select("value", "g.gram", of.alias("of")), "rare")
+    wanted = _placed(rare.select("gram", "of").distinct())  # of a gram that some value needs
     dealt = grams.join(wanted, "gram").withColumn("salt", F.pmod(F.xxhash64("message"), F.col("of")).cast("int"))
+    rare = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
     return rare.join(dealt.drop("of"), ["gram", "salt"]).where(F.contains("message", "value")).select("message", "value").distinct()
 
 
+#: Grams that every task may hold: there are no more different ones than the alphabet makes, however many messages there are.
+GRAMS = 500_000
+
+
+def _placed(grams: DataFrame) -> DataFrame:
+    """A table of different grams, to be joined where the texts are if it is small: every text has as many grams as characters, and
+    moving those with their text is a multiple of the input."""
+    return F.broadcast(grams) if grams.count() <= GRAMS else grams
+
+
 def newest(logs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The records that a ring of `capacity` would hold: a distributed top-k, not a global window."""
     return logs.orderBy(F.col("seq").desc()).limit(capacity)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
 from cloakframe.functions import tokens
-from cloakframe.operators import ner
+from cloakframe.operators import logs, ner
 from cloakframe.plans import catalogue
 from cloakframe.sources import files
 
@@ -79,3 +79,15 @@ def test_pages_are_passed_on_before_a_batch_ends(spark, monkeypatch):
     out = list(made["f"](iter([pd.Series([b"abc", b"de", None, b"f"]), pd.Series([b"ghijk"])])))
     assert [len(x) for x in out] == [2, 2, 1]
     assert [p[0]["text"] if p else None for x in out for p in x["pages"]] == ["abc", "de", None, "f", "ghijk"]
+
+
+def test_grams_of_messages_stay_with_their_message(spark):
+    """Few different grams are brought to the messages, whatever Spark guesses of their size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        messages = spark.createDataFrame([("user 12 did view",), ("user 7 did buy",)], "message string")
+        met = logs._met(messages, spark.createDataFrame([("user 7 did",), ("nobody",)], "value string"))
+        assert "BroadcastHashJoin [gram" in met._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in met.collect()] == [("user 7 did buy", "user 7 did")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
