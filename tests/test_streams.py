@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.plans.catalogue import QUERIES
 from cloakframe.schema import LOG
 from cloakframe.streaming import log_source, streams
 
@@ -57,6 +58,14 @@ def test_late_turns_are_numbered_in_their_order(spark, tmp_path):
     assert {(r[0], r[2]) for r in cleared} >= {("t:1", "<<EMAIL_01>>"), ("s:1", "<<EMAIL_01>>, <<EMAIL_02>>")}
 
 
+def test_findings_at_one_place_of_one_turn(spark, tmp_path):
+    """Two rows of a turn with names at the same place: each is numbered, as in a batch."""
+    turns = [(1, 0, "user", "Maria Stone\nhello"), (1, 0, "user", "Peter Falk\nhello"), (1, 1, "user", "Anna Berg\nok")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    batch, stream = ({tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("q14_session_numbering", "q14_numbering_of_streams"))
+    assert stream == batch == {(1, v, "PERSON", n, f"<<PERSON_0{n}>>") for n, v in enumerate(("Maria Stone", "Peter Falk", "Anna Berg"), 1)}
+
+
 @pytest.mark.parametrize("capacity", [3, 100])
 def test_log_stream_goes_on_where_it_ended(spark, tmp_path, capacity):
     def records(first: int, last: int):
