@@ -6,8 +6,8 @@ or opaque value), and an opaque value only within one scope of an identifier, an
 part has a longest length. The parts meet on grid cells of a scope's width, by row and cell, so a text that
 many rows share and a text of any length are spread alike.
 
-Only DataFrame functions: matches and their code-point offsets come from pairing the pieces that
-split() leaves with the values that regexp_extract_all() returns. The texts are searched once; what
+Only DataFrame functions: matches and their code-point offsets come from one scan a pattern, which puts
+marks around them, and the pieces that split() then leaves. The texts are searched once; what
 was found is written, and the join works on slim rows.
 
 Defined cases: a null text counts as empty; a text without matches has counts of 0, the digest of
@@ -38,6 +38,12 @@ OPAQUE = r"(?<![A-Za-z0-9+/_-])(?!AKIA)(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[
 #: Kinds in the order of listing; the first three are the base.
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "id": IDENTIFIER, "endpoint": ENDPOINT, "opaque": OPAQUE}
 KINDS = tuple(PATTERNS)
+#: What the first two characters of a match must be: looked at first, it spares most places the words of the pattern.
+STARTS = {"assign": "(?=[pPsStTaA][aAeEoOpP])", "access": "", "hex": "", "id": "(?=[cCuUlLaA][lLsSoOcC])", "endpoint": "(?=[:.eEhHsS][/anNoOeE])", "opaque": ""}
+#: What every match holds, where plain search can look for it.
+HELD = {"access": "AKIA"}
+#: A private character, around matches.
+MARK = "\ue000"
 BASE = 3
 SECRETS, PARTNERS = (0, 2, 5), (1, 3, 4)
 #: Kinds that redact() takes out: identifiers and endpoints are reported, but are no secrets.
@@ -51,27 +57,38 @@ SPANS = "array<struct<s:int,k:int,e:int>>"
 ROW, ALL, OPEN, LINKS, NEW = "__secret_row", "__secret_all", "__secret_open", "__secret_links", "__secret_new"
 
 
-def found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column:
-    """Matches of a pattern as array<struct<s, k, e>>, offsets in code points, end exclusive.
+def unmarked(text: Column) -> Column:
+    """The text without MARK, which no pattern matches: another character in its place leaves all matches where they are."""
+    return F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\ufffd"))).otherwise(text)
 
-    least_value: the shortest group 2 that counts."""
-    whole = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = lambda values: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("p"), values.alias("v"), (whole(2) if least_value else values).alias("t"))
+
+def found(text: Column, kind: int) -> Column:
+    """Matches of a kind's pattern in an unmarked() text as array<struct<s, k, e>>, offsets in code points, end exclusive.
+
+    One scan puts marks around the matches; the pieces between marks are in turn a gap and a match."""
+    name = KINDS[kind]
+    marked = F.regexp_replace(text, f"{STARTS[name]}(?:{PATTERNS[name]})", f"{MARK}$0{MARK}")
+    if name in HELD:
+        marked = F.when(F.contains(text, F.lit(HELD[name])), marked).otherwise("")
+
+    def matches(parts: Column) -> Column:
+        one = lambda i: F.struct(F.length(F.get(parts, i - 1)).alias("p"), F.get(parts, i).alias("v"))
+        places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, one)
 
     def step(end: Column, x: Column) -> tuple[Column, Column]:
-        s = end + F.length(x["p"])
+        s = end + x["p"]
         e = s + F.length(x["v"])
-        return e, F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), F.length(x["t"]).alias("n"))
+        n = F.length(F.regexp_extract(x["v"], ASSIGN, 2)) if kind == 0 else F.lit(LEAST_VALUE)
+        return e, F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), n.alias("n"))
 
-    every = running(let(whole(0), zipped), F.lit(0), step, "struct<s:int,k:int,e:int,n:int>")
-    kept = F.transform(F.filter(every, lambda x: x["n"] >= least_value), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(SPANS))
+    every = running(let(F.split(marked, MARK, -1), matches), F.lit(0), step, "struct<s:int,k:int,e:int,n:int>")
+    return F.transform(F.filter(every, lambda x: x["n"] >= LEAST_VALUE), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
 def searched(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs with ROW, ALL (base findings and parts) and OPEN (whether the join may add to the base), written."""
-    text = common.whole_text()
-    every = F.array_sort(F.concat(*(found(text, p, k, LEAST_VALUE if k == 0 else 0) for k, p in enumerate(PATTERNS.values()))))
+    every = let(unmarked(common.whole_text()), lambda text: F.array_sort(F.concat(*(found(text, k) for k in range(len(KINDS))))))
     rows = docs.select("*", F.monotonically_increasing_id().alias(ROW), every.alias(ALL))
     has = lambda kinds: F.exists(ALL, lambda x: x["k"].isin(*kinds))
     rows = rows.withColumn(OPEN, has(range(BASE, len(KINDS))) & has(SECRETS) & has(PARTNERS))

@@ -582,3 +582,14 @@ def test_secret_scan_of_many_matches_is_linear(make):
     (row,) = secret_scan.redact(docs).collect()
     assert row["text"] == " ".join(["[SECRET]"] * 32_000)
     assert time.perf_counter() - began < 40  # two minutes when an array grew at each match
+
+
+def test_a_pattern_is_searched_once_and_marks_move_nothing(make, monkeypatch):
+    """One scan a pattern; and a text that holds the mark itself, or a character outside the basic plane, has its spans where they are."""
+    mark = secret_scan.MARK
+    texts = [f"{mark}password{mark} {mark}👍 Token = {mark}a, token: abcdef{mark}", f"AKIA{'Z' * 16}{mark}AKIA{'Q' * 16}AKIA{'A' * 16}", f"{'0a' * 12}{mark}{'b1' * 12}"]
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(make(*texts)).collect()}
+    assert [rows[i] for i in range(3)] == ["assign:26:39", "access:0:20,access:21:61", "hex:0:24,hex:25:49"]
+    monkeypatch.setattr(secret_scan.common, "written", lambda df, label: df)
+    plan = secret_scan.searched(make(*texts)).select(secret_scan.ALL)._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(p) for p in (r"[0-9a-f]{24,}", r"\.amazonaws\.com")] == [1, 1]
