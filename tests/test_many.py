@@ -365,3 +365,13 @@ def test_files_are_read_once(spark, tmp_path):
     df = files.load(spark, str(tmp_path))
     assert df._jdf.queryExecution().executedPlan().toString().count("binaryFile") == 1
     assert {r["doc_id"]: r["source_format"] for r in df.collect()} == {"a": "text", "b": "json", "c": "unsupported"}
+
+
+def test_a_path_is_held_against_each_rule_once(spark):
+    """In finding fields; and values are cut from their place in the first block as in later ones."""
+    n = T.BLOCK
+    text = "x" * (n - 3) + "Maria 👍 Stone" + "y" * n
+    spans = [(n - 3, n + 10, "basics.name"), (0, 4, "work[0].name"), (0, 4, "basics.phone"), (3, n, "basics.email"), (5, 5, "basics.url"), (0, 1, None)]
+    rows = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,path:string>>").select(T.field_findings(F.col("t"), F.col("s")).alias("f"))
+    assert [(f["start"], f["end"], f["entity_type"], f["value"]) for f in rows.first()["f"]] == [(s, e, k, text[s:e]) for s, e, k in ((n - 3, n + 10, "PERSON"), (0, 4, "PHONE"), (3, n, "EMAIL"))]
+    assert rows._jdf.queryExecution().analyzed().toString().count(r"^basics\.name$") == 1
