@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ HOT = 2048
 SLOTS = 1 << 18
 #: Bits of a text's bitmap.
 BITS = 1024
+#: Rows of buckets that are searched at once, and pairs of them that one numpy pass compares.
+GATHER, PAIRS = 8192, 1 << 16
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -241,10 +243,24 @@ def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.groupBy("text_key").agg(F.first("z").alias("z")).join(wanted, "text_key").select("tid", "z")
 
 
-def shingle_set(z: bytes) -> np.ndarray:
-    """The different shingles of a compressed text, sorted."""
-    data = np.frombuffer(expanded(z), np.uint8)
-    return np.unique(common.word_shingles(data, np.array([0, len(data)]), WIDTH)[0].view(np.int64))
+def shingle_sets(packed_: pa.Array) -> Iterator[np.ndarray]:
+    """The different shingles of each compressed text, sorted. Short texts go through numpy together."""
+
+    def sets() -> Iterator[np.ndarray]:
+        hashes, at = common.word_shingles(*block(held), WIDTH)
+        for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield np.unique(hashes[start:end].view(np.int64))
+
+    held: list[bytes] = []
+    size = 0
+    for z in packed_:
+        held.append(expanded(z.as_py()))
+        size += len(held[-1])
+        if size > common.BLOCK_BYTES // 8:
+            yield from sets()
+            held, size = [], 0
+    if held:
+        yield from sets()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -272,10 +288,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         hub = np.zeros(0, np.int64)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
-            for b, role, tid, z in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            for b, role, tid, s in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), shingle_sets(batch.column(4)), strict=True):
                 if role == 0:
-                    hub = shingle_set(z)
-                elif (likeness_ := jaccard(shingle_set(z), hub)) >= threshold:
+                    hub = s
+                elif (likeness_ := jaccard(s, hub)) >= threshold:
                     found.append((tid, b, likeness_))
             columns = list(zip(*found, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "jaccard"])
@@ -283,18 +299,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, jaccard double")
 
 
-# A bucket's rows to pairs of their places. `some` has the columns of the bucket's rows.
-Match = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
-
-
-def _pairs_where(n: int, near: Callable[[slice, slice], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b), a < b, of n rows that near() accepts, a stripe of rows at a time."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step = max(1, (32 << 20) // max(n * width, 1))
-    for at in range(0, n, step):
-        a, b = np.nonzero(np.triu(near(slice(at, at + step), slice(at, None)), 1))
-        found.append((a + at, b + at))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+def every_two(ends: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b), a < b < ends[a], of rows whose bucket ends at ends[a]: about `limit` pairs at a time, in order, those of one a together."""
+    later = ends - np.arange(len(ends)) - 1
+    upto = np.concatenate([[0], np.cumsum(later)])
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + limit, side="right")) - 1)
+        a = np.repeat(np.arange(start, stop), later[start:stop])
+        yield a, a + 1 + np.arange(len(a)) - (upto[a] - upto[start])
+        start = stop
 
 
 def compatible(n: np.ndarray, at: np.ndarray, m: np.ndarray, by: np.ndarray, threshold: float) -> np.ndarray:
@@ -317,69 +331,72 @@ def bitmaps(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(shingle_set(z.as_py())) for z in batch.column(1)], pa.binary())], ["tid", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) for s in shingle_sets(batch.column(1))], pa.binary())], ["tid", "bits"])
 
     return texts.select("tid", "z").mapInArrow(run, "tid long, bits binary")
 
 
-def compatible_pairs(threshold: float, best: bool = False) -> Match:
-    """Pairs of different groups that compatible() accepts and whose bitmaps don't differ too much to reach the threshold.
+def near_pairs(some: pa.Table, threshold: float, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b), a < b, of two rows of one bucket in whole buckets (bucket, root, tid, side, size, place, bits) that lie together:
+    rows of different groups that compatible() accepts and whose bitmaps don't differ too much to reach the
+    threshold. In a bucket of two blocks only pairs across them count.
 
     best: of each row only the pair whose bitmaps differ least."""
-
-    def match(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        a, b = by_place(some)
-        size, bits = some["size"].to_numpy(), np.frombuffer(b"".join(some["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[a[at : at + (1 << 16)]] ^ bits[b[at : at + (1 << 16)]]).sum(axis=1, dtype=np.int64) for at in range(0, len(a), 1 << 16))])
-        kept = np.flatnonzero(apart <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-6)
+    bucket, group, side = (some[c].to_numpy() for c in ("bucket", "root", "side"))
+    size, place = (some[c].to_numpy().astype(np.float64) for c in ("size", "place"))
+    bits = np.frombuffer(b"".join(some["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+    two = np.repeat(np.minimum.reduceat(side, cuts[:-1]) != np.maximum.reduceat(side, cuts[:-1]), np.diff(cuts))
+    least = np.full(len(bucket), BITS + 1)
+    partner = np.zeros((2, len(bucket)), np.int64)
+    for a, b in every_two(np.repeat(cuts[1:], np.diff(cuts)), PAIRS):
+        kept = (group[a] != group[b]) & (~two[a] | (side[a] != side[b]))
+        a, b = a[kept], b[kept]
+        kept = compatible(size[a], place[a], size[b], place[b], threshold)
+        a, b = a[kept], b[kept]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        kept = apart <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-6
+        a, b, apart = a[kept], b[kept], apart[kept]
         if best:
-            row, pair = np.concatenate([a[kept], b[kept]]), np.concatenate([kept, kept])
+            row, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
             order = np.lexsort((apart[pair], row))
-            first = np.concatenate([[True], row[order][1:] != row[order][:-1]]) if len(order) else np.zeros(0, bool)
-            kept = np.unique(pair[order][first])
-        return a[kept], b[kept]
+            row, pair = row[order], pair[order]
+            new = np.append(True, row[1:] != row[:-1])[: len(row)]
+            row, pair = row[new], pair[new]
+            new = (apart[pair] < least[row]) | ((apart[pair] == least[row]) & (a[pair] == row))
+            row, pair = row[new], pair[new]
+            least[row], partner[0, row], partner[1, row] = apart[pair], a[pair], b[pair]
+        else:
+            yield a, b
+    if best:
+        yield tuple(np.unique(partner[:, least <= BITS], axis=1))
 
-    def by_place(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        size, place = (some[c].to_numpy().astype(np.float64) for c in ("size", "place"))
-        group = some["root"].to_numpy()
 
-        def near(x: slice, y: slice) -> np.ndarray:
-            return compatible(size[x, None], place[x, None], size[None, y], place[None, y], threshold) & (group[x, None] != group[None, y])
+def bucket_pairs(rows: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """(a, b) by near_pairs() of rows (bucket, root, tid, side, size, place, bits), whose buckets hold at most two blocks.
 
-        return _pairs_where(len(size), near, 40)
+    Many buckets go through numpy together, as most have few rows."""
 
-    return match
-
-
-def bucket_pairs(rows: DataFrame, match: Match) -> DataFrame:
-    """(a, b) by match() within each bucket of rows (bucket, root, tid, side, ...), which lie
-    together and hold at most two blocks; in a bucket of two blocks only pairs across them count."""
-
-    def pairs(some: pa.Table) -> pa.RecordBatch:
-        a, b = match(some)
-        side = some["side"].to_numpy()
-        if (side != side[:1]).any():
-            across = side[a] != side[b]
-            a, b = a[across], b[across]
-        keys = some["tid"].combine_chunks()
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
+    def pairs(some: pa.Table) -> Iterator[pa.RecordBatch]:
+        tid = some["tid"].to_numpy()
+        for a, b in near_pairs(some, threshold, best):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(tid[a]), pa.array(tid[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if held and start < end and held[-1].column(0)[0].as_py() != key[start]:
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-                if start < end:
-                    held.append(batch.slice(start, end - start))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    first = ["bucket", "root", "tid", "side"]
-    rows = rows.select(*first, *(c for c in rows.columns if c not in first))
+            held.append(batch)
+            if sum(len(x) for x in held) >= GATHER:
+                some = pa.Table.from_batches(held)
+                key = some["bucket"].to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                if whole:
+                    yield from pairs(some.slice(0, whole))
+                    held = some.slice(whole).to_batches()
+        if sum(len(x) for x in held):
+            yield from pairs(pa.Table.from_batches(held))
+
     rows = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "tid")
     near = rows.mapInArrow(run, "a long, b long")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -409,8 +426,8 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for z in batch.column(0):
-                np.add.at(counts, shingle_set(z.as_py()) % SLOTS, 1)
+            for s in shingle_sets(batch.column(0)):
+                np.add.at(counts, s % SLOTS, 1)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
 
@@ -422,8 +439,7 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for tid, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(z)
+            for tid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 n = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1 if len(s) else 0
                 first = s[np.lexsort((s, counts[s % SLOTS]))[:n]]
                 columns = (first, np.full(n, tid, np.int64), np.full(n, len(s), np.int64), np.arange(n))
@@ -450,7 +466,8 @@ def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOL
     First each band's members are checked against the least of them. Bands whose members then lie in one class are
     done. The members of the others meet on their rare shingles, which loses no pair: again against the least of each
     bucket, and then those that are still apart with each other, as far as sizes, places and bitmaps let them reach the
-    threshold: each with the one most like it, and last all that are apart even then. A bucket of more than `hot` such rows is dealt into blocks that meet two at a time."""
+    threshold: each with the one most like it, and last all that are apart even then. Buckets that have become one class are left
+    out of what follows. A bucket of more than `hot` such rows is dealt into blocks that meet two at a time."""
     banded = distinct.select("tid", F.explode("bands").alias("band"))
     hub = banded.groupBy("band").agg(F.min("tid").alias("b"), F.count("*").alias("n")).where("n > 1")
     shared = common.written(common.joined(banded, hub, "band", ["tid"], BANDS * distinct.count()), "shared")
@@ -466,13 +483,12 @@ def near_links(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOL
     most = F.least(n - F.col("place"), m - F.col("h.place"))
     fits = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (most >= threshold / (1 + threshold) * (n + m) - 1e-6)
     pairs = common.written(star.where((F.col("root") != F.col("h.root")) & fits).select(F.col("tid").alias("a"), F.col("h.tid").alias("b")).distinct(), "pairs")
-    second = common.written(first.unionByName(verified(pairs, texts, threshold)), "second")
-    links, bits = second, None
+    links, bits = common.written(first.unionByName(verified(pairs, texts, threshold)), "second"), None
     for best in (True, False):
-        rows = common.written(undecided(rooted(rare, links), "bucket").withColumnRenamed("members", "n"), "apart")
+        rows = common.written(undecided(rooted(rows.select(*rare.columns), links), "bucket"), "apart")
         if bits is None:
             bits = common.written(bitmaps(texts.join(rows.select("tid").distinct(), "tid", "left_semi")), "bitmaps")
-        near = common.written(bucket_pairs(in_blocks(rows.join(bits, "tid"), hot), compatible_pairs(threshold, best)), "near")
+        near = common.written(bucket_pairs(in_blocks(rows.withColumnRenamed("members", "n").join(bits, "tid"), hot), threshold, best), "near")
         links = common.written(links.unionByName(verified(near, texts, threshold)).distinct(), "linked")
     return links
 

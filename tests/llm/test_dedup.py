@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -346,3 +347,44 @@ def test_compatible_loses_no_pair():
         a, b = (np.array(r.sample(range(-900, 900), r.randint(0, 400)), np.int64) for _ in range(2))
         bits = np.frombuffer(minhash.bitmap(a), np.uint64) ^ np.frombuffer(minhash.bitmap(b), np.uint64)
         assert np.bitwise_count(bits).sum() <= len(set(a) ^ set(b))
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 50])
+def test_many_small_buckets_are_searched_together(monkeypatch, limit):
+    r = np.random.default_rng(8)
+    bucket = np.sort(r.integers(-700, 700, 4000))
+    n = len(bucket)
+    two, sets = r.integers(0, 2, n), [np.concatenate([np.arange(40), r.integers(100, 400, k)]) + 500 * g for g, k in zip(r.integers(0, 2, n), r.integers(0, 16, n), strict=True)]
+    rows = {"bucket": bucket, "root": r.integers(0, 40, n), "tid": np.arange(n), "side": np.where(bucket % 5 == 0, two, 7), "size": r.integers(60, 90, n), "place": r.integers(0, 12, n)}
+    bits = [np.frombuffer(minhash.bitmap(s), np.uint64) for s in sets]
+    some = pa.table({**rows, "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
+    want: set[tuple[int, int]] = set()
+    apart = {}
+    for i in range(n):
+        for j in range(i + 1, int(np.searchsorted(bucket, bucket[i], "right"))):
+            if rows["root"][i] == rows["root"][j] or (bucket[i] % 5 == 0 and two[i] == two[j] and len(set(two[bucket == bucket[i]])) == 2):
+                continue
+            x, y = ([np.array([float(rows[c][k])]) for c in ("size", "place")] for k in (i, j))
+            apart[i, j] = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            if minhash.compatible(*x, *y, 0.8).all() and apart[i, j] <= 0.2 / 1.8 * (rows["size"][i] + rows["size"][j]) + 1e-6:
+                want.add((i, j))
+    calls = []
+    compatible = minhash.compatible
+    monkeypatch.setattr(minhash, "compatible", lambda *a: calls.append(1) or compatible(*a))
+    monkeypatch.setattr(minhash, "PAIRS", limit)
+    found = lambda best: [(int(i), int(j)) for a, b in minhash.near_pairs(some, 0.8, best) for i, j in zip(a, b, strict=True)]
+    got = found(False)
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    assert len(want) > 50
+    assert len(calls) < len(set(bucket.tolist())) // (1 if limit == 50 else 500)  # the number of passes isn't that of the buckets
+    nearest: dict[int, int] = {}
+    for pair in want:
+        for row in pair:
+            nearest[row] = min(nearest.get(row, 1 << 20), apart[pair])
+    best = set(found(True))
+    assert best <= want
+    for pair in best:
+        assert apart[pair] in (nearest[pair[0]], nearest[pair[1]])
+    for row, least in nearest.items():
+        assert any(row in pair and apart[pair] == least for pair in best)
