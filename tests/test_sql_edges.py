@@ -25,6 +25,26 @@ def test_handles_of_names_with_a_sharp_s(spark, tmp_path):
     assert any("ẞ" in value for _, _, value in got)
 
 
+def test_numbers_behind_letters_beyond_the_first_plane(spark, tmp_path):
+    """A letter or digit of two UTF-16 units is a word character, and what begins behind it is no number of its own."""
+    texts = ["𝐀555 123 4567", "𝟜555-123-4567", "𝟜5551234567", "𠀀+1 (743) 555-3824", "😀555 123 4567", "a 𝐀1 555 123 4567", "x\n𝐀 555 123 4567"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "<p>𝐀555 123 4567</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in ("q07_phone_numbers", "flagship_cleared_documents"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_handles_behind_letters_beyond_the_first_plane(spark):
+    df = spark.createDataFrame([("𝐀annasmith 😀annasmith annasmith",)], "t string")
+    found = df.select(T.derivative_findings(F.col("t"), F.array(F.lit("Anna Smith"))).alias("f")).first()["f"]
+    assert [(f["start"], f["value"]) for f in found] == [(12, "annasmith"), (22, "annasmith")]
+
+
 def test_texts_without_a_part_of_a_match_are_not_searched(spark):
     """What plain search leaves out has no match, in any case of the letters."""
     texts = ["see WWW.a.org", "wWw.b.org", "LinkedIn.cOM/in/x", "github.Com/y", "HTTPS://c.com", "now. from/to", "a@b.org", "@", "", None, "ſ https://d", "linKedin.com/z"]
